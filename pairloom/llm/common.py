@@ -72,7 +72,7 @@ class Rolling:
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.base = U64(int(rng.integers(1 << 62)) * 8 + 5)
+        self.base = U64(int(rng.integers(1 << 60)) * 8 + 5)
         self.inverse = U64(pow(int(self.base), -1, 1 << 64))
         self.up = self.down = np.ones(1, U64)
 
