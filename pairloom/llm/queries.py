@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, simhash, substring_dedup, token_files
+from . import bpe, embed_dedup, langid, quality, simhash, substring_dedup, token_files, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": langid.op1,
+        "op2_topk": topk.op2,
         "op3_substring_dedup": substring_dedup.op3,
         "op5_quality": quality.op5,
+        "op6_embed_dedup": embed_dedup.op6,
         "op7_simhash": simhash.op7,
         "op8_token_files": token_files.op8,
         "op10_bpe": bpe.op10,
