@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, langid, quality, simhash, substring_dedup, token_files, topk
+from . import bpe, embed_dedup, langid, mixing, quality, simhash, substring_dedup, token_files, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,13 +14,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": langid.op1,
         "op2_topk": topk.op2,
         "op3_substring_dedup": substring_dedup.op3,
+        "op4_mixing": mixing.op4,
         "op5_quality": quality.op5,
         "op6_embed_dedup": embed_dedup.op6,
         "op7_simhash": simhash.op7,
         "op8_token_files": token_files.op8,
+        "op9_url_filter": url_filter.op9,
         "op10_bpe": bpe.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_url_filter": url_filter.ORACLE,
+    }
