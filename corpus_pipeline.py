@@ -1,15 +1,79 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, source mix, token ids.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame that calls one operator; its result is written as Parquet
+and read again as the next one's ``docs``. All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pairloom.llm import bpe, common, langid, mixing, simhash, substring_dedup
+
+#: A document is rejected as being in no known language below this score (half of one plus the best ridge output).
+LEAST_SCORE = 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject null texts, texts without a letter, and texts that no learned language fits. Where no row has a lang,
+    nothing can be learned and only the first two go."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict(docs, model)
+    fits = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
+    return judged.filter(fits).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the least doc_id of every group that is similar by 0.8 or more in shingles of five words."""
+    return simhash.keep_one(docs, words=5)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove words covered by 35-word windows that start anywhere else too; n_chars follows the text."""
+    kept = substring_dedup.remove_repeats(docs, window=35)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the mix: sources weigh the square root of their size."""
+    return mixing.mix(docs).orderBy("place").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    import public_tokenizers
+
+    spec = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
+    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def pack(codec: bpe.Codec, rows: list, texts: list) -> dict:
+        return {"n_tokens": list(map(len, rows)), "ids": rows, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(rows, texts)]}
+
+    lexicon = bpe.build_lexicon(docs, spec)
+    return bpe.encode_documents(docs.select("doc_id", "text"), spec, lexicon, then=pack, then_schema=schema).select("doc_id", *schema.names)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("source_mix", mix_sources),
+    ("token_ids", encode),
+]
+#: Ridge fits, SimHash of whole texts and BPE aren't SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result but the last written in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = common.materialize(docs, name)
     return docs

@@ -438,15 +438,15 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str, lexicon: str | None = None, text_col: str = "text", then: Callable[[Codec, list], dict] | None = None, then_schema: T.StructType | None = None) -> DataFrame:
-    """Add ``ids array<int>`` to every row. ``then(codec, ids)`` may derive columns of ``then_schema`` from the lists of
-    ids in the same pass; those columns then take the place of ``ids``."""
+def encode_documents(docs: DataFrame, tokenizer_json: str, lexicon: str | None = None, text_col: str = "text", then: Callable[[Codec, list, list], dict] | None = None, then_schema: T.StructType | None = None) -> DataFrame:
+    """Add ``ids array<int>`` to every row. ``then(codec, ids, texts)`` may derive columns of ``then_schema`` from the
+    lists of ids in the same pass; those columns then take the place of ``ids``."""
     schema = then_schema or T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def fn(texts: list) -> dict:
         codec = worker_codec(tokenizer_json, lexicon)
         ids = codec.encode_all(texts)
-        return then(codec, ids) if then else {"ids": ids}
+        return then(codec, ids, texts) if then else {"ids": ids}
 
     return map_text(docs, schema, text_col, fn)
 
@@ -464,7 +464,7 @@ def decode_documents(df: DataFrame, tokenizer_json: str, ids_col: str = "ids") -
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(codec: Codec, rows: list) -> dict:
+def digests(codec: Codec, rows: list, _texts: list) -> dict:
     """Count and digest every row's ids and the text that they decode to."""
     sha = hashlib.sha256
     return {
