@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import base, core, tables  # noqa: F401  (plans register themselves)
 
 
 def queries() -> dict:
-    return QUERIES
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return ORACLES
+    return dict(base.ORACLES)
