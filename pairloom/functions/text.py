@@ -66,17 +66,25 @@ def slash_specs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+/[0-9]+)"), 1))
 
 
+def _runs(length: Column, low: int, high: int, cut) -> Column:
+    """``cut(start, n)`` for every start (from 1) and size of the runs within ``length``."""
+    none = F.array().cast("array<string>")
+
+    def of_size(n: int) -> Column:
+        return F.when(length >= n, F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: cut(i, n))).otherwise(none)
+
+    return F.concat(*(of_size(n) for n in range(low, high + 1)))
+
+
 def word_ngrams(words: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` words, joined by spaces."""
-    parts = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    return _runs(F.size(words), low, high, lambda i, n: F.array_join(F.slice(words, i, n), " "))
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` characters of the text without its spaces."""
     bare = F.regexp_replace(text, " ", "")
-    parts = [F.when(F.length(bare) >= n, F.transform(F.sequence(F.lit(1), F.length(bare) - (n - 1)), lambda i, n=n: F.substr(bare, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    return _runs(F.length(bare), low, high, lambda i, n: F.substr(bare, i, F.lit(n)))
 
 
 def padded_char_ngrams(text: Column, low: int, high: int) -> Column:
@@ -84,7 +92,6 @@ def padded_char_ngrams(text: Column, low: int, high: int) -> Column:
 
     def of_word(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*parts)
+        return _runs(F.length(padded), low, high, lambda i, n: F.substr(padded, i, F.lit(n)))
 
     return F.flatten(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), of_word))
