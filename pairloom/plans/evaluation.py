@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
-from ..operators import graph as gr, metrics as me, pairs as pr, ranking as rk, resampling as rs, retrieval as rt, routing as ro, rules as ru
+from ..operators import graph as gr, metrics as me, pairs as pr, resampling as rs, retrieval as rt, routing as ro, rules as ru
 from ..sources import views as v
 from .base import query
 
@@ -265,16 +264,16 @@ def rule_stats(spark, d):
     return out.select("rule", "support", "positives", F.round(F.col("positives") / F.col("support"), 6).alias("rate"), F.round(F.col("positives") / F.col("support") / F.col("base"), 6).alias("lift"))
 
 
-@query("r3_r4_leave_one_out_encoding", """select id1, id2, round(avg(ln((pos - target + 1.0::double) / (n - pos - (1 - target) + 1.0::double))), 6) as encoded from (
+@query("r3_r4_leave_one_out_encoding", """select id1, id2, round(avg(ln((pos - target + 1.0::double) / (n - pos - (1 - target) + 1.0::double))), 6) + 0 as encoded from (
   select *, sum(target) over (partition by rule) as pos, count(*) over (partition by rule) as n from occ) where n > 1 group by id1, id2""", OCC)
 def leave_one_out(spark, d):
-    return ru.target_encoding(occurrences(spark, d), None).select("id1", "id2", F.round("encoded", 6).alias("encoded"))
+    return ru.target_encoding(occurrences(spark, d), None).select("id1", "id2", (F.round("encoded", 6) + 0.0).alias("encoded"))
 
 
-@query("r5_cross_fit_encoding", """select o.id1, o.id2, round(avg(ln((t.pos - f.pos + 1.0::double) / (t.n - f.n - t.pos + f.pos + 1.0::double))), 6) as encoded from occ o
+@query("r5_cross_fit_encoding", """select o.id1, o.id2, round(avg(ln((t.pos - f.pos + 1.0::double) / (t.n - f.n - t.pos + f.pos + 1.0::double))), 6) + 0 as encoded from occ o
   join (select rule, sum(target) as pos, count(*) as n from occ group by rule) t on t.rule = o.rule join (select rule, fold, sum(target) as pos, count(*) as n from occ group by rule, fold) f on f.rule = o.rule and f.fold = o.fold where t.n > f.n group by o.id1, o.id2""", OCC)
 def cross_fit(spark, d):
-    return ru.target_encoding(occurrences(spark, d), "fold").select("id1", "id2", F.round("encoded", 6).alias("encoded"))
+    return ru.target_encoding(occurrences(spark, d), "fold").select("id1", "id2", (F.round("encoded", 6) + 0.0).alias("encoded"))
 
 
 @query("r13_cannot_link", "select a.rule as rule_a, b.rule as rule_b, count(*) as pairs from occ a join occ b on a.id1 = b.id1 and a.id2 = b.id2 and a.rule < b.rule group by 1, 2", OCC)
@@ -360,5 +359,3 @@ def water_fill(spark, d):
     sizes = v.predictions(spark, d).groupBy("category").agg(_n().alias("capacity"), (F.count_distinct("id1") % 5 + 1.0).alias("weight"))
     return rt.water_fill(sizes, 200).select("category", "quota")
 
-
-_ = (Window, rk)

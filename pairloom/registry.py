@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, core, evaluation, tables, texts  # noqa: F401  (plans register themselves)
+from .plans import audits, base, core, evaluation, tables, texts  # noqa: F401  (plans register themselves)
 
 
 def queries() -> dict:

@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 6)
+        return None if math.isnan(x) else round(x, 6) + 0.0  # no negative zero
     return x
 
 
