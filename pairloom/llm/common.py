@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most so many rows of text at a time, which bounds the memory of a batch on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker remembers for one operator from task to task. Workers are reused across operators, so asking
+    for one operator's memory frees what the others left."""
+    others = [k for k in _CACHES if k != owner]
+    for k in others:
+        del _CACHES[k]
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    return _CACHES.setdefault(owner, {})
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/pairloom-{tag}-{uuid.uuid4().hex}"
 

@@ -21,6 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +40,11 @@ from . import common
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 18
 #: Texts that the tokenizer must see whole: it and str.split don't agree on these control characters.
 WHOLE = regex.compile("[\x1c-\x1f]")
-MEMO = 400_000
+MEMO = 800_000
+#: A word of letters (of which none composes, and lower case is one to one), then punctuation without an apostrophe.
+SUSPECT = np.zeros(256, bool)
+SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, ord("<")]] = True
+STEM = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _HEAD = struct.Struct("<4sQII")
 
 
@@ -52,9 +58,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     rows = padded.reshape(blocks, BLOCK)
     low = rows.min(1) if blocks else np.zeros(0, np.uint32)
     off = rows - low[:, None]
-    width = np.zeros(off.shape, np.uint8)
-    for b in range(32):
-        width += off >> np.uint32(b) > 0
+    width = np.frexp(off.astype(np.float64))[1].astype(np.uint8)  # exact: 32 bits fit a double
     at = -(-BLOCK * PERCENTILE // 100) - 1
     chosen = np.partition(width, at, axis=1)[:, at] if blocks else np.zeros(0, np.uint8)
     patch = width > chosen[:, None]
@@ -108,76 +112,145 @@ def unpack(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np.nda
 class WordEncoder:
     """The library's ids of whole texts, by way of their words: this tokenizer drops white space, and no token spans
     it, so a text's ids are those of its words, which repeat. Special tokens, and control characters that count as white
-    space only for one of the two, send a text to the library as it is."""
+    space only for one of the two, send a text to the library as it is.
+
+    Words of letters with punctuation behind, the most of them, are two pre-tokens, and letters are lower-cased first: so
+    what is remembered are lower-case stems and tails. Stems go to the library many at a time; each ends with the only
+    id of it that ends a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        gc.disable()  # no cycles arise here, and looking for them among millions of strings takes long
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = regex.compile("|".join([WHOLE.pattern, *map(regex.escape, special)]))
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, and ``end``."""
+    def _stems(self, stems: list[str]) -> None:
+        for i in range(0, len(stems), 5000):
+            some = stems[i : i + 5000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                flat, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.parts.update((w, flat[x:y]) for w, x, y in zip(some, at, at[1:]))
+            else:
+                self.parts.update(zip(some, self.raw(some)))
+
+    def _learn(self, words: list[str]) -> None:
+        parts, split = self.parts, STEM.fullmatch
+        plain, odd = [], []
+        for w in words:
+            m = split(w)
+            if m is None:
+                odd.append(w)
+            else:
+                stem, tail = m.groups()
+                plain.append((w, stem.lower(), tail))
+        self._stems(list({stem for _, stem, _ in plain if stem not in parts}))
+        tails = list({tail for _, _, tail in plain if tail not in parts})
+        parts.update(zip(tails, self.raw(tails)))
+        self.memo.update([(w, parts[stem] + parts[tail]) for w, stem, tail in plain])
+        for i in range(0, len(odd), 20_000):
+            self.memo.update(zip(odd[i : i + 20_000], self.raw(odd[i : i + 20_000])))
+        if len(parts) > MEMO:
+            self.parts = {"": b""} | {stem: parts[stem] for _, stem, _ in plain}
+
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts in one array, each text's followed by ``end``, and how many each has.
+
+        Arrow splits the texts and numbers their distinct words; ids are looked up once for each of those and spread
+        over the texts by position."""
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        words = [None if t and self.whole.search(t) else (t or "").split() for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in memo})
-        for i in range(0, len(new), 50_000):
-            memo.update(zip(new[i : i + 50_000], self.raw(new[i : i + 50_000])))
-        last = np.array([end], "<u4").tobytes()
-        found = [b"".join(map(memo.__getitem__, ws)) + last if ws is not None else b"" for ws in words]
-        for i, ws in enumerate(words):
-            if ws is None:
-                found[i] = self.raw([texts[i]])[0] + last
-        return found
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
+        column = pc.fill_null(column, "") if column.null_count else column
+        apart = {i: text for i in self._odd_rows(column) if self.whole.search(text := column[i].as_py())}
+        if apart:
+            mask = np.zeros(len(column), bool)
+            mask[list(apart)] = True
+            column = pc.if_else(pa.array(mask), "", column)
+        split = pc.utf8_split_whitespace(column)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w and w not in memo])
+        memo[""] = b""
+        ids = [memo[w] for w in words]
+        if len(memo) > MEMO:  # frequent words are in any batch, so they stay
+            self.memo = dict(zip(words, ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        first = np.cumsum(size) - size
+        code = numbered.indices.to_numpy()
+        n = size[code]
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(n)))
+        lengths = total[bounds[1:]] - total[bounds[:-1]] + 1
+        ends = np.cumsum(lengths)
+        out = np.full(int(ends[-1]) if len(ends) else 0, end, np.uint32)
+        for lo in range(0, len(lengths), 256):  # bounds the memory of positions
+            hi = min(lo + 256, len(lengths))
+            w0, w1 = bounds[lo], bounds[hi]
+            take = np.repeat(first[code[w0:w1]] - (total[w0:w1] - total[w0]), n[w0:w1])
+            tokens = flat[take + np.arange(len(take))]
+            into = np.ones(int(ends[hi - 1] - ends[lo] + lengths[lo]), bool)
+            into[ends[lo:hi] - 1 - (ends[lo] - lengths[lo])] = False
+            out[ends[lo] - lengths[lo] : ends[hi - 1]][into] = tokens
+        if apart:
+            parts = np.split(out, ends[:-1])
+            for i, text in apart.items():
+                parts[i] = np.append(np.frombuffer(self.raw([text])[0], "<u4"), np.uint32(end))
+                lengths[i] = len(parts[i])
+            out = np.concatenate(parts)
+        return out, lengths
+
+    @staticmethod
+    def _odd_rows(column: pa.Array) -> list[int]:
+        """Rows that may hold a control character or the start of a special token."""
+        rows = []
+        for lo, _, raw, offsets in common.text_slices(column, 4 << 20):
+            hit = np.flatnonzero(SUSPECT[raw])
+            if len(hit):
+                rows += (np.unique(np.searchsorted(offsets, hit, "right") - 1) + lo).tolist()
+        return rows
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, in ascending order of ids, and write its ids as segments under ``path``."""
+    common.bound_batches(docs.sparkSession, 4000)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = _ENCODERS.get(tokenizer)
+        cache = common.worker_cache("tokens")
+        encoder = cache.get(tokenizer)
         if encoder is None:
-            encoder = _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        ids: list[bytes] = []
-        keys: list = []
-        size = before = segment = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal ids, keys, size, before, segment
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            data = pack(flat, np.array([len(x) // 4 for x in ids]))
-            out = pa.record_batch({
-                "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "before": pa.array([before], pa.int64()),
-                "n_ids": pa.array([len(flat)], pa.int64()), "doc_ids": pa.array([keys], pa.list_(pa.int64())), "data": pa.array([data], pa.binary()),
-            })
-            before, segment, size, ids, keys = before + len(flat), segment + 1, 0, [], []
-            return out
-
+            encoder = cache[tokenizer] = WordEncoder(tokenizer)
+        before = segment = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                for key, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end)):
-                    keys.append(key)
-                    ids.append(raw)
-                    size += len(raw) // 4
-                    if size >= SEGMENT_IDS:
-                        yield flush()
-        if keys:
-            yield flush()
+            for lo, hi, _, _ in common.text_slices(batch.column(1), 8 << 20):
+                flat, lengths = encoder.encode(batch.column(1).slice(lo, hi - lo), end)
+                ends = np.cumsum(lengths)
+                first = 0
+                while first < len(lengths):
+                    base = int(ends[first] - lengths[first])
+                    last = max(first + 1, int(np.searchsorted(ends, base + SEGMENT_IDS, "right")))
+                    ids = flat[base : ends[last - 1]]
+                    keys = batch.column(0).slice(lo + first, last - first)
+                    yield pa.record_batch({
+                        "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
+                        "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "data": pa.array([pack(ids, lengths[first:last])], pa.binary()),
+                    })
+                    before, segment, first = before + len(ids), segment + 1, last
 
     schema = "shard int, segment int, before long, n_ids long, doc_ids array<long>, data binary"
     docs.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
