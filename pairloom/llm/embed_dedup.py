@@ -135,3 +135,16 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link all rows of ``embeddings`` of cosine 0.95 or more, whatever their labels."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
+ORACLE = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, root) as (select distinct a, a from links union select l.b, r.root from reach r join links l on l.a = r.id and r.root < l.b),
+roots as (select id, min(root) as root from reach group by id),
+counts as (select a as id, count(*) as n from links group by a)
+select m.vec_id, coalesce(c.n, 0) as n_links, coalesce(r.root, m.vec_id) as component_id, coalesce(r.root, m.vec_id) = m.vec_id as kept
+from embeddings m left join roots r on r.id = m.vec_id left join counts c on c.id = m.vec_id
+"""

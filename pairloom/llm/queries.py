@@ -26,5 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk": topk.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op6_embed_dedup": embed_dedup.ORACLE,
         "op9_url_filter": url_filter.ORACLE,
     }

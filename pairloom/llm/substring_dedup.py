@@ -216,3 +216,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove words of repeated 35-word windows from every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, window=35, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+starts as (select doc_id, i, array_to_string(list_slice(words, i, i + 34), ' ') as window_text from (select doc_id, words, unnest(range(1, len(words) - 33)) as i from w where len(words) >= 35)),
+again as (select window_text from starts group by window_text having count(*) > 1),
+gone as (select doc_id, i + k as at from (select s.doc_id, s.i from starts s join again a on a.window_text = s.window_text), (select unnest(range(0, 35)) as k) group by doc_id, i + k),
+each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from w),
+kept as (select e.doc_id, string_agg(e.word, ' ' order by e.at) as text from each e left join gone g on g.doc_id = e.doc_id and g.at = e.at where g.at is null group by e.doc_id),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select w.doc_id, len(w.words)::bigint as n_words, coalesce(l.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from w left join lost l on l.doc_id = w.doc_id left join kept k on k.doc_id = w.doc_id
+"""
