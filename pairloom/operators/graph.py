@@ -25,21 +25,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for the endpoints of edges (id1, id2): the least id that each is connected with.
 
     Rounds of contraction: a node points to its least neighbour, pointers are followed once more, edges are rewritten
-    to the nodes pointed at and loops and repeats dropped. As every step lowers labels, the last label is the least id.
+    to the nodes pointed at and loops and repeats dropped. Every round leaves one table of pointers; the labels follow
+    them in turn at the end. As every step lowers labels, the last label is the least id.
     """
     ends = edges.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    label = _cut(ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component_id", F.col("id")))
+    label = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component_id", F.col("id"))
     ends = _cut(ends.filter("a <> b"))
+    jumps = []
     while not ends.isEmpty():
         both = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = _cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        point = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         hop = point.select(F.col("a").alias("to"), F.col("to").alias("root"))
-        point = _cut(point.join(hop, "to").select(F.col("a").alias("node"), "root"))
-        at = lambda c, name: point.select(F.col("node").alias(c), F.col("root").alias(name))
+        jump = _cut(point.join(hop, "to").select(F.col("a").alias("node"), "root"))
+        at = lambda c, name: jump.select(F.col("node").alias(c), F.col("root").alias(name))  # noqa: B023, E731
         moved = ends.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y")
         ends = _cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        label = _cut(label.join(at("component_id", "root"), "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id")))
-    return label
+        jumps.append(jump)
+    for jump in jumps:
+        step = jump.select(F.col("node").alias("component_id"), "root")
+        label = label.join(step, "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
+    return _cut(label)
 
 
 def with_groups(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:
