@@ -42,7 +42,7 @@ SKETCH_WORDS = 1 << 17
 #: Marks two ids that don't merge.
 NO_PAIR = np.int64(1 << 62)
 #: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 1 << 19
+MEMO = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -74,6 +74,7 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.lexicon: Transducer | None = None
+        self.ints = list(range(len(self.pieces)))
         self.single_ids = np.array(self.single, np.int32)
         pairs = sorted(self.merges.items())
         self.pair_keys = np.array([a << 32 | b for (a, b), _ in pairs] or [-1], np.int64)
@@ -203,6 +204,8 @@ class Codec:
         for words in cut.values():
             heads.update(words)
         known = self.ids_of(list(heads))
+        shared = self.ints.__getitem__
+        known = {w: tuple(map(shared, ids)) for w, ids in known.items()}  # one object for each id, however often it occurs
         fresh = {p: known[w[0]] if len(w) == 1 else tuple(i for x in w for i in known[x]) for p, w in cut.items()}
         out = []
         for plan in plans:
@@ -347,6 +350,8 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WO
     """The ``words`` most frequent words of all texts (word binary, n long). Every task sums its texts in a Misra-Gries
     summary of ``SKETCH_WORDS`` words, so what is shuffled is bounded by the number of tasks, whatever the vocabulary."""
 
+    common.bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer_json)
         chunks: Counter = Counter()
@@ -396,19 +401,17 @@ def read_text(path: str) -> str:
         return f.read()
 
 
-_CODECS: dict[tuple[str, str | None], Codec] = {}
-
-
 def worker_codec(tokenizer_json: str, lexicon: str | None) -> Codec:
     """One codec for each Python worker, with the lexicon mapped into memory."""
+    cache = common.worker_cache("bpe")
     key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), lexicon)
-    if key not in _CODECS:
+    if key not in cache:
         gc.disable()  # no cycles arise here, and scanning millions of small tuples for them costs half the time
-        _CODECS.clear()
+        cache.clear()
         codec = Codec(tokenizer_json)
         codec.lexicon = Transducer.open(SparkFiles.get(lexicon)) if lexicon else None
-        _CODECS[key] = codec
-    return _CODECS[key]
+        cache[key] = codec
+    return cache[key]
 
 
 def map_text(docs: DataFrame, schema: T.StructType, text_col: str, fn: Callable[[list], dict]) -> DataFrame:
@@ -417,19 +420,20 @@ def map_text(docs: DataFrame, schema: T.StructType, text_col: str, fn: Callable[
     kept = [f for f in docs.schema.fields if f.name not in new]
     whole = T.StructType([*kept, *schema.fields])
     arrow = {f.name: _arrow(f.dataType) for f in schema.fields}
-    source = "__text"
+    names = [f.name for f in kept]
+    sent = names if text_col in names else [*names, text_col]
+    common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 1000
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                made = fn(part.column(len(kept)).to_pylist())
+                made = fn(part.column(sent.index(text_col)).to_pylist())
                 arrays = [part.column(k) for k in range(len(kept))] + [pa.array(made[f.name], arrow[f.name]) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in whole.fields])
 
-    cols = [F.col(f"`{f.name}`") for f in kept]
-    return docs.select(*cols, F.col(f"`{text_col}`").alias(source)).mapInArrow(run, whole)
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, whole)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64
+from .common import U64, bound_batches, worker_cache
 
 #: Slots of the presence vectors; the most labelled rows that are fitted (over all languages); landmarks; ridge.
 DIM, TRAIN_ROWS, LANDMARKS, RIDGE = 1 << 15, 3000, 384, 1e-2
@@ -44,17 +44,20 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(vectors: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """Classes and the folded matrix (DIM x classes): scores are presence @ matrix / sqrt(n-grams present)."""
+def fit(packed: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
+    """Classes and the folded matrix (DIM x classes): scores are presence @ matrix / sqrt(n-grams present). ``packed`` has
+    the rows' presence bits; only the landmarks and a few rows at a time are unpacked."""
     classes = sorted(set(labels))
-    x = vectors.astype(np.float32)
-    norm = np.sqrt(np.maximum(x.sum(1), 1.0))
+    norm = np.sqrt(np.maximum(np.bitwise_count(packed).sum(1, dtype=np.int64), 1.0))
     chosen: list[int] = []
     rows = {c: [i for i, y in enumerate(labels) if y == c] for c in classes}
     for c in classes:
         chosen += rows[c][: max(1, LANDMARKS // len(classes))]
-    marks = x[chosen] / norm[chosen, None]
-    kernel = (x @ marks.T).astype(np.float64) / norm[:, None]
+    marks = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
+    marks /= norm[chosen, None].astype(np.float32)
+    kernel = np.empty((len(packed), len(chosen)))
+    for lo in range(0, len(packed), 128):
+        kernel[lo : lo + 128] = np.unpackbits(packed[lo : lo + 128], axis=1).astype(np.float32) @ marks.T / norm[lo : lo + 128, None]
     own = kernel[chosen]
     value, vector = np.linalg.eigh((own + own.T) / 2)
     good = value > 1e-6 * value.max()
@@ -89,22 +92,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.join(F.broadcast(picked), "id").select("h", "lang", "text")  # at most TRAIN_ROWS ids
     got = sorted((tuple(r) for r in rows.mapInArrow(vectors, "h long, lang string, bits binary").collect()), key=lambda r: (r[0], r[1], r[2]))
     packed = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(len(got), DIM // 8)
-    return fit(np.unpackbits(packed, axis=1), [r[1] for r in got])
+    return fit(packed, [r[1] for r in got])
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: half of one plus the best ridge output, clipped) for every row."""
     classes, matrix = model
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    sent = kept if text_col in kept else [*kept, text_col]
     out = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # DIM x classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         b = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                texts = part.column(len(kept)).to_pylist()
+                texts = part.column(sent.index(text_col)).to_pylist()
                 known = [bool(classes and t and LETTER.search(t)) for t in texts]
                 names, scores = ["und"] * len(texts), [0.0] * len(texts)
                 at = [i for i, k in enumerate(known) if k]
@@ -116,7 +122,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 arrays = [part.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, out)
 
 
 def held_out(id_col: str = "doc_id"):

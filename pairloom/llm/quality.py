@@ -92,6 +92,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, stats array<double>) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("quality")
         for batch in batches:
             for lo, hi, raw, offsets in common.text_slices(batch.column(1)):
                 flat = pa.array(statistics(raw, offsets).ravel())
@@ -223,6 +224,7 @@ def fit(learn: DataFrame):
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn_if, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, score) of every row of ``docs``, learned from the labels of rows where ``learn_if`` holds."""
+    common.bound_batches(docs.sparkSession)
     stats = common.materialize(document_statistics(docs, id_col, text_col), "statistics")
     named = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
     fold = (F.crc32(F.col("doc_id").cast("string")) % 2).cast("int")

@@ -90,6 +90,7 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
     """The compacted paths of every document (columns doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("substrings")
         for batch in batches:
             for lo, hi, raw, offsets in common.text_slices(batch.column(2)):
                 w = Windows(raw, offsets, window)
@@ -170,6 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     """``docs`` with every word removed that a repeated window covers; the kept words are joined by single spaces, texts
     that lose nothing stay as they are. Added: n_words, n_removed; with ``digest``, kept_sha256 (of the kept words)
     instead of the text. Columns of these names in the input give way."""
+    common.bound_batches(docs.sparkSession)
     spans = repeated_windows(docs, window, id_col, text_col)
     added = ["n_words", "n_removed", "kept_sha256", "__hash", "__spans"]
     rest = [c for c in docs.columns if c not in added and not (digest and c != id_col)]
