@@ -413,3 +413,42 @@ def test_sketch_keeps_frequent_words():
     counts = collections.Counter({f"w{i}": 1 for i in range(1000)} | {"hot": 500, "warm": 90})
     kept = bpe._prune(counts, 10)
     assert kept["hot"] == 499 and set(kept) == {"hot", "warm"}
+
+
+# whole jobs of the near-duplicate stage
+
+
+def brute_components(texts, words, similarity):
+    sets = []
+    for t in texts:
+        w = WORD.findall(t.lower())
+        sets.append({" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or {" ".join(w)})
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if root[i] != root[j] and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    return root
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_all_candidates_are_verified(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "CLUSTER_BLOCK", block, raising=False)
+    rng = random.Random(11)
+    base = prose(12, 400, 5000).split()
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(4, 13)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    want = brute_components(texts, 5, 0.8)
+    assert len(set(want)) > 3
+    assert got == dict(enumerate(want))
