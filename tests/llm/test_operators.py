@@ -452,3 +452,13 @@ def test_all_candidates_are_verified(spark, monkeypatch, block):
     want = brute_components(texts, 5, 0.8)
     assert len(set(want)) > 3
     assert got == dict(enumerate(want))
+
+
+def test_equal_fingerprints_are_verified(spark):
+    line = "this same line comes again "
+    texts = [line * 200 + prose(20 + i, 180, 10**6) for i in range(6)]
+    texts += [texts[0].upper(), texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    assert len({r.fp for r in got}) == 1
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(6)}, 6: 0, 7: 0}
