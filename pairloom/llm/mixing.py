@@ -1,30 +1,36 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's rows fall into blocks. With weight w, a source's i-th block (from 0) may start at slot floor(i / w) and
-must be placed before slot ceil((i + 1) / w); earliest deadline first among the released blocks meets all deadlines when
-the weights add up to one, so that at every slot each source is less than one block from its target. Weights are rounded
-to shares of a period; the schedule of one period, made on the driver, repeats, and a block's slot follows from its
-number. When a source runs out, a new phase starts in which the rest share its weight in proportion. Nothing is dropped.
+Every source's rows fall into blocks. The target is fluid: at every moment each source that has rows left receives its
+weight's share among those that have, so that a source which runs out leaves its share to the rest in proportion. The
+target begins and ends a source's i-th block (from 0) at times that are exact fractions; it may start at the slot that
+holds the first and must be placed before the second, rounded up. Earliest deadline first among the released blocks meets
+all deadlines, so that at every slot each source is less than one block from its target, over any length and for any
+number of sources. The driver steps through the blocks in integer arithmetic and hands slots on in pieces, at most
+``HELD`` at a time and what is incomplete of each source's last piece. Nothing is dropped.
 
 Rows get their places without gathering a source anywhere: a source is hashed into buckets of about ``BUCKET_ROWS`` rows,
 bucket counts give each bucket its first place, and rows are numbered within their bucket.
 
 Cases: rows with a null source form a source of their own; sources without a weight, or of weight zero, share the least
-positive weight given; sources beyond the ``MOST_CLASSES`` largest share one class; repeated rows each get a place;
-an empty table gives an empty table; columns named like an output are replaced by it.
+positive weight given; repeated rows each get a place; an empty table gives an empty table; columns named like an output
+are replaced by it.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period (at least 4 for each source), rows of a hash bucket, sources scheduled apart.
-PERIOD, BUCKET_ROWS, MOST_CLASSES = 1024, 1000, 256
-REST = "\x00rest"
+from . import common
+
+#: Rows of a hash bucket, blocks of a piece of the schedule, slots that the driver holds before they are written.
+BUCKET_ROWS, PIECE, HELD = 1000, 256, 1 << 20
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -66,28 +72,75 @@ def schedule(given: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def phases(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """Rows (source, phase, first block, block after the last, first slot, period, slots in the period)."""
-    left = {s: b for s, b in blocks.items() if b > 0}
-    done = dict.fromkeys(left, 0)
-    slot, phase, out = 0, 0, []
-    while left:
-        period = max(PERIOD, 4 * len(left))
-        plan = schedule(shares({s: weights[s] for s in left}, period))
-
-        def place(s: str, k: int) -> int:
-            return k // len(plan[s]) * period + plan[s][k % len(plan[s])]
-
-        end = min(place(s, left[s] - 1) for s in left) + 1
-        for s in sorted(left):
-            whole, part = divmod(end, period)
-            n = whole * len(plan[s]) + sum(t < part for t in plan[s])
-            out.append((s, phase, done[s], done[s] + n, slot, period, plan[s]))
-            done[s] += n
-            left[s] -= n
-        left = {s: b for s, b in left.items() if b > 0}
-        slot, phase = slot + end, phase + 1
-    return out
+def fluid(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, phase) slot by slot; phase is the number of moments up to the block's start at which the target
+    lets sources run out."""
+    exact = {s: Fraction(weights[s]) for s, b in blocks.items() if b > 0}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    # Until the target has given i / w to each source still there, it has used the blocks of those gone and that much of
+    # the active weight; between ends this is linear.
+    ends = sorted({Fraction(blocks[s], w) for s, w in whole.items()})
+    gone, active = [0] * (len(ends) + 1), [0] * (len(ends) + 1)
+    for s, w in whole.items():
+        k = bisect.bisect_left(ends, Fraction(blocks[s], w)) + 1
+        gone[k] += blocks[s]
+        active[k] -= w
+    active[0] = sum(whole.values())
+    for k in range(1, len(gone)):
+        gone[k] += gone[k - 1]
+        active[k] += active[k - 1]
+
+    def window(s: str, i: int, k: int) -> tuple[int, int, int]:
+        """First slot, slot before which block ``i`` must be placed, and phase, which is ``k`` or more."""
+        w = whole[s]
+        while k < len(ends) and ends[k].numerator * w <= i * ends[k].denominator:
+            k += 1
+        last = k
+        while last < len(ends) and ends[last].numerator * w < (i + 1) * ends[last].denominator:
+            last += 1
+        return gone[k] + active[k] * i // w, gone[last] - (-active[last] * (i + 1) // w), k
+
+    waiting: list[tuple[int, int, str, int, int]] = []
+    for s in sorted(whole):
+        first, deadline, k = window(s, 0, 0)
+        waiting.append((first, deadline, s, 0, k))
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    for t in range(sum(blocks[s] for s in whole)):
+        while waiting and waiting[0][0] <= t:
+            _, deadline, s, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, i, k))
+        deadline, s, i, k = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("a deadline was missed")
+        yield s, i, k
+        if i + 1 < blocks[s]:
+            first, deadline, later = window(s, i + 1, k)
+            heapq.heappush(waiting, (first, deadline, s, i + 1, later))
+
+
+def pieces(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """The schedule as rows (__class, __piece, slots, phases) of ``PIECE`` blocks each."""
+    kind = "__class string, __piece long, slots array<long>, phases array<int>"
+    held: dict[str, tuple[list[int], list[int]]] = {}
+    rows: list[tuple] = []
+    path = None
+    for t, (s, i, k) in enumerate(fluid(weights, blocks)):
+        slots, phases = held.setdefault(s, ([], []))
+        slots.append(t)
+        phases.append(k)
+        if len(slots) == PIECE or i + 1 == blocks[s]:
+            rows.append((s, i // PIECE, *held.pop(s)))
+        if len(rows) * PIECE >= HELD:
+            path = path or common.scratch_path(spark, "mix")
+            spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+            rows = []
+    if path is None:
+        return F.broadcast(spark.createDataFrame(rows, kind))  # at most HELD slots
+    if rows:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.5) -> DataFrame:
@@ -98,23 +151,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     rest = [c for c in docs.columns if c not in added]
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null"))
     counted = docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    large = {r.s: r.n for r in counted.orderBy(F.desc("n"), "s").limit(MOST_CLASSES - 1).collect()}
-    total = counted.agg(F.sum("n").alias("n")).first().n or 0
-    counts = large | ({REST: total - sum(large.values())} if total > sum(large.values()) else {})
+    counts = {r.s: r.n for r in counted.collect()}  # one row a source
     if weights:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         weigh = {s: weights.get(s) or least for s in counts}
     else:
         weigh = {s: n**temperature for s, n in counts.items()}
-    rows = phases(weigh, {s: -(-n // block_rows) for s, n in counts.items()})
-    by_class: dict[str, list] = {s: [] for s in counts}
-    for s, *row in rows:
-        by_class[s].append(tuple(row))
-    plan_type = "s string, n long, plan array<struct<phase int, first long, last long, slot long, period int, slots array<int>>>"
-    plans = F.broadcast(spark.createDataFrame([(s, counts[s], by_class[s]) for s in counts], plan_type))  # one row a class
-
-    known = F.col("s").isin(list(large)) if large else F.lit(False)
-    tagged = docs.select(*(F.col(f"`{c}`") for c in rest), name.alias("s")).withColumn("__class", F.when(known, F.col("s")).otherwise(F.lit(REST))).drop("s")
+    plans = pieces(spark, weigh, {s: -(-n // block_rows) for s, n in counts.items()})
+    tagged = docs.select(*(F.col(f"`{c}`") for c in rest), name.alias("__class"))
     sizes = F.broadcast(spark.createDataFrame([(s, max(1, -(-n // BUCKET_ROWS))) for s, n in counts.items()], "__class string, __n long"))
     key = F.xxhash64(*(F.col(f"`{c}`") for c in dict.fromkeys([id_col, *rest])))
     tagged = tagged.join(sizes, "__class").withColumn("__bucket", F.pmod(key, F.col("__n"))).drop("__n")
@@ -123,12 +167,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     nth = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy(key, F.col(f"`{id_col}`"))) - 1
     numbered = tagged.withColumn("__nth", nth).join(offsets, ["__class", "__bucket"]).withColumn("__at", F.col("__nth") + F.col("__ahead"))
     numbered = numbered.withColumn("block", F.expr(f"__at div {block_rows}"))
-    placed = numbered.join(plans.withColumnRenamed("s", "__class").drop("n"), "__class")
-    placed = placed.withColumn("__p", F.expr("filter(plan, p -> p.first <= block and block < p.last)[0]"))
-    placed = placed.withColumn("__k", F.col("block") - F.col("__p.first"))
-    slot = F.expr("__p.slot + (__k div size(__p.slots)) * __p.period + __p.slots[cast(__k % size(__p.slots) as int)]")
-    placed = placed.withColumn("slot", slot)
-    return placed.select(*(F.col(f"`{c}`") for c in rest), "block", F.col("__p.phase").alias("phase"), "slot", (F.col("slot") * block_rows + F.col("__at") % block_rows).alias("place"))
+    placed = numbered.withColumn("__piece", F.expr(f"block div {PIECE}")).join(plans, ["__class", "__piece"])
+    k = (F.col("block") % PIECE).cast("int")
+    placed = placed.withColumn("slot", F.col("slots")[k]).withColumn("phase", F.col("phases")[k])
+    return placed.select(*(F.col(f"`{c}`") for c in rest), "block", "phase", "slot", (F.col("slot") * block_rows + F.col("__at") % block_rows).alias("place"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

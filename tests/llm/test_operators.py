@@ -462,3 +462,39 @@ def test_equal_fingerprints_are_verified(spark):
     got = simhash.near_duplicates(docs).collect()
     assert len({r.fp for r in got}) == 1
     assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(6)}, 6: 0, 7: 0}
+
+
+# whole jobs of the mix
+
+
+def test_fluid_stays_within_a_block_of_the_weights():
+    third = {"hot": 10.0, **{f"s{i}": 20.0 / 19 for i in range(19)}}
+    zipf = {f"z{i:03}": 1.0 / (i + 1) for i in range(400)}
+    for weights, n in ((third, 60_000), (zipf, 20_000)):
+        total = sum(weights.values())
+        blocks = {s: n for s in weights}
+        done = collections.Counter()
+        for t, (s, i, k) in zip(range(n), mixing.fluid(weights, blocks)):
+            assert i == done[s] and k == 0
+            done[s] += 1
+            if t % 997 == 0 or t > n - 50:
+                assert all(abs(done[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+
+
+def test_fluid_hands_on_the_share_of_sources_that_run_out():
+    weights, blocks = {"a": 0.3, "b": 1.7, "c": 1.0, "d": 5.0}, {"a": 40, "b": 31, "c": 7, "d": 90}
+    seen = list(mixing.fluid(weights, blocks))
+    assert collections.Counter(s for s, _, _ in seen) == blocks and seen[-1][2] == 3
+    order = [i for s, i, _ in seen if s == "a"]
+    assert order == list(range(40)) and [s for s, _, _ in seen[-20:]] == ["a"] * 20
+
+
+def test_mix_serves_every_small_source_by_its_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HELD", 300, raising=False)
+    rows = [(i, f"s{i % 400:03}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {f"s{i:03}": 1.0 + (i % 4) for i in range(400)}
+    got = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.place)
+    total = sum(weights.values())
+    first = collections.Counter(r.source for r in got[:4000])
+    assert len(got) == 8000 and all(abs(first[s] - 4000 * w / total) < 1 + 1e-9 for s, w in weights.items())
