@@ -12,19 +12,19 @@ from pyspark.sql import types as T
 
 from pairloom.llm import bpe, common, langid, mixing, simhash, substring_dedup
 
-#: A document is rejected as being in no known language below this score (half of one plus the best ridge output).
-LEAST_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject null texts, texts without a letter, and texts that no learned language fits. Where no row has a lang,
-    nothing can be learned and only the first two go."""
-    model = langid.train(docs.filter(~langid.held_out()))
-    if not model[0]:
+    """Reject null texts, texts without a letter, and texts that no learned language fits: those whose score or lead is
+    below what cross-validation of the labelled rows finds. Where no row has a lang, nothing can be learned and only the
+    first two go."""
+    packed, labels = langid.examples(docs.filter(~langid.held_out()))
+    if not labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = langid.predict(docs, model)
-    fits = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
-    return judged.filter(fits).select(*docs.columns)
+    score, lead = langid.least_fit(packed, labels)
+    held = [c for c in ("lang_pred", "score", "lead") if c in docs.columns]
+    judged = langid.predict(docs.withColumnsRenamed({c: f"__own_{c}" for c in held}), langid.fit(packed, labels))
+    fits = (F.col("lang_pred") != "und") & (F.col("score") >= score) & (F.col("lead") >= lead)
+    return judged.filter(fits).select(*(F.col(f"`__own_{c}`").alias(c) if c in held else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

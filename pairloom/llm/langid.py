@@ -69,12 +69,57 @@ def fit(packed: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Fit on at most ``TRAIN_ROWS`` rows of ``docs``, as many of each language, picked by a hash of their ids. The pick
-    is cut down before its shuffle; only its packed presence vectors (DIM / 8 bytes each) reach the driver."""
+    """Fit on the rows that ``examples`` picks."""
+    packed, labels = examples(docs, id_col, text_col, lang_col)
+    return fit(packed, labels) if labels else ([], np.zeros((DIM, 0), np.float32))
+
+
+def outputs(packed: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The ridge outputs of packed presence vectors, a few rows at a time."""
+    norm = np.sqrt(np.maximum(np.bitwise_count(packed).sum(1, dtype=np.int64), 1.0))
+    parts = [np.unpackbits(packed[lo : lo + 128], axis=1).astype(np.float32) @ matrix for lo in range(0, len(packed), 128)]
+    return np.concatenate(parts) / norm[:, None]
+
+
+def _lead(s: np.ndarray) -> np.ndarray:
+    """By how much the best output is above the second; 2 where there is but one."""
+    return np.diff(np.sort(s, axis=1)[:, -2:], axis=1)[:, 0] if s.shape[1] > 1 else np.full(len(s), 2.0)
+
+
+def least_fit(packed: np.ndarray, labels: list[str], share: float = 0.02) -> tuple[float, float]:
+    """Score and lead (best output less the second) below which a text fits no language. Each half of the rows is judged
+    by a fit of the other; of the language with the lowest ``share`` quantile, the score is a quarter of the way from 0.5,
+    where texts without evidence lie, and the lead half of the way from 0."""
+    y = np.array(labels)
+    half = np.zeros(len(y), int)
+    for c in set(labels):
+        own = np.flatnonzero(y == c)
+        half[own] = np.arange(len(own)) % 2
+    scores, leads = [], []
+    for k in (0, 1):
+        if not (half != k).any() or not (half == k).any():
+            continue
+        classes, matrix = fit(packed[half != k], y[half != k].tolist())
+        s = outputs(packed[half == k], matrix)
+        for i, c in enumerate(classes):
+            right = (y[half == k] == c) & (s.argmax(1) == i)
+            if right.any():
+                scores.append(np.quantile((1 + s[right, i]) / 2, share))
+                leads.append(np.quantile(_lead(s[right]), share))
+    if not scores:
+        return 0.0, 0.0
+    low = float(min(scores))
+    return min(low, 0.5 + (low - 0.5) / 4), float(min(leads)) / 2
+
+
+def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
+    """Packed presence vectors and languages of at most ``TRAIN_ROWS`` rows of ``docs``, as many of each language, picked
+    by a hash of their ids. The pick is cut down before its shuffle; only its vectors (DIM / 8 bytes each) reach the
+    driver."""
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     languages = named.select(lang_col).distinct().count()
     if not languages:
-        return [], np.zeros((DIM, 0), np.float32)
+        return np.zeros((0, DIM // 8), np.uint8), []
     each = max(1, TRAIN_ROWS // languages)
     order = F.xxhash64(F.col(id_col).cast("string"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
@@ -92,16 +137,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.join(F.broadcast(picked), "id").select("h", "lang", "text")  # at most TRAIN_ROWS ids
     got = sorted((tuple(r) for r in rows.mapInArrow(vectors, "h long, lang string, bits binary").collect()), key=lambda r: (r[0], r[1], r[2]))
     packed = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(len(got), DIM // 8)
-    return fit(packed, [r[1] for r in got])
+    return packed, [r[1] for r in got]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1: half of one plus the best ridge output, clipped) for every row."""
+    """``docs`` with lang_pred, score (0 to 1: half of one plus the best ridge output, clipped) and lead (of the best output
+    over the second) for every row."""
     classes, matrix = model
     bound_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lead")]
     sent = kept if text_col in kept else [*kept, text_col]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("lang_pred", "string").add("score", "double")
+    out = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("lang_pred", "string").add("score", "double").add("lead", "double")
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # DIM x classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,14 +158,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 part = batch.slice(lo, 128)
                 texts = part.column(sent.index(text_col)).to_pylist()
                 known = [bool(classes and t and LETTER.search(t)) for t in texts]
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
+                names, scores, leads = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 at = [i for i, k in enumerate(known) if k]
                 if at:
                     x = presence([texts[i] for i in at])
                     s = (x.astype(np.float32) @ b) / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-                    for i, k, v in zip(at, s.argmax(1).tolist(), s.max(1).tolist()):
-                        names[i], scores[i] = classes[k], min(1.0, max(0.0, (1 + v) / 2))
-                arrays = [part.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                    for i, k, v, ahead in zip(at, s.argmax(1).tolist(), s.max(1).tolist(), _lead(s).tolist()):
+                        names[i], scores[i], leads[i] = classes[k], min(1.0, max(0.0, (1 + v) / 2)), ahead
+                arrays = [part.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, out)

@@ -63,3 +63,17 @@ def test_contract_columns(spark, sf_dir):
         columns = want.get(name.split("_")[0])
         if columns and name.split("_")[0] in ("op2", "op3", "op7"):
             assert query(spark, sf_dir).columns[: len(columns)] == columns
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(3)
+    letters = {"aa": "aeiourstlnm", "bb": "äöüchschgkzwe", "cc": "ñóíáqdlpeosa"}
+    words = {c: ["".join(rng.choice(x) for _ in range(rng.randrange(2, 8))) for _ in range(150)] for c, x in letters.items()}
+    rows = [(i, " ".join(rng.choice(words[c]) for _ in range(rng.randrange(8, 80))), c, "s", 0) for i in range(240) for c in [sorted(words)[i % 3]]]
+    junk = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "我们今天去公园散步因为天气很好而且没有工作 " * 3]
+    junk.append("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000)))
+    junk.append(" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 9))) for _ in range(300)))
+    rows += [(1000 + i, t, None, "s", 0) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == set(range(240))
