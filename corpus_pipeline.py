@@ -45,7 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, place in the mix, n_tokens, ids, and whether the ids decode to the text. Reading files again doesn't keep
+    the order in which they were written, so the place, which depends on the rows alone, is found again here."""
     import public_tokenizers
 
     spec = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
@@ -55,7 +56,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return {"n_tokens": list(map(len, rows)), "ids": rows, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(rows, texts)]}
 
     lexicon = bpe.build_lexicon(docs, spec)
-    return bpe.encode_documents(docs.select("doc_id", "text"), spec, lexicon, then=pack, then_schema=schema).select("doc_id", *schema.names)
+    placed = mixing.mix(docs).select("doc_id", "place", "text")
+    return bpe.encode_documents(placed, spec, lexicon, then=pack, then_schema=schema).select("doc_id", "place", *schema.names)
 
 
 STAGES = [

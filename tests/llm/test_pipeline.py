@@ -77,3 +77,16 @@ def test_texts_of_no_learned_language_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert kept == set(range(240))
+
+
+def test_token_ids_carry_the_place_in_the_mix(spark):
+    sizes = {"hot": 900, "s1": 225, "s2": 100}
+    rows = [(i, f"word {i} again", "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    got = corpus_pipeline.encode(spark, mixed.repartition(7), "").orderBy("place").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in mixed.collect()]
+    weight = {s: n**0.5 for s, n in sizes.items()}
+    for n in (160, 320, 480):
+        part = [rows[r.doc_id][3] for r in got[:n]]
+        assert all(abs(part.count(s) - n * w / sum(weight.values())) < 16 for s, w in weight.items())
