@@ -82,14 +82,16 @@ def outputs(packed: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 
 def _lead(s: np.ndarray) -> np.ndarray:
-    """By how much the best output is above the second; 2 where there is but one."""
-    return np.diff(np.sort(s, axis=1)[:, -2:], axis=1)[:, 0] if s.shape[1] > 1 else np.full(len(s), 2.0)
+    """By how much the best output is above the least, which stays wide where a text mixes languages; 2 where there is
+    but one output."""
+    return s.max(1) - s.min(1) if s.shape[1] > 1 else np.full(len(s), 2.0)
 
 
 def least_fit(packed: np.ndarray, labels: list[str], share: float = 0.02) -> tuple[float, float]:
-    """Score and lead (best output less the second) below which a text fits no language. Each half of the rows is judged
-    by a fit of the other; of the language with the lowest ``share`` quantile, the score is a quarter of the way from 0.5,
-    where texts without evidence lie, and the lead half of the way from 0."""
+    """Score and lead (best output less the least) below which a text fits no language. Each half of the rows is judged
+    by a fit of the other; of the language with the lowest ``share`` quantile, the lead is half of the way from 0, where
+    texts without evidence lie. Texts that mix languages may score low, so the score only counts where there is one
+    language, a quarter of the way from 0.5."""
     y = np.array(labels)
     half = np.zeros(len(y), int)
     for c in set(labels):
@@ -108,8 +110,10 @@ def least_fit(packed: np.ndarray, labels: list[str], share: float = 0.02) -> tup
                 leads.append(np.quantile(_lead(s[right]), share))
     if not scores:
         return 0.0, 0.0
+    if len(set(labels)) > 1:
+        return 0.0, float(min(leads)) / 2
     low = float(min(scores))
-    return min(low, 0.5 + (low - 0.5) / 4), float(min(leads)) / 2
+    return min(low, 0.5 + (low - 0.5) / 4), 0.0
 
 
 def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
@@ -142,7 +146,7 @@ def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1: half of one plus the best ridge output, clipped) and lead (of the best output
-    over the second) for every row."""
+    over the least) for every row."""
     classes, matrix = model
     bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lead")]

@@ -90,3 +90,13 @@ def test_token_ids_carry_the_place_in_the_mix(spark):
     for n in (160, 320, 480):
         part = [rows[r.doc_id][3] for r in got[:n]]
         assert all(abs(part.count(s) - n * w / sum(weight.values())) < 16 for s, w in weight.items())
+
+
+def test_texts_of_two_learned_languages_stay(spark):
+    rng = random.Random(4)
+    words = {c: ["".join(rng.choice(x) for _ in range(rng.randrange(2, 8))) for _ in range(150)] for c, x in {"aa": "aeiourstlnm", "bb": "äöüchschgkzwe", "cc": "ñóíáqdlpeosa"}.items()}
+    said = lambda c: " ".join(rng.choice(words[c]) for _ in range(40))
+    rows = [(i, said(c), c, "s", 0) for i in range(240) for c in [sorted(words)[i % 3]]]
+    rows += [(500 + i, f"{said('aa')} {said('bb')}", None, "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {r[0] for r in rows}
