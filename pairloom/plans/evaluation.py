@@ -96,7 +96,7 @@ def diagnostics(spark, d):
 
 @query("m14_resampled_negatives")
 def resampled(spark, d):
-    return rs.resampled_prevalence(v.predictions(spark, d), 0.5, 10)
+    return rs.resampled_prevalence(v.predictions(spark, d), 0.5, 30)
 
 
 @query("m16_permutation_test")

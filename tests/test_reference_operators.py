@@ -182,3 +182,9 @@ def test_latest_state_as_batch_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
     latest.keep_latest(stream, ["key"], ["at", "payload"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/batch=1")).select("key", "at", "payload").collect()} == {(1, 3, "z"), (2, 1, "c")}
+
+
+def test_resampled_negatives_repeat_as_often_as_the_reference(spark, sf_dir):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["m14_resampled_negatives"](spark, sf_dir).first().repeats == 30
