@@ -1,15 +1,23 @@
-"""Exact substring deduplication over a compacted de Bruijn graph of token k-mers.
-
-Word k-mers are the graph's edges. A window of ``window`` words is named by its least k-mer (by hash, leftmost on a tie);
-consecutive windows of one document that share that k-mer form a path, which compacts into one row: the k-mer, a hash of
-all its words, its source coordinates. Paths that occur again as a whole are repeated in every window. Where a k-mer is
-shared by different paths the graph branches: only those paths, one for each distinct content, are opened into windows,
-whose hashes are matched within the k-mer. Two independent 64-bit hashes back every match. The coordinates then carry
-the repeated spans back to their documents, where covered words are removed.
+"""Exact substring deduplication by de Bruijn compaction of repeated word k-mers.
+
+The graph's edges are the k-mers of ``window`` words, its nodes the ``window`` - 1 words that two edges share, so a window
+is repeated exactly if its edge occurs more than once. Edges are kept as runs: the consecutive windows of a document that
+have the same least ``KMER``-word piece (by hash, leftmost on a tie) make one row with a hash of all their words. A piece
+found in one row only has no repeated edge. Where all rows of a piece hold the same words, the run as a whole is an arc of
+the graph; else the graph may branch inside it, and one run of each content is opened into single edges. Arcs that occur
+once are dropped.
+
+Compaction: traversals are counted for each pair of arcs that follow one another in a document. A node is passed without
+branching if all occurrences of the arc before it go on to the arc after it, which has no others. Such arcs are linked,
+and joins that double pointers (each arc points to the one twice as far back) give every arc the first arc of its
+nonbranching path; what lies on a circle stays as it is. Each document then holds whole paths, known by the coordinates
+of their first arcs. Hashes end here: at all its source coordinates every path's words are read again and their SHA-256
+compared; where they differ, the windows there are told apart by SHA-256 one by one. Hashes that collide therefore remove
+nothing; a repeat could only be missed if two different contents of one piece had equal 64-bit hashes.
 
 Cases: a null text has no words; texts shorter than a window lose nothing; equal texts and repeated rows are repeats of
 one another; doc_id may be null or repeated (rows are told apart by id and text); an empty table gives an empty table;
-other columns are ignored; texts of any length are processed whole.
+other columns, whatever their names, are carried along; texts and windows of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -21,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .common import U64
 
-#: Words of a k-mer: a window holds ``window - KMER + 1`` of them, and one path covers at most as many windows.
-KMER = 8
+#: Words of the pieces that name runs, and the most windows of a run (6 bits of an arc's number tell them).
+KMER, MOST = 8, 60
 _KMERS, _SPANS = common.Rolling(21), common.Rolling(22)
 
 
@@ -47,53 +56,63 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class Windows:
-    """All windows of the texts in a byte buffer, and the paths that they form."""
+class Runs:
+    """All windows of the texts in a byte buffer, as runs that share a least piece."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, window: int):
-        self.window, k = window, min(KMER, window)
+        k = min(KMER, window)
         starts, ends, self.first = common.word_bounds(raw, offsets)
         words = common.word_hashes(raw, starts, ends)
         n = len(words)
-        self.n_words = np.diff(self.first)
+        n_words = np.diff(self.first)
         self.rows = np.zeros(0, np.int64)
         if n < window:
             return
-        kmers = _KMERS.prefix(words)
+        pieces = _KMERS.prefix(words)
         at = np.arange(n - k + 1)
-        self.kmer = common.mix64(_KMERS.spans(kmers, at, at + k))
-        self.spans = _SPANS.prefix(words)
-        least = _sliding_min(self.kmer, window - k + 1)
-        owner = np.repeat(np.arange(len(self.n_words)), self.n_words)
+        piece = common.mix64(_KMERS.spans(pieces, at, at + k))
+        least = _sliding_min(piece, window - k + 1)
+        owner = np.repeat(np.arange(len(n_words)), n_words)
         begin = np.arange(n - window + 1)
         inside = owner[begin] == owner[begin + window - 1]
         begin, least = begin[inside], least[inside]
         if not len(begin):
             return
-        new = np.concatenate(([True], (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1)))
+        part = (least - begin) // MOST  # where in its windows the piece stands, if that can be far apart
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (begin[1:] != begin[:-1] + 1) | (part[1:] != part[:-1])))
         head = np.flatnonzero(new)
         self.begin = begin[head]
         self.count = np.diff(np.append(head, len(begin)))
         self.rows = owner[self.begin]
         self.at = self.begin - self.first[self.rows]
-        self.least = self.kmer[least[head]]
-        self.content = self.hashes(self.begin, self.begin + self.count - 1 + window)
+        self.least = common.mix64(piece[least[head]] + part[head].astype(U64))
+        self.content = _words_hash(_prefix(words), self.begin, self.begin + self.count - 1 + window)
+
+
+def _prefix(words: np.ndarray) -> np.ndarray:
+    return _SPANS.prefix(words)
+
 
-    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return common.mix64(_SPANS.spans(self.spans, begin, end) + (end - begin).astype(U64))
+def _words_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return common.mix64(_SPANS.spans(prefix, begin, end) + (end - begin).astype(U64))
 
 
-PATHS = "doc_id long, text_hash long, at int, n short, kmer long, content long"
+def _arc(hashed: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """An arc's number: ``bits`` bits of its words' hash, and how many edges it holds."""
+    return ((hashed >> U64(64 - bits)) << U64(6) | n.astype(U64)).view(np.int64)
 
 
-def paths(docs: DataFrame, window: int) -> DataFrame:
-    """The compacted paths of every document (columns doc_id, text_hash, text)."""
+RUNS = "doc_id long, text_hash long, at int, n short, kmer long, content long"
+
+
+def runs(docs: DataFrame, window: int) -> DataFrame:
+    """The runs of every document (columns doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.worker_cache("substrings")
         for batch in batches:
             for lo, hi, raw, offsets in common.text_slices(batch.column(2)):
-                w = Windows(raw, offsets, window)
+                w = Runs(raw, offsets, window)
                 if len(w.rows):
                     row = pa.array(w.rows + lo)
                     yield pa.record_batch({
@@ -102,118 +121,199 @@ def paths(docs: DataFrame, window: int) -> DataFrame:
                         "kmer": pa.array(w.least.view(np.int64)), "content": pa.array(w.content.view(np.int64)),
                     })
 
-    return docs.mapInArrow(run, PATHS)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, RUNS)
 
 
-def _open_paths(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
-    """The windows (kmer, content, j, hash, times) of the given paths, read from their documents by coordinates."""
-    listed = branching.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "kmer", "content", "times")).alias("paths"))
+def _at_documents(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """(text, doc_id, text_hash, list) of the documents that ``listed`` (doc_id, text_hash, list) names, once each."""
     a, b = docs.alias("a"), listed.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
-    held = a.join(b, same).select("a.doc_id", "a.text_hash", "a.text", "b.paths")
-    held = held.dropDuplicates(["doc_id", "text_hash"]).select("text", "paths")
+    held = a.join(b, same).select("a.text", "a.doc_id", "a.text_hash", "b.list")
+    return held.dropDuplicates(["doc_id", "text_hash"])
+
+
+def _opened(docs: DataFrame, contents: DataFrame, window: int, bits: int) -> DataFrame:
+    """The arcs (kmer, content, j, arc, times) of one run of each content: the run itself or, where the graph branches,
+    its single edges, read from the document by coordinates."""
+    listed = contents.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "kmer", "content", "times", "branches")).alias("list"))
+    held = _at_documents(docs, listed).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in common.text_slices(batch.column(0)):
                 starts, ends, first = common.word_bounds(raw, offsets)
-                spans = _SPANS.prefix(common.word_hashes(raw, starts, ends))
+                spans = _prefix(common.word_hashes(raw, starts, ends))
                 lists = batch.column(1).slice(lo, hi - lo)
                 flat = lists.flatten()
-                at, n, kmer, content, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                at, n, kmer, content, times, branches = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 row = np.repeat(np.arange(hi - lo), np.array([len(x) for x in lists], np.int64))
-                n = n.astype(np.int64)
-                each = np.repeat(np.arange(len(n)), n)
-                j = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                edges = n.astype(np.int64)
+                arcs = np.where(branches, edges, 1)
+                each = np.repeat(np.arange(len(n)), arcs)
+                j = np.arange(len(each)) - np.repeat(np.cumsum(arcs) - arcs, arcs)
+                held = np.where(branches, 1, edges)[each]
                 begin = first[row[each]] + at[each] + j
-                hashed = common.mix64(_SPANS.spans(spans, begin, begin + window) + U64(window))
+                hashed = _words_hash(spans, begin, begin + held - 1 + window)
                 yield pa.record_batch({
-                    "kmer": kmer[each], "content": content[each], "j": pa.array(j, pa.int16()), "hash": hashed.view(np.int64), "times": times[each],
+                    "kmer": kmer[each], "content": content[each], "j": pa.array(j, pa.int16()), "arc": _arc(hashed, held, bits), "times": times[each],
                 })
 
-    return held.mapInArrow(run, "kmer long, content long, j short, hash long, times long")
-
-
-def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, spans array<struct<at int, mask long>>) for rows with repeated windows: bit j of a mask is set
-    if the window that starts at word ``at + j`` starts anywhere else too."""
-    text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = paths(docs, window)
+    return held.mapInArrow(run, "kmer long, content long, j short, arc long, times long")
+
+
+def _edges(arc: str = "arc"):
+    return F.col(arc).bitwiseAND(63).cast("long")
+
+
+def compact(arcs: DataFrame, passed: DataFrame) -> DataFrame:
+    """(arc, root, off) for every arc: the first arc of its nonbranching path, and how many edges of the path precede it.
+    ``arcs`` has arc, times; ``passed`` has before, after, n: how often one arc follows another. Pointers are doubled in
+    joins until they reach the path's first arc; the arcs of circles, which never do, are paths of their own."""
+    a = arcs.select(F.col("arc").alias("before"), F.col("times").alias("out"))
+    b = arcs.select(F.col("arc").alias("after"), F.col("times").alias("into"))
+    through = passed.filter("before <> after").join(a, "before").join(b, "after").filter("n = out and n = into")
+    links = through.select(F.col("after").alias("arc"), F.col("before").alias("to"), _edges("before").alias("off"))
+    state = arcs.select("arc").join(links, "arc", "left")
+    state = state.select("arc", F.coalesce("to", "arc").alias("to"), F.coalesce("off", F.lit(0).cast("long")).alias("off"), F.col("to").isNull().alias("done"))
+    made = [common.materialize(state, "pointers")]
+    left = made[0].filter("not done").count()
+    while left:
+        known = made[-1]
+        for older in made[:-1]:
+            known = known.unionByName(older.filter("done"))
+        onward = known.select(F.col("arc").alias("to"), F.col("to").alias("next"), F.col("off").alias("more"), "done")
+        moved = made[-1].filter("not done").select("arc", "to", "off").join(onward, "to")
+        made.append(common.materialize(moved.select("arc", F.col("next").alias("to"), (F.col("off") + F.col("more")).alias("off"), "done"), "pointers"))
+        before, left = left, made[-1].filter("not done").count()
+        if left == before:  # every round ends the arcs next to those that have ended: what is left goes round
+            break
+    root = F.when(F.col("done"), F.col("to")).otherwise(F.col("arc"))
+    off = F.when(F.col("done"), F.col("off")).otherwise(0)
+    whole = made[-1].select("arc", root.alias("root"), off.alias("off"))
+    for older in made[:-1]:
+        whole = whole.unionByName(older.filter("done").select("arc", F.col("to").alias("root"), "off"))
+    labels = common.materialize(whole, "unitigs")
+    for table in made:
+        common.release(table)
+    return labels
+
+
+def repeated_paths(docs: DataFrame, window: int, bits: int) -> DataFrame:
+    """(doc_id, text_hash, at, n, root): where in a document a compacted repeated path of ``n`` edges starts."""
+    found = runs(docs, window)
     again = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"))
     again = again.filter("c > 1").select("kmer", (F.col("low") != F.col("high")).alias("branches"))
-    shared = common.materialize(found.join(again, "kmer"), "paths")
-    branching = shared.filter("branches").groupBy("kmer", "content")
-    branching = branching.agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "text_hash", "at", "n")))
-    opened = common.materialize(_open_paths(docs, branching, window), "windows")
-    repeated = opened.groupBy("kmer", "hash").agg(F.sum("times").alias("t")).filter("t > 1").select("kmer", "hash")
-    masks = opened.join(repeated, ["kmer", "hash"]).groupBy("kmer", "content")
-    masks = masks.agg(F.bit_or(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
-    whole = shared.filter("not branches").select("doc_id", "text_hash", "at", F.lit(-1).cast("long").alias("mask"), "n")
-    partly = shared.filter("branches").join(masks, ["kmer", "content"]).select("doc_id", "text_hash", "at", "mask", "n")
-    full = F.expr("shiftleft(1L, cast(n as int)) - 1")
-    spans = whole.unionByName(partly).select("doc_id", "text_hash", F.struct("at", F.col("mask").bitwiseAND(full).alias("mask")).alias("s"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("spans"))
-
-
-def covered(n: int, at: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``n`` words lie in a repeated window."""
-    edge = np.zeros(n + 1, np.int32)
-    bits = mask[:, None] >> np.arange(63) & 1
-    p, j = np.nonzero(bits)
-    start = np.unique(at[p] + j)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(start + window, n), -1)
+    shared = common.materialize(found.join(again, "kmer"), "runs")
+    contents = shared.groupBy("kmer", "content", "branches").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("k"))
+    contents = contents.select("kmer", "content", "branches", "times", "k.*")
+    opened = common.materialize(_opened(docs, contents, window, bits), "arcs")
+    arcs = common.materialize(opened.groupBy("arc").agg(F.sum("times").alias("times")).filter("times > 1"), "repeated")
+    inside = opened.join(arcs.select("arc"), "arc").select("kmer", "content", "j", "arc")
+    placed = shared.join(inside, ["kmer", "content"]).select("doc_id", "text_hash", (F.col("at") + F.col("j")).alias("at"), "arc")
+    listed = placed.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("at", "arc"))).alias("list"))
+    listed = common.materialize(listed, "traversals")
+    steps = F.arrays_zip(F.slice("list", 1, F.greatest(F.size("list") - 1, F.lit(0))).alias("x"), F.slice("list", 2, F.size("list")).alias("y"))
+    pairs = listed.filter(F.size("list") > 1).select(F.explode(steps).alias("s")).select("s.x", "s.y")
+    pairs = pairs.filter(F.col("x.at") + _edges("x.arc") == F.col("y.at"))
+    passed = pairs.groupBy(F.col("x.arc").alias("before"), F.col("y.arc").alias("after")).agg(F.count(F.lit(1)).alias("n"))
+    labels = compact(arcs, passed)
+    paths = labels.groupBy("root").agg(F.sum(_edges()).alias("n"))
+    starts = listed.select("doc_id", "text_hash", F.explode("list").alias("s")).select("doc_id", "text_hash", "s.at", F.col("s.arc").alias("root"))
+    starts = common.materialize(starts.join(paths, "root").select("doc_id", "text_hash", "at", "n", "root"), "paths")
+    for table in (shared, opened, arcs, listed, labels):
+        common.release(table)
+    return starts
+
+
+def covered(n: int, at: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n`` words lie in the spans of so many windows from these words on."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.minimum(at + edges + window - 1, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """``docs`` with every word removed that a repeated window covers; the kept words are joined by single spaces, texts
-    that lose nothing stay as they are. Added: n_words, n_removed; with ``digest``, kept_sha256 (of the kept words)
-    instead of the text. Columns of these names in the input give way."""
-    common.bound_batches(docs.sparkSession)
-    spans = repeated_windows(docs, window, id_col, text_col)
-    added = ["n_words", "n_removed", "kept_sha256", "__hash", "__spans"]
-    rest = [c for c in docs.columns if c not in added and not (digest and c != id_col)]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in rest if c != text_col), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
-    marks = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash"), F.col("spans").alias("__spans"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text_hash"))
-    joined = keyed.join(marks, same, "left")
-    others = [c for c in rest if c != text_col]
-    joined = joined.select(*(F.col(f"`{c}`") for c in others), "__text", F.col("__spans.at").alias("__at"), F.col("__spans.mask").alias("__mask"))
-    kinds = {f.name: f for f in joined.schema.fields}
-    from pyspark.sql import types as T
-
-    out = T.StructType([kinds[c] for c in others])
-    out = out.add("kept_sha256" if digest else text_col, "string").add("n_words", "long").add("n_removed", "long")
+def _removed(docs: DataFrame, paths: DataFrame, window: int, digest: bool) -> DataFrame:
+    """(row, kept, n_words, n_removed, seen) of ``docs`` (row, doc_id, text_hash, text): the text without the words on
+    paths, or its digest, and the SHA-256 (first half) of the words of every path."""
+    marks = paths.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "root")).alias("list"))
+    a, b = docs.alias("a"), marks.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    joined = a.join(b, same, "left").select("a.row", "a.text", F.col("b.list.at").alias("at"), F.col("b.list.n").alias("n"), F.col("b.list.root").alias("root"))
+    seen = T.ArrayType(T.StructType([T.StructField("root", T.LongType()), T.StructField("sha", T.BinaryType())]))
+    out = T.StructType([joined.schema["row"]]).add("kept", "string").add("n_words", "long").add("n_removed", "long").add("seen", seen)
+    sha = hashlib.sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = len(others)
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                made, counts, gone = [], [], []
-                for text, at, mask in zip(*(part.column(k + i).to_pylist() for i in range(3))):
+            for lo, hi, _, _ in common.text_slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                made, counts, gone, read = [], [], [], []
+                for text, at, n, root in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
                     words = (text or "").encode().split()
-                    lost = 0
+                    kept, lost = words, 0
                     if at:
-                        out_of = covered(len(words), np.array(at, np.int64), np.array(mask, np.int64), window)
+                        out_of = covered(len(words), np.array(at, np.int64), np.array(n, np.int64), window)
                         lost = int(out_of.sum())
-                        words_kept = [w for w, x in zip(words, out_of.tolist()) if not x] if lost else words
+                        kept = [w for w, x in zip(words, out_of.tolist()) if not x]
+                        read.append([{"root": r, "sha": sha(b" ".join(words[i : i + m + window - 1])).digest()[:16]} for i, m, r in zip(at, n, root)])
                     else:
-                        words_kept = words
+                        read.append([])
                     counts.append(len(words))
                     gone.append(lost)
-                    if digest:
-                        made.append(hashlib.sha256(b" ".join(words_kept)).hexdigest())
-                    else:
-                        made.append(b" ".join(words_kept).decode() if lost else text)
-                arrays = [part.column(i) for i in range(k)] + [pa.array(made, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
+                    made.append(sha(b" ".join(kept)).hexdigest() if digest else b" ".join(kept).decode() if lost else text)
+                kind = pa.list_(pa.struct([("root", pa.int64()), ("sha", pa.binary())]))
+                arrays = [part.column(0), pa.array(made, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(read, kind)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return joined.mapInArrow(run, out)
 
 
+def _told_apart(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """The windows of ``paths``, as paths of one edge, whose words (by SHA-256) start elsewhere too."""
+    listed = paths.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("list"))
+    rows = docs.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    schema = "doc_id long, text_hash long, at int, sha binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, doc, key, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = (text or "").encode().split()
+                starts = sorted({i for s in spans for i in range(s["at"], s["at"] + s["n"])})
+                made = [hashlib.sha256(b" ".join(words[i : i + window])).digest() for i in starts]
+                each = len(starts)
+                yield pa.record_batch({"doc_id": pa.array([doc] * each, pa.int64()), "text_hash": pa.array([key] * each, pa.int64()), "at": pa.array(starts, pa.int32()), "sha": pa.array(made, pa.binary())})
+
+    told = common.materialize(_at_documents(docs, listed).mapInArrow(run, schema), "told")
+    a, b = told.alias("a"), rows.alias("b")
+    counted = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")))
+    again = counted.groupBy("a.sha").agg(F.sum("b.rows").alias("c")).filter("c > 1").select("sha")
+    return told.join(again, "sha").select("doc_id", "text_hash", "at", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("root"))
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, hash_bits: int = 58) -> DataFrame:
+    """``docs`` with every word removed that a repeated window covers; the kept words are joined by single spaces, texts
+    that lose nothing stay as they are. Added: n_words, n_removed; with ``digest``, kept_sha256 (of the kept words)
+    instead of the text. Columns of these names in the input give way. Arcs have ``hash_bits`` (at most 58) bits of their
+    words' hash for a number; fewer only mean more work."""
+    common.bound_batches(docs.sparkSession)
+    made = "kept_sha256" if digest else text_col
+    rest = [id_col] if digest else [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    paths = repeated_paths(keyed.select("doc_id", "text_hash", "text"), window, hash_bits)
+    done = common.materialize(_removed(keyed, paths, window, digest), "removed")
+    read = done.select(F.explode("seen").alias("s")).groupBy("s.root").agg(F.min("s.sha").alias("low"), F.max("s.sha").alias("high"))
+    unlike = common.materialize(read.filter("low <> high").select("root"), "unlike")
+    if not unlike.isEmpty():
+        told = _told_apart(keyed, paths.join(unlike, "root", "left_semi"), window)
+        paths = common.materialize(paths.join(unlike, "root", "left_anti").unionByName(told.select(*paths.columns)), "paths")
+        done = common.materialize(_removed(keyed, paths, window, digest), "removed")
+    common.release(paths)
+    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in rest), F.col("kept").alias(made), "n_words", "n_removed").select(*(f"`{c}`" for c in rest), f"`{made}`", "n_words", "n_removed")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove words of repeated 35-word windows from every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

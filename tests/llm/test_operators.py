@@ -162,6 +162,39 @@ def test_substring_random_repeats(spark):
     assert got == dict(enumerate(brute_removal(texts, 12)))
 
 
+@pytest.mark.parametrize("window", [3, 35, 80, 120])
+@pytest.mark.parametrize("bits", [58, 4])
+def test_substring_windows_and_colliding_hashes(spark, window, bits):
+    """Any window; with 4 bits of hash nearly all arcs collide, which the words at their coordinates must settle."""
+    rng = random.Random(window)
+    pool = [prose(i, 150, 60) for i in range(5)]
+    texts = [" ".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng.random(), 70, 60) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    texts += ["a b c " * 120, "x " + "a b c " * 90, pool[0] + " " + pool[1], pool[0][200:] + " end", texts[0], None]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    want = collections.Counter((i, *b) for (i, _), b in zip([*enumerate(texts), (0, "")], brute_removal([*texts, texts[0]], window)))
+    got = substring_dedup.remove_repeats(docs, window, digest=True, hash_bits=bits).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_substring_paths_are_compacted(spark):
+    """A passage of 400 words in three documents is one path of 366 edges; a fork cuts it in two."""
+    passage = prose(1, 400, 10**6).split()
+    texts = [" ".join([f"head{i}", *passage, f"tail{i}"]) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, text_hash long")
+    got = substring_dedup.repeated_paths(docs, 35, 58).collect()
+    assert sorted((r.doc_id, r.at, r.n) for r in got) == [(i, 1, 366) for i in range(3)]
+    more = docs.union(spark.createDataFrame([(3, " ".join([*passage[:200], *prose(2, 60, 10**6).split()]), 3)], docs.schema))
+    got = substring_dedup.repeated_paths(more, 35, 58).collect()
+    assert sorted((r.doc_id, r.at, r.n) for r in got) == [(0, 1, 166), (0, 167, 200), (1, 1, 166), (1, 167, 200), (2, 1, 166), (2, 167, 200), (3, 0, 166)]
+
+
+def test_substring_clashing_columns(odd_docs):
+    docs = odd_docs.select("*", *(F.lit(7).alias(c) for c in ("__id", "__text", "__hash", "row", "text_hash", "at", "root", "list", "kept", "seen", "n_removed", "a.b")))
+    got = substring_dedup.remove_repeats(docs, 35)
+    assert {*docs.columns, "n_words"} == set(got.columns) and got.count() == odd_docs.count()
+    assert all(r["__id"] == r["row"] == r["a.b"] == 7 for r in got.collect())
+
+
 # 4 mixing
 
 
