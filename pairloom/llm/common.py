@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,23 +13,51 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
+def packed_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns of a row, whatever their names, as one struct ``row``, so that none can clash with an operator's own."""
+    names = df.columns if columns is None else columns
+    return F.struct(*(F.col(f"`{c}`") for c in names)).alias("row") if names else F.struct(F.lit(0).alias("none")).alias("row")
+
+
+def row_columns(names: list[str]) -> list[Column]:
+    """The columns that ``packed_row`` packed."""
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; one is made only where unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where that is unset, a session
+    within one process takes a folder of its own, and a cluster one in the warehouse, which its executors reach."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="pairloom-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        path = tempfile.mkdtemp(prefix="pairloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pairloom-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand Python at most so many rows of text at a time, which bounds the memory of a batch on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Hand Python a few megabytes and at most some thousand rows at a time, which bounds the memory of a batch on both
+    sides (a longer text comes alone). All operators of this package ask for the same bounds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+@contextlib.contextmanager
+def no_cycles():
+    """Without looks for cyclic garbage, which take long among millions of small objects, while a batch is worked on."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 _CACHES: dict[str, dict] = {}

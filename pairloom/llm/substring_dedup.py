@@ -299,9 +299,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     common.bound_batches(docs.sparkSession)
     made = "kept_sha256" if digest else text_col
     rest = [id_col] if digest else [c for c in docs.columns if c not in (text_col, "n_words", "n_removed")]
-    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
     text = F.col(f"`{text_col}`")
-    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    keyed = docs.select(common.packed_row(docs, rest), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     paths = repeated_paths(keyed.select("doc_id", "text_hash", "text"), window, hash_bits)
     done = common.materialize(_removed(keyed, paths, window, digest), "removed")
     read = done.select(F.explode("seen").alias("s")).groupBy("s.root").agg(F.min("s.sha").alias("low"), F.max("s.sha").alias("high"))
@@ -311,7 +310,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         paths = common.materialize(paths.join(unlike, "root", "left_anti").unionByName(told.select(*paths.columns)), "paths")
         done = common.materialize(_removed(keyed, paths, window, digest), "removed")
     common.release(paths)
-    return done.select(*(F.col(f"row.`{c}`").alias(c) for c in rest), F.col("kept").alias(made), "n_words", "n_removed").select(*(f"`{c}`" for c in rest), f"`{made}`", "n_words", "n_removed")
+    return done.select(*common.row_columns(rest), F.col("kept").alias(made), "n_words", "n_removed")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,29 @@
 
 Dated entries (list, kind, pattern, action, since) become validity intervals: an ``add`` opens one that ends at the next
 entry of the same list, kind and pattern. Kinds: ``host`` (that host), ``domain`` (it and all below it), ``prefix`` (URLs
-whose host and path start so). Intervals are gathered once for each distinct host of the captures, by joining the host's
-suffixes with the list; every capture then joins its host's row and is judged as of its fetch time: an active ``allow``
-entry lets it pass, else an active ``block`` entry blocks it.
+whose host and path start so). Every distinct visit (host, path, time) asks for the keys that may concern it: its host, the
+host's suffixes, and its own beginnings of those lengths that prefixes of its host have. An as-of join then finds the last
+interval of each list, kind and key that began at or before the visit: intervals and visits are sorted by time together,
+and a window carries the last interval on. Keys with many visits are dealt into parts that each see the key's intervals, so
+that no key, host or list gathers in one task. An active ``allow`` entry lets a capture pass, else an active ``block``
+entry blocks it.
 
 Cases: a null or blank URL has host '' and matches nothing; URLs without scheme, with user, port, upper case or a final
 dot are read as browsers do; a null fetch time matches nothing; of entries at one instant ``remove`` wins; repeated
 entries and captures are kept apart or merged without effect on decisions; an empty list passes everything; an empty
-table gives an empty table; input columns named like an output are replaced by it.
+table gives an empty table; input columns named like an output are replaced by it, others, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import packed_row, row_columns
+
+#: Visits of one key that meet in a task.
+PART_VISITS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -38,37 +47,53 @@ def intervals(entries: DataFrame) -> DataFrame:
     return once.withColumn("until", after).filter("action = 'add'").select(*key, "since", "until")
 
 
-def host_rules(hosts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(host, rules) for those of the distinct ``hosts`` that any entry may concern."""
-    spans = intervals(entries)
-    rule = F.struct("list", "kind", "pattern", "since", "until").alias("rule")
-    keyed = spans.select("kind", F.regexp_extract("pattern", r"^([^/]*)", 1).alias("key"), rule)
+def keys_of(visits: DataFrame, spans: DataFrame) -> DataFrame:
+    """(host, full, time, kind, key) for every key of ``visits`` (host, full, time) that an entry might have."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    below = hosts.select("host", F.explode(suffixes).alias("key"))
-    hit = below.join(keyed, "key").filter((F.col("kind") == "domain") | (F.col("key") == F.col("host")))
-    return hit.groupBy("host").agg(F.collect_list("rule").alias("rules"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key")))
+    own = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")))
+    prefixes = spans.filter("kind = 'prefix'").select(F.regexp_extract("pattern", r"^([^/]*)", 1).alias("host"), F.length("pattern").alias("n"))
+    lengths = prefixes.groupBy("host").agg(F.collect_set("n").alias("lengths"))  # at most as many as a URL has characters
+    fitting = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("full"))
+    begins = F.transform(fitting, lambda n: F.struct(F.lit("prefix").alias("kind"), F.substring(F.col("full"), F.lit(1), n).alias("key")))
+    joined = visits.join(lengths, "host", "left").select("host", "full", "time", F.explode(F.concat(own, suffixes, begins)).alias("k"))
+    return joined.select("host", "full", "time", "k.kind", "k.key")
+
+
+def active_entries(visits: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, full, time, names) of those distinct ``visits`` at whose time an entry is active; names are sorted."""
+    spans = intervals(entries).filter("pattern is not null and since is not null").withColumnRenamed("pattern", "key")
+    listed = spans.select("list", "kind", "key").distinct()
+    asked = keys_of(visits, spans.withColumnRenamed("key", "pattern")).join(listed, ["kind", "key"])
+    parts = asked.groupBy("list", "kind", "key").agg(F.ceil(F.count(F.lit(1)) / PART_VISITS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("host", "full", "time"), F.col("parts")).cast("int")
+    asked = asked.join(parts, ["list", "kind", "key"])
+    probes = asked.select("list", "kind", "key", part.alias("part"), F.col("time").alias("at"), F.lit(1).alias("probe"), F.struct("host", "full", "time").alias("visit"), F.lit(None).cast(_span(spans)).alias("span"))
+    began = spans.join(parts, ["list", "kind", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    began = began.select("list", "kind", "key", "part", F.col("since").alias("at"), F.lit(0).alias("probe"), F.lit(None).cast(probes.schema["visit"].dataType).alias("visit"), F.struct("since", "until").alias("span"))
+    order = Window.partitionBy("list", "kind", "key", "part").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    latest = probes.unionByName(began).withColumn("span", F.last("span", ignorenulls=True).over(order)).filter("probe = 1 and span is not null")
+    holds = latest.filter(F.col("span.until").isNull() | (F.col("visit.time") < F.col("span.until")))
+    name = F.concat_ws(":", "list", "kind", "key")
+    return holds.groupBy("visit.host", "visit.full", "visit.time").agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+def _span(spans: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(c, spans.schema[c].dataType) for c in ("since", "until")])
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with host, active (the entries active at fetch time, as sorted 'list:kind:pattern') and decision:
     'allow', 'block' or 'pass'."""
-    rest = [c for c in captures.columns if c not in ("host", "active", "decision", "__full", "__rules")]
-    marked = captures.select(*(F.col(f"`{c}`") for c in rest), host_of(F.col(url_col)).alias("host"), F.concat(host_of(F.col(url_col)), path_of(F.col(url_col))).alias("__full"))
-    rules = host_rules(marked.filter("host <> ''").select("host").distinct(), entries)
-    joined = marked.join(rules.withColumnRenamed("rules", "__rules"), "host", "left")
-    time, full = F.col(f"`{time_col}`"), F.col("__full")
-
-    def holds(r: Column) -> Column:
-        in_time = (r["since"] <= time) & (r["until"].isNull() | (time < r["until"]))
-        return in_time & ((r["kind"] != "prefix") | full.startswith(r["pattern"]))
-
-    active = F.filter(F.coalesce(F.col("__rules"), F.array().cast(rules.schema["rules"].dataType)), holds)
-    names = F.array_sort(F.array_distinct(F.transform(active, lambda r: F.concat_ws(":", r["list"], r["kind"], r["pattern"]))))
-    out = joined.withColumn("active", names)
-    has = lambda name: F.exists("active", lambda x: x.startswith(f"{name}:"))
+    rest = [c for c in captures.columns if c not in ("host", "active", "decision")]
+    url = F.col(f"`{url_col}`")
+    marked = captures.select(packed_row(captures, rest), host_of(url).alias("host"), F.concat(host_of(url), path_of(url)).alias("full"), F.col(f"`{time_col}`").alias("time"))
+    visits = marked.filter("host <> '' and time is not null").select("host", "full", "time").distinct()
+    judged = marked.join(active_entries(visits, entries), ["host", "full", "time"], "left")
+    names = F.coalesce("names", F.array().cast("array<string>"))
+    has = lambda name: F.exists(names, lambda x: x.startswith(f"{name}:"))
     decision = F.when(has("allow"), "allow").when(has("block"), "block").otherwise("pass")
-    return out.select(*(F.col(f"`{c}`") for c in rest), "host", "active", decision.alias("decision"))
+    return judged.select(*row_columns(rest), "host", names.alias("active"), decision.alias("decision"))
 
 
 #: The test tables have neither fetch times nor a list. A capture is given a day of 2024 by its id, and every host, by
