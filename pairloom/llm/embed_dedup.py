@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 from .simhash import _forest
-from .vectors import in_packs, packs_for, usable
+from .vectors import PACK, in_packs, packs_for, pairs_of_packs, usable
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,13 +40,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return unit, q.astype(np.float32 if x.shape[1] <= 1000 else np.float64), scale[:, 0], off
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) of cosine >= threshold; with ``same`` (a is b) each pair once."""
+def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) of cosine >= threshold, a run of rows at a time; with ``same`` (a is b) each pair once."""
     ua, qa, sa, ea = quantise(a)
     ub, qb, sb, eb = (ua, qa, sa, ea) if same else quantise(b)
+    a, b = _bounded(a), _bounded(b)
     worst = eb.max()
     widest = sb.max()
-    found_x, found_y = [], []
     for lo in range(0, len(a), 512):
         hi = min(lo + 512, len(a))
         product = qa[lo:hi] @ qb.T
@@ -62,10 +62,17 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tu
             i, j = x[at : at + 200_000], y[at : at + 200_000]
             exact = np.einsum("ij,ij->i", a[i], b[j]) / (np.sqrt(np.einsum("ij,ij->i", a[i], a[i])) * np.sqrt(np.einsum("ij,ij->i", b[j], b[j])))
             good = exact >= threshold
-            found_x.append(i[good])
-            found_y.append(j[good])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_x]), np.concatenate([none, *found_y])
+            yield i[good], j[good]
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """The vectors themselves, scaled by a power of two (which is exact) where squares could leave the range of doubles."""
+    largest = np.abs(x).max(1, initial=0)
+    far = (largest > 1e100) | (largest < 1e-100)
+    if not far.any():
+        return x
+    scale = np.where(far & (largest > 0), -np.frexp(largest)[1], 0)
+    return np.ldexp(x, scale[:, None])
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -75,11 +82,12 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     wide = vector.cast("array<double>")
     live = usable(vector) & F.coalesce(F.exists(wide, lambda x: x != 0), F.lit(False))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.when(live, F.transform(wide, lambda x: x + F.lit(0.0))).alias("v"))
-    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    classes = rows.filter("v is not null").groupBy("v").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least"))
-    classes = common.materialize(classes, "vectors")
+    # 128 bits name a vector, and each class has a number of its own from there on
+    rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.xxhash64(F.lit(7), "v"))
+    classes = rows.filter("v is not null").groupBy("v").agg(F.first("h").alias("h"), F.first("h2").alias("h2"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least"))
+    classes = common.materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
-    packs = packs_for(n)
+    packs = packs_for(n, min(16384, max(PACK, n // 64)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -98,9 +106,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     packed = common.materialize(in_packs(classes.select("node", "times", "v"), packs).mapInArrow(pack, "pack int, d int, node binary, times binary, v binary"), "packs")
     columns = ("node", "times", "v")
-    left = packed.select("d", F.col("pack").alias("i"), F.explode(F.sequence(F.col("pack"), F.lit(packs - 1))).alias("j"), *columns)
-    right = packed.select("d", F.explode(F.sequence(F.lit(0), F.col("pack"))).alias("i"), F.col("pack").alias("j"), *(F.col(c).alias(f"{c}_2") for c in columns))
-    grid = left.repartition(packs * (packs + 1) // 2, "d", "i", "j").join(right, ["d", "i", "j"])
+    grid = pairs_of_packs(packed, packs, columns)
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,27 +114,34 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
                 d, i, j, node, times, v, node_2, times_2, v_2 = (batch.column(c)[r].as_py() for c in range(9))
                 a, b = np.frombuffer(v).reshape(-1, d), np.frombuffer(v_2).reshape(-1, d)
                 node, times, node_2, times_2 = (np.frombuffer(x, np.int64) for x in (node, times, node_2, times_2))
-                x, y = tile_links(a, b, i == j, threshold)
-                if not len(x):
+                shift = 0 if i == j else len(a)
+                who = node if i == j else np.concatenate([node, node_2])
+                count = np.zeros(len(who), np.int64)
+                fx = fy = np.zeros(0, np.int64)
+                for x, y in tile_links(a, b, i == j, threshold):
+                    np.add.at(count, x, times_2[y])
+                    np.add.at(count, y + shift, times[x])
+                    fx, fy = np.concatenate([fx, x]), np.concatenate([fy, y + shift])
+                    if len(fx) > 4 * len(who):
+                        fx, fy = _forest(fx, fy, len(who))
+                if not len(fx):
                     continue
-                count = np.zeros(len(a) + len(b), np.int64)
-                np.add.at(count, x, times_2[y])
-                np.add.at(count, y + (0 if i == j else len(a)), times[x])
-                who = np.concatenate([node, node_2])
                 some = np.flatnonzero(count)
                 yield pa.record_batch({"a": who[some], "b": pa.nulls(len(some), pa.int64()), "n": count[some]})
-                fx, fy = _forest(x, y + (0 if i == j else len(a)), len(who))
+                fx, fy = _forest(fx, fy, len(who))
                 yield pa.record_batch({"a": who[fx], "b": pa.array(who[fy]), "n": np.zeros(len(fx), np.int64)})
 
-    found = common.materialize(grid.select("d", "i", "j", *columns, *(f"{c}_2" for c in columns)).mapInArrow(tile, "a long, b long, n long"), "tiles")
+    found = common.materialize(grid.mapInArrow(tile, "a long, b long, n long"), "tiles")
+    common.release(packed)
     roots = connected_components(found.filter("b is not null").select("a", "b"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = classes.select("node", "times", "least").join(counts, "node", "left").join(roots, "node", "left")
     named = common.materialize(named.select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("node", "n_links", "component_id")
-    alone = rows.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = rows.filter("node is not null").select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id")
+    alone = rows.filter("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = named.join(classes.select("node", "h", "h2"), "node")
+    linked = rows.filter("h is not null").select("vec_id", "h", "h2").join(named, ["h", "h2"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .vectors import PACK, in_packs, packs_for, usable
+from .vectors import MOST_PARTS, PACK, blocks_for, in_packs, packs_for, usable
 
 QUERY_PACK = 2048
 #: Postings that hold this share of a pack are kept dense.
@@ -109,13 +109,15 @@ def top_k(table: DataFrame, is_query: Column, weights: Column, k: int, id_col: s
     array<long> column, null for rows that take no part."""
     rows = table.select(F.col(id_col).cast("long").alias("id"), weights.alias("w"), is_query.alias("q")).filter("id is not null and w is not null")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
-    c_packs, q_packs = packs_for(sums.n), packs_for(sums.q or 0, QUERY_PACK)
+    c_packs, q_packs = packs_for(sums.n, min(16384, max(PACK, sums.n // 64))), packs_for(sums.q or 0, QUERY_PACK)
     candidates = _pack(in_packs(rows.select("id", "w"), c_packs), "candidates")
     queries = _pack(in_packs(rows.filter("q").select("id", "w").dropDuplicates(["id"]), q_packs), "queries")
-    left = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(q_packs - 1))))
-    right = queries.select(F.col("pack").alias("other"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "terms", "weights")))
-    right = right.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(c_packs - 1))))
-    grid = left.repartition(c_packs * q_packs, "pack", "other").join(right, ["pack", "other"])
+    (c_each, c_blocks), (q_each, q_blocks) = blocks_for(c_packs), blocks_for(q_packs)
+    fields = ("ids", "sizes", "terms", "weights")
+    left = candidates.select(F.expr(f"pack div {c_each}").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("y"), *fields)
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("x"), F.expr(f"pack div {q_each}").alias("y"), *(F.col(c).alias(f"q_{c}") for c in fields))
+    dealt = left.withColumn("x", F.col("x").cast("int")).withColumn("y", F.col("y").cast("int")).repartition(min(MOST_PARTS, c_blocks * q_blocks), "x", "y")
+    grid = dealt.join(right.withColumn("x", F.col("x").cast("int")).withColumn("y", F.col("y").cast("int")), ["x", "y"])
     names = ["ids", "sizes", "terms", "weights", "q_ids", "q_sizes", "q_terms", "q_weights"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
