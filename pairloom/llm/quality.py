@@ -1,7 +1,7 @@
 """Quality scores: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 Statistics of every whole text are computed once. Labelled rows add up to normal equations, a matrix a partition and
-fold, summed in two steps; the driver solves systems of ``FEATURES`` + 1 unknowns. The scores that each fold gets from
+fold, summed in a tree; the driver solves systems of ``FEATURES`` + 1 unknowns. The scores that each fold gets from
 the other fold's fit, counted in ``BINS`` bins, are calibrated by pooling adjacent violators.
 
 Cases: null and empty texts have statistics of zero and are scored; a null doc_id counts as an empty key for the held-out
@@ -120,25 +120,32 @@ class Features:
         return np.hstack([np.sqrt(2 / FEATURES) * np.cos(x @ self.w + self.b), np.ones((len(x), 1))])
 
 
+#: Vectors that one task adds up.
+FAN_IN = 64
+
+
 def _summed(df: DataFrame, fn, size: int) -> dict[int, np.ndarray]:
-    """Sums over all partitions of the vectors of ``size`` that ``fn(batches)`` gives for each key: first over sixteenths
-    of the partitions, then over those."""
+    """Sums over all partitions of the vectors of ``size`` that ``fn(batches)`` gives for each key, added up in a tree:
+    at most ``FAN_IN`` vectors meet in a task, in the order of their partitions."""
     schema = "k int, part int, v binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % 16
+        part = TaskContext.get().partitionId()
         for k, v in fn(batches).items():
             yield pa.record_batch({"k": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "v": pa.array([v.astype(np.float64).tobytes()], pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size)
-        for v in frame["v"]:
+        for v in frame.sort_values("part")["v"]:
             total += np.frombuffer(v)
-        return pd.DataFrame({"k": frame["k"].iloc[:1], "part": [0], "v": [total.tobytes()]})
+        return pd.DataFrame({"k": frame["k"].iloc[:1], "part": frame["part"].iloc[:1] // FAN_IN, "v": [total.tobytes()]})
 
-    rows = df.mapInArrow(run, schema).groupBy("k", "part").applyInPandas(add, schema).groupBy("k").applyInPandas(add, schema)
+    rows, left = df.mapInArrow(run, schema), df.rdd.getNumPartitions()
+    while left > 1:
+        rows = rows.groupBy("k", F.expr(f"part div {FAN_IN}")).applyInPandas(add, schema)
+        left = -(-left // FAN_IN)
     return {r.k: np.frombuffer(r.v) for r in rows.collect()}
 
 
