@@ -117,29 +117,32 @@ def least_fit(packed: np.ndarray, labels: list[str], share: float = 0.02) -> tup
 
 
 def examples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
-    """Packed presence vectors and languages of at most ``TRAIN_ROWS`` rows of ``docs``, as many of each language, picked
-    by a hash of their ids. The pick is cut down before its shuffle; only its vectors (DIM / 8 bytes each) reach the
-    driver."""
+    """Packed presence vectors and languages of at most ``TRAIN_ROWS`` distinct rows of ``docs`` (one a language, if there
+    are more languages than that), as many of each language, picked by a hash of id and text. A threshold on the hash, from
+    each language's number of distinct rows, cuts the pick down to about twice what is needed before anything is shuffled;
+    only its vectors (DIM / 8 bytes each) reach the driver."""
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    languages = named.select(lang_col).distinct().count()
+    named = named.select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
+    languages = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not languages:
         return np.zeros((0, DIM // 8), np.uint8), []
-    each = max(1, TRAIN_ROWS // languages)
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    picked = named.select(F.col(lang_col).alias("lang"), order.alias("h"), F.col(id_col).alias("id")).withColumn("nth", nth)
-    picked = picked.filter(F.col("nth") <= each).select("id").distinct()
+    each = max(1, TRAIN_ROWS // len(languages))
+    most = [(r.lang, min(2**63 - 1, int((2 * each + 20) / max(r.n, 1) * 2**63))) for r in languages]
+    most = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long"))  # one row a language
+    few = named.select("lang", "h").join(most, "lang").filter(F.col("h").bitwiseAND((1 << 63) - 1) <= F.col("most")).select("lang", "h").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = few.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 bits = np.packbits(presence(part.column(2).to_pylist()), axis=1)
-                yield pa.record_batch({"h": part.column(0), "lang": part.column(1), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
+                yield pa.record_batch({"h": part.column(1), "lang": part.column(0), "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
 
-    rows = named.select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    rows = rows.join(F.broadcast(picked), "id").select("h", "lang", "text")  # at most TRAIN_ROWS ids
-    got = sorted((tuple(r) for r in rows.mapInArrow(vectors, "h long, lang string, bits binary").collect()), key=lambda r: (r[0], r[1], r[2]))
+    rows = named.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])  # at most TRAIN_ROWS keys
+    got = sorted((tuple(r) for r in rows.select("lang", "h", "text").mapInArrow(vectors, "h long, lang string, bits binary").collect()), key=lambda r: (r[0], r[1], r[2]))
     packed = np.frombuffer(b"".join(r[2] for r in got), np.uint8).reshape(len(got), DIM // 8)
     return packed, [r[1] for r in got]
 
