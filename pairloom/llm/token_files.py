@@ -21,7 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import struct
 import zlib
@@ -42,6 +42,15 @@ BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 18
 WHOLE = regex.compile("[\x1c-\x1f]")
 MEMO = 800_000
 #: A word of letters (of which none composes, and lower case is one to one), then punctuation without an apostrophe.
+# The parts of a tokenizer file under which a text's ids are those of its words, as WordEncoder takes them.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "truncation": None, "padding": None,
+}
 SUSPECT = np.zeros(256, bool)
 SUSPECT[[0x1C, 0x1D, 0x1E, 0x1F, ord("<")]] = True
 STEM = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -112,7 +121,7 @@ def unpack(data: bytes, blocks: slice | None = None) -> tuple[np.ndarray, np.nda
 class WordEncoder:
     """The library's ids of whole texts, by way of their words: this tokenizer drops white space, and no token spans
     it, so a text's ids are those of its words, which repeat. Special tokens, and control characters that count as white
-    space only for one of the two, send a text to the library as it is.
+    space only for one of the two, send a text to the library as it is; a file with other rules sends all of them.
 
     Words of letters with punctuation behind, the most of them, are two pre-tokens, and letters are lower-cased first: so
     what is remembered are lower-case stems and tails. Stems go to the library many at a time; each ends with the only
@@ -123,8 +132,12 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        gc.disable()  # no cycles arise here, and looking for them among millions of strings takes long
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_words = all(spec.get(k) == v for k, v in BY_WORDS.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = regex.compile("|".join([WHOLE.pattern, *map(regex.escape, special)]))
         self.memo: dict[str, bytes] = {}
@@ -173,6 +186,9 @@ class WordEncoder:
         over the texts by position."""
         memo = self.memo
         column = pc.fill_null(column, "") if column.null_count else column
+        if not self.by_words:
+            rows = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in self.raw(column.to_pylist())]
+            return np.concatenate([np.zeros(0, np.uint32), *rows]), np.array([len(x) for x in rows], np.int64)
         apart = {i: text for i in self._odd_rows(column) if self.whole.search(text := column[i].as_py())}
         if apart:
             mask = np.zeros(len(column), bool)
@@ -225,7 +241,7 @@ class WordEncoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, in ascending order of ids, and write its ids as segments under ``path``."""
-    common.bound_batches(docs.sparkSession, 4000)
+    common.bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -238,7 +254,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
         before = segment = 0
         for batch in batches:
             for lo, hi, _, _ in common.text_slices(batch.column(1), 8 << 20):
-                flat, lengths = encoder.encode(batch.column(1).slice(lo, hi - lo), end)
+                with common.no_cycles():
+                    flat, lengths = encoder.encode(batch.column(1).slice(lo, hi - lo), end)
                 ends = np.cumsum(lengths)
                 first = 0
                 while first < len(lengths):
