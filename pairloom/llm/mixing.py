@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a hash bucket, blocks of a piece of the schedule, slots that the driver holds before they are written.
+#: Least rows of a hash bucket, blocks of a piece of the schedule, slots that the driver holds before they are written.
 BUCKET_ROWS, PIECE, HELD = 1000, 256, 1 << 20
 
 
@@ -143,9 +143,10 @@ def pieces(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int
     return spark.read.schema(kind).parquet(path)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", temperature: float = 0.5, key_cols: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with block (within the source), phase, slot (of the block in the mix) and place (of the row: ascending
-    order is the mix). Without ``weights`` a source weighs its number of rows to the power ``temperature``."""
+    order is the mix). Without ``weights`` a source weighs its number of rows to the power ``temperature``.
+    A row's place among its source's depends on the hash of ``key_cols``, by default all columns."""
     spark = docs.sparkSession
     added = ("block", "phase", "slot", "place", "__class", "__bucket", "__n")
     rest = [c for c in docs.columns if c not in added]
@@ -159,8 +160,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         weigh = {s: n**temperature for s, n in counts.items()}
     plans = pieces(spark, weigh, {s: -(-n // block_rows) for s, n in counts.items()})
     tagged = docs.select(*(F.col(f"`{c}`") for c in rest), name.alias("__class"))
-    sizes = F.broadcast(spark.createDataFrame([(s, max(1, -(-n // BUCKET_ROWS))) for s, n in counts.items()], "__class string, __n long"))
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in dict.fromkeys([id_col, *rest])))
+    per = {s: max(BUCKET_ROWS, math.isqrt(n)) for s, n in counts.items()}  # neither buckets nor their rows grow faster than the root
+    sizes = F.broadcast(spark.createDataFrame([(s, max(1, -(-n // per[s]))) for s, n in counts.items()], "__class string, __n long"))
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in key_cols or dict.fromkeys([id_col, *rest])))
     tagged = tagged.join(sizes, "__class").withColumn("__bucket", F.pmod(key, F.col("__n"))).drop("__n")
     ahead = F.coalesce(F.sum("m").over(Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = tagged.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("m")).select("__class", "__bucket", ahead.alias("__ahead"))
