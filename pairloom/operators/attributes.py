@@ -21,6 +21,63 @@ def parse_folded(text: Column) -> Column:
     return F.transform_values(bag, lambda k, x: tx.fold(x))
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Entries without those whose key comes again later."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+
+
+def folded_bag(text: Column) -> Column:
+    """As ``parse_folded``, with folded keys too; of members with one folded key the last counts."""
+    pairs = F.transform(F.map_entries(parse_folded(text)), lambda e: F.struct(tx.fold(e["key"]).alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(_last_of_each(F.filter(pairs, lambda e: e["key"] != "")))
+
+
+def values_where(bag: Column | str, pattern: str) -> Column:
+    """Distinct values of the keys that match a pattern."""
+    return F.array_distinct(F.map_values(F.map_filter(bag, lambda k, _: k.rlike(pattern))))
+
+
+def flat_values(text: Column, depth: int = 3) -> Column:
+    """The values in one member of a JSON object, as an array: lists are flattened (to ``depth`` levels), anything else is one
+    value; null and blank values are none."""
+    one = F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array(text))
+    if depth:
+        listed = F.from_json(text, "array<string>")
+        one = F.when(text.startswith("[") & listed.isNotNull(), F.flatten(F.transform(listed, lambda x: flat_values(x, depth - 1)))).otherwise(one)
+    return F.filter(one, lambda x: F.trim(x) != "")
+
+
+def multi_entries(text: Column) -> Column:
+    """(key, values) of a JSON object's members, or of a list of {key or name, value} records; folded, values distinct and
+    sorted, empty keys and values left out. Invalid JSON and other kinds have none."""
+    bag = F.map_entries(F.from_json(text, "map<string,string>"))
+    records = F.from_json(text, "array<struct<key:string,name:string,value:string>>")
+    listed = F.transform(F.filter(records, lambda r: r["value"].isNotNull()), lambda r: F.struct(F.coalesce(r["key"], r["name"]).alias("key"), r["value"].alias("value")))
+    either = F.when(F.ltrim(text).startswith("["), listed).otherwise(bag)
+    folded = F.transform(either, lambda e: F.struct(tx.fold(e["key"]).alias("key"), F.array_sort(F.array_distinct(F.transform(flat_values(e["value"]), tx.fold))).alias("values")))
+    kept = F.filter(folded, lambda e: (e["key"] != "") & (F.size(e["values"]) > 0))
+    return F.coalesce(kept, F.array().cast("array<struct<key:string,values:array<string>>>"))
+
+
+def multi_bag(text: Column) -> Column:
+    """Folded key -> sorted distinct values; of members with one folded key the last counts."""
+    return F.map_from_entries(_last_of_each(multi_entries(text)))
+
+
+def set_relation(a: Column, b: Column) -> Column:
+    """How two sets of values differ: missing_one_side, specificity_difference (a common value, or one's text inside the
+    other's), different_value; null where they don't."""
+    x, y = F.array_join(F.array_sort(a), " "), F.array_join(F.array_sort(b), " ")
+    empty_a, empty_b = F.size(a) == 0, F.size(b) == 0
+    return (
+        F.when(empty_a & empty_b, None)
+        .when(empty_a | empty_b, "missing_one_side")
+        .when(x == y, None)
+        .when(F.arrays_overlap(a, b) | x.contains(y) | y.contains(x), "specificity_difference")
+        .otherwise("different_value")
+    )
+
+
 def entries(items: DataFrame, *columns: str) -> DataFrame:
     """One row for each attribute of each item: key, value."""
     return items.select(*columns, F.explode(parse(F.col("attributes"))).alias("key", "value"))

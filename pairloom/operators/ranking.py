@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,14 @@ def pareto(df: DataFrame, better_high: list[str]) -> DataFrame:
     for r in reach:
         condition = condition & r
     return df.join(other, condition, "left_anti")
+
+
+def next_after(x: Column, up: bool) -> Column:
+    """The next double above or below (Arrow batches; for short curves)."""
+    to = float("inf") if up else float("-inf")
+
+    @F.pandas_udf("double")
+    def step(s: pd.Series) -> pd.Series:
+        return pd.Series(np.nextafter(s.to_numpy(np.float64), to))
+
+    return step(x)

@@ -237,13 +237,6 @@ def priors(spark, d):
     return g.select("category", F.round(F.col("p") / F.sum("p").over(whole), 6).alias("positive_share"), F.round(F.col("n") / F.sum("n").over(whole), 6).alias("pair_share"))
 
 
-@query("r7_r8_r10_gates_and_vetoes", "select id1, id2, coalesce(case when id1 % 17 = 0 then 'veto' end, case when score < 0.1 then 'low gate' end, case when score > 0.95 then 'high gate' end, 'model') as reason from predictions")
-def policy(spark, d):
-    s = F.col("score")
-    first = F.coalesce(F.when(F.col("id1") % 17 == 0, "veto"), F.when(s < 0.1, "low gate"), F.when(s > 0.95, "high gate"), F.lit("model"))
-    return v.predictions(spark, d).select("id1", "id2", first.alias("reason"))
-
-
 @query("r16_r17_evidence_tiers", "select p_brand as rule, case when n >= 80 and r >= 0.34 then 'strong' when n >= 40 then 'medium' else 'weak' end as tier, n from (select p_brand, count(*) as n, avg(target) as r from predictions join part on p_partkey = id1 group by 1)")
 def tiers(spark, d):
     brand = v.read(spark, d, "part").select(F.col("p_partkey").alias("id1"), F.col("p_brand").alias("rule"))
@@ -301,5 +294,3 @@ def scenarios(spark, d):
 def samples(spark, d):
     order = [F.md5(F.concat(F.lit("mix:"), F.concat_ws(":", "id1", "id2")).cast("binary")), "id1", "id2"]
     return au.anchored(v.predictions(spark, d), ["category"], 0.1, order).select("id1", "id2")
-
-

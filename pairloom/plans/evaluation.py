@@ -310,12 +310,6 @@ def staged(spark, d):
     return ro.staged(v.predictions(spark, d)).select("id1", "id2", F.round("final", 6).alias("final"))
 
 
-@query("r22_r25_blends", """select id1, id2, round(0.6 * score + 0.4 * score_b, 6) as linear, round(1 / (1 + exp(-(0.6 * ln(a / (1 - a)) + 0.4 * ln(b / (1 - b))))), 6) as logit_blend, abs(score - score_b) > 0.3 as gated from (select *, least(greatest(score, 1e-6), 1 - 1e-6) as a, least(greatest(score_b, 1e-6), 1 - 1e-6) as b from predictions)""")
-def blends(spark, d):
-    a, b = F.col("score"), F.col("score_b")
-    return v.predictions(spark, d).select("id1", "id2", F.round(0.6 * a + 0.4 * b, 6).alias("linear"), F.round(nm.sigmoid(0.6 * nm.logit(a) + 0.4 * nm.logit(b)), 6).alias("logit_blend"), (F.abs(a - b) > 0.3).alias("gated"))
-
-
 @query("r20_oracle_routing_grid", """select budget, round(avg(case when r <= floor(n * budget + 1e-12) and gain > 0 then abs(score_b - target) else abs(score - target) end), 6) as mae from (select unnest([0.05, 0.1, 0.2, 0.4])::double as budget),
   (select *, abs(score - target) - abs(score_b - target) as gain, row_number() over (order by abs(score - target) - abs(score_b - target) desc, id1, id2) as r, count(*) over () as n from predictions) group by budget""")
 def routing_grid(spark, d):
@@ -358,4 +352,3 @@ def hybrid(spark, d):
 def water_fill(spark, d):
     sizes = v.predictions(spark, d).groupBy("category").agg(_n().alias("capacity"), (F.count_distinct("id1") % 5 + 1.0).alias("weight"))
     return rt.water_fill(sizes, 200).select("category", "quota")
-

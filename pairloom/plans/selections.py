@@ -38,11 +38,6 @@ def compatible(spark, d):
     return out.filter("n > 0")
 
 
-@query("w10_two_tails")
-def tails(spark, d):
-    return se.two_tails(v.predictions(spark, d), 0.25)
-
-
 @query("w24_group_boundaries", "select category, id1, id2, row_number() over w = 1 as starts, row_number() over w = count(*) over (partition by category) as ends from predictions window w as (partition by category order by score, id1, id2)")
 def boundaries(spark, d):
     w = Window.partitionBy("category").orderBy("score", "id1", "id2")
@@ -79,18 +74,6 @@ def shuffled(spark, d):
     return gathered.select("id", F.array_join(F.transform("a", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("text"))
 
 
-@query("b8_b10_key_concepts", "select case when regexp_matches(key, 'pri') then 'money' when regexp_matches(key, 'siz') then 'measure' when regexp_matches(key, 'bra|typ') then 'kind' else 'other' end as concept, count(*) as n, count(distinct value) as values from keyed group by 1", SAFE)
-def concepts(spark, d):
-    k = F.col("key")
-    concept = F.when(k.rlike("pri"), "money").when(k.rlike("siz"), "measure").when(k.rlike("bra|typ"), "kind").otherwise("other")
-    return at.entries(v.items(spark, d)).groupBy(concept.alias("concept")).agg(_n().alias("n"), F.count_distinct("value").alias("values"))
-
-
-@query("b12_n4_family_values", "select category, key, count(distinct lower(value)) as domain from keyed group by category, key", SAFE)
-def families(spark, d):
-    return at.entries(v.items(spark, d), "category").groupBy("category", "key").agg(F.count_distinct(F.lower("value")).alias("domain"))
-
-
 @query("b15_b17_nested_json", "select event_type, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as total, count(*) as n from events group by event_type")
 def nested(spark, d):
     wrapped = v.read(spark, d, "events").select("event_type", F.concat(F.lit('{"facts": ['), "props", F.lit("]}")).alias("j"))
@@ -106,27 +89,6 @@ def canonical_values(spark, d):
     return rows.select("id", F.round(F.col("m.value") * 1000, 6).alias("mm"))
 
 
-@query("n23_lexical_mix", """select id1, id2, round(0.5 * j + 0.3 * l + 0.2 * (fa = fb)::int, 6) as mix from (select m.id1, m.id2, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as j, least(length(x.name), length(y.name)) / greatest(length(x.name), length(y.name))::double as l, regexp_extract(lower(x.name), '[0-9a-zа-я]+') as fa, regexp_extract(lower(y.name), '[0-9a-zа-я]+') as fb
-  from matches m join (select *, list_distinct(regexp_extract_all(lower(name), '[0-9a-zа-я]+')) as a from items) x on x.id = m.id1 join (select *, list_distinct(regexp_extract_all(lower(name), '[0-9a-zа-я]+')) as a, list_distinct(regexp_extract_all(lower(name), '[0-9a-zа-я]+')) as b from items) y on y.id = m.id2)""".replace("list_intersect(a, b)", "list_intersect(x.a, y.b)").replace("list_concat(a, b)", "list_concat(x.a, y.b)"))
-def lexical_mix(spark, d):
-    items = v.items(spark, d).select("id", F.length("name").alias("n"), tx.tokens(F.col("name")).alias("t"))
-    p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), items, ("n", "t"))
-    first = (F.element_at("t_1", 1) == F.element_at("t_2", 1)).cast("int")
-    mix = 0.5 * nm.jaccard(F.col("t_1"), F.col("t_2")) + 0.3 * F.least("n_1", "n_2") / F.greatest("n_1", "n_2") + 0.2 * first
-    return p.select("id1", "id2", F.round(mix, 6).alias("mix"))
-
-
-@query("f11_f13_conflict_priority", """select id1, id2, concat_ws('+', case when a <> b then 'brand' end, case when c <> e then 'size' end) as conflicts, (a <> b)::int * 2 + (c <> e)::int as priority from (
-  select m.id1, m.id2, json_extract_string(x.attributes, '$.brand') as a, json_extract_string(y.attributes, '$.brand') as b, json_extract_string(x.attributes, '$.size') as c, json_extract_string(y.attributes, '$.size') as e from matches m join bags x on x.id = m.id1 join bags y on y.id = m.id2)
-  where a is not null and b is not null and c is not null and e is not null""", SAFE)
-def conflicts(spark, d):
-    bag = at.parse(F.col("attributes"))
-    parsed = v.items(spark, d).select("id", F.element_at(bag, "brand").alias("brand"), F.element_at(bag, "size").alias("size"))
-    p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), parsed, ("brand", "size")).dropna()
-    a, b = F.col("brand_1") != F.col("brand_2"), F.col("size_1") != F.col("size_2")
-    return p.select("id1", "id2", au.signature([(a, "brand"), (b, "size")], "").alias("conflicts"), (a.cast("int") * 2 + b.cast("int")).alias("priority"))
-
-
 @query("l6_whole_components")
 def whole(spark, d):
     sizes = gr.pair_components(v.matches(spark, d)).groupBy("component_id").agg(_n().alias("n"))
@@ -153,14 +115,6 @@ def prevalence(spark, d):
     return spark.createDataFrame([(0.3, round(found, 6))], "macro_ap double, prevalence double")
 
 
-@query("r11_cross_fit_routing", """select id1, id2, coalesce(score <= threshold, false) as routed from (select *, id1 % 5 as fold from predictions) p left join (select held, max(score) as threshold from (
-  select held, score, sum(n) over (partition by held order by score rows unbounded preceding) as a, sum(e) over (partition by held order by score rows unbounded preceding) as e from (
-    select h.held, p.score, count(*) as n, sum(target) as e from predictions p, (select unnest([0, 1, 2, 3, 4]) as held) h where p.id1 % 5 <> h.held group by 1, 2)) where e <= 0.3 * a group by held) t on t.held = p.fold""")
-def cross_fit(spark, d):
-    p = v.predictions(spark, d).withColumn("fold", F.col("id1") % 5)
-    return se.cross_fit_routing(p, "fold", 0.3).select("id1", "id2", "routed")
-
-
 @query("r12_prototypes", "select event_type as prototype, user_id % 5 as split, count(distinct event_id) as facts, count(distinct user_id) as holders from events group by 1, 2")
 def prototypes(spark, d):
     return v.read(spark, d, "events").groupBy(F.col("event_type").alias("prototype"), (F.col("user_id") % 5).alias("split")).agg(F.count_distinct("event_id").alias("facts"), F.count_distinct("user_id").alias("holders"))
@@ -196,5 +150,3 @@ def swaps(spark, d):
     values = values.groupBy("category").agg(F.array_sort(F.collect_set("new")).alias("all"))
     picked = brand.join(F.broadcast(values), "category").select("id", "old", F.element_at("all", (F.col("id") % F.size("all") + 1).cast("int")).alias("new"))
     return picked.filter("new <> old")
-
-

@@ -296,25 +296,6 @@ def transforms(spark, d):
     return p.join(F.broadcast(n), "category").join(labels, "id1").select("id1", "id2", "n", "labels")
 
 
-@query("w7_threshold_states", """select pt as boundary, cast(accepted as bigint) as accepted, cast(errors as bigint) as errors, round(errors / accepted::double, 6) as risk from (
-  select pt, sum(n) over (order by pt) as accepted, sum(e) over (order by pt) as errors from (select score as pt, count(*) as n, sum(target) as e from predictions group by score))""")
-def states(spark, d):
-    s = rk.threshold_states(v.predictions(spark, d), "score", "target")
-    return s.filter("accepted > 0").select("boundary", "accepted", "errors", F.round(F.try_divide("errors", "accepted"), 6).alias("risk"))
-
-
-@query("w8_best_state", """select max(accepted)::bigint as accepted from (select sum(n) over (order by pt) as accepted, sum(e) over (order by pt) as errors from (select score as pt, count(*) as n, sum(target) as e from predictions group by score)) where errors / accepted::double <= 0.35""")
-def best_state(spark, d):
-    s = rk.threshold_states(v.predictions(spark, d), "score", "target")
-    return s.filter(F.try_divide("errors", "accepted") <= 0.35).agg(F.max("accepted").alias("accepted"))
-
-
-@query("w9_longest_tail_per_error_count", "select cast(errors as bigint) as errors, cast(max(accepted) as bigint) as accepted from (select sum(n) over (order by pt) as accepted, sum(e) over (order by pt) as errors from (select score as pt, count(*) as n, sum(target) as e from predictions group by score)) group by errors")
-def longest(spark, d):
-    s = rk.threshold_states(v.predictions(spark, d), "score", "target").filter("accepted > 0")
-    return s.groupBy("errors").agg(F.max("accepted").alias("accepted"))
-
-
 @query("w11_top_budget", "select id1, id2, (row_number() over (order by abs(score - 0.5), id1, id2) <= (select floor(count(*) * 0.4 + 1e-12) from predictions)) as routed from predictions")
 def top_budget(spark, d):
     return rk.top_budget(v.predictions(spark, d), 0.4, [F.abs(F.col("score") - 0.5), "id1", "id2"]).select("id1", "id2", F.col("chosen").alias("routed"))
@@ -381,4 +362,3 @@ def min_coverage(spark, d):
     grid = spark.createDataFrame([(0.5,), (0.7,), (1.1,)], "tolerance double")
     out = grid.join(rates, F.col("rate") >= F.col("tolerance"), "left").groupBy("tolerance").agg(F.min("k").alias("k"))
     return out.select("tolerance", F.coalesce(F.col("k").cast("string"), F.lit("not_reached")).alias("coverage"))
-

@@ -116,12 +116,6 @@ def changed(spark, d):
     return p.select("id1", "id2", F.array_join(at.changed_keys(F.col("bag_1"), F.col("bag_2")), ",").alias("changed")).filter("changed <> ''")
 
 
-@query("n1_measures", "select id, 'length' as family, round(cast(regexp_extract(name, '([0-9]+) mm', 1) as double) * 0.001, 6) as value from items")
-def measures(spark, d):
-    rows = v.items(spark, d).select("id", F.explode(units.measures(F.col("name"))).alias("m"))
-    return rows.select("id", "m.family", "m.value")
-
-
 @query("n14_length_features", "select id1, id2, round(least(a, b) / greatest(a, b)::double, 6) as ratio, abs(a - b) as delta from (select id1, id2, length(x.name) as a, length(y.name) as b from matches join items x on x.id = id1 join items y on y.id = id2)")
 def lengths(spark, d):
     p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), v.items(spark, d).select("id", F.length("name").alias("n")), ("n",))
@@ -177,24 +171,6 @@ def tfidf(spark, d):
     return out.filter("cosine > 0").select("id1", "id2", F.round("cosine", 6).alias("cosine"))
 
 
-@query("n5_n7_fuzzy_ratios")
-def fuzzy(spark, d):
-    p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), pr.prepare_items(v.items(spark, d)), ("name",))
-    return sim.fuzzy_ratios(p, "name_1", "name_2").select("id1", "id2", "ratio", "token_sort_ratio", "token_set_ratio")
-
-
-@query("f12_numeric_context_conflict", """select id1, id2, case when len(list_intersect(a, b)) > 0 then least(len(a), len(b)) - len(list_intersect(a, b)) else 0 end as numeric_conflicts from (select m.id1, m.id2, list_distinct(regexp_extract_all(x.name, '[0-9]+')) as a, list_distinct(regexp_extract_all(y.name, '[0-9]+')) as b from matches m join items x on x.id = m.id1 join items y on y.id = m.id2)""")
-def numeric_conflict(spark, d):
-    p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), v.items(spark, d).select("id", tx.numbers(F.col("name")).alias("n")), ("n",))
-    shared = F.size(F.array_intersect("n_1", "n_2"))
-    return p.select("id1", "id2", F.when(shared > 0, F.least(F.size("n_1"), F.size("n_2")) - shared).otherwise(0).cast("long").alias("numeric_conflicts"))
-
-
-@query("f1_f5_pair_features")
-def features(spark, d):
-    return sim.pair_features(v.matches(spark, d), v.items(spark, d))
-
-
 @query("f9_f10_score_interactions", "select id1, id2, round((score + score_b) / 2, 6) as mean, least(score, score_b) as low, greatest(score, score_b) as high, round(abs(score - score_b), 6) as gap, round(abs(score - 0.5) * 2, 6) as confidence from predictions")
 def interactions(spark, d):
     a, b = F.col("score"), F.col("score_b")
