@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a step's result to the folder that ``spark.checkpoint.dir`` names, and read it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset, a session within one process takes a folder of
+    its own, and a cluster one in the warehouse, which its executors reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="pairloom-")
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        folder = tempfile.mkdtemp(prefix="pairloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pairloom-scratch"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pairloom-graph-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a step's result to the shared folder, and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pairloom-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for root in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for the endpoints of edges (id1, id2): the least id that each is connected with.
 
@@ -30,21 +47,24 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     label = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component_id", F.col("id"))
-    ends = _cut(ends.filter("a <> b"))
+    ends = cut(ends.filter("a <> b"))
     jumps = []
     while not ends.isEmpty():
         both = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         hop = point.select(F.col("a").alias("to"), F.col("to").alias("root"))
-        jump = _cut(point.join(hop, "to").select(F.col("a").alias("node"), "root"))
+        jump = cut(point.join(hop, "to").select(F.col("a").alias("node"), "root"))
         at = lambda c, name: jump.select(F.col("node").alias(c), F.col("root").alias(name))  # noqa: B023, E731
         moved = ends.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y")
-        ends = _cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        done, ends = ends, cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop(done)
         jumps.append(jump)
     for jump in jumps:
         step = jump.select(F.col("node").alias("component_id"), "root")
         label = label.join(step, "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
-    return _cut(label)
+    out = cut(label)
+    drop(*jumps)
+    return out
 
 
 def with_groups(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -169,16 +169,6 @@ def weighted(spark, d):
     return v.predictions(spark, d).select("id1", "id2", F.round(0.45 * s + 0.20 * b + 0.15 * c + 0.15 * F.abs(s - b) + 0.05 * F.col("target"), 6).alias("hard"), F.round(two, 6).alias("softmax"))
 
 
-@query("l10_split_overlap", "select a.split as split_a, b.split as split_b, count(distinct a.id) as shared from s a join s b on a.id = b.id and a.split < b.split group by 1, 2", "s as (select distinct split, id from (select case when id1 % 3 = 0 then 'x' when id1 % 3 = 1 then 'y' else 'z' end as split, unnest([id1, id2]) as id from predictions))")
-def split_overlap(spark, d):
-    split = F.element_at(F.array(F.lit("x"), F.lit("y"), F.lit("z")), (F.col("id1") % 3 + 1).cast("int"))
-    ends = pr.endpoints(v.predictions(spark, d).withColumn("split", split), "split")
-    sets = ends.groupBy("id").agg(F.array_sort(F.collect_set("split")).alias("s"))
-    one = sets.select("s", F.posexplode("s").alias("i", "split_a"))
-    both = one.select("split_a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("split_b"))
-    return both.groupBy("split_a", "split_b").agg(_n().alias("shared"))
-
-
 @query("l12_balance_supplement", "select id1, id2, category, target from (select *, row_number() over (partition by category, target order by abs(score - 0.5) desc, md5(concat(id1, ':', id2)), id1, id2) as r from predictions where id1 % 2 = 1) where r <= case when target = 1 then 12 else 20 end")
 def supplement(spark, d):
     weak = v.predictions(spark, d).filter("id1 % 2 = 1").select("id1", "id2", "category", "target", "score")
@@ -284,12 +274,6 @@ def pair_structure(spark, d):
     return p.agg(F.count_if(F.col("id1") == F.col("id2")).alias("self_pairs"), F.count_if(F.col("category_1") != F.col("category_2")).alias("cross_category"), F.count_if(F.lower("name_1") == F.lower("name_2")).alias("same_name"))
 
 
-@query("l3_scenarios", "select id1, id2, ('0x' || substr(md5(concat('name:', lower(x.name))), 1, 8))::bigint / 4294967296.0::double < 0.2 as name_held, ('0x' || substr(md5(concat('family:', p.category)), 1, 8))::bigint / 4294967296.0::double < 0.2 as family_held from predictions p join items x on x.id = p.id1")
-def scenarios(spark, d):
-    p = pr.hydrate(v.predictions(spark, d).select("id1", "id2", "category"), v.items(spark, d), ("name",))
-    return p.select("id1", "id2", (gr.hash_fraction(F.lower("name_1"), "name") < 0.2).alias("name_held"), (gr.hash_fraction(F.col("category"), "family") < 0.2).alias("family_held"))
-
-
 @query("l14_l22_hash_samples", "select id1, id2 from (select *, row_number() over (partition by category order by md5(concat('mix:', id1, ':', id2)), id1, id2) as r, count(*) over (partition by category) as n from predictions) where r <= greatest(1, floor(n * 0.1))")
 def samples(spark, d):
     order = [F.md5(F.concat(F.lit("mix:"), F.concat_ws(":", "id1", "id2")).cast("binary")), "id1", "id2"]

@@ -154,12 +154,6 @@ def graph_summary(spark, d):
 _oracle("g5_graph_summary", "select (select count(*) from comp) as nodes, (select count(distinct component_id) from comp) as components, (select count(*) from matches m join comp a on a.id = m.id1 join comp b on b.id = m.id2 where m.target = 0 and a.component_id = b.component_id) as negatives_inside", "target = 1")
 
 
-@query("g3_components_with_groups")
-def grouped_components(spark, d):
-    named = v.items(spark, d).select("id", F.concat_ws("|", "category", "name").alias("key"))
-    return gr.components(gr.with_groups(v.matches(spark, d).filter("target = 1"), named, "key"))
-
-
 @query("g6_component_one_category")
 def one_category(spark, d):
     c = gr.pair_components(v.predictions(spark, d)).groupBy("component_id").agg(F.count_distinct("category").alias("categories"))
@@ -185,13 +179,6 @@ def quota(spark, d):
     return gr.largest_remainder(sizes, 300, ["category", "target"]).select("category", "target", "quota")
 
 
-@query("l5_l7_stratified_sample")
-def stratified(spark, d):
-    p = v.predictions(spark, d)
-    quotas = gr.largest_remainder(p.groupBy("category", "target").agg(_n().alias("n")), 300, ["category", "target"])
-    return gr.sample_by_quota(p, quotas, ["category", "target"], [F.md5(F.concat_ws(":", "id1", "id2").cast("binary")), "id1", "id2"]).select("id1", "id2", "category", "target")
-
-
 @query("l11_majority_downsample", "select id1, id2 from (select *, row_number() over (partition by category, target order by md5(concat(id1, ':', id2)), id1, id2) as r, least(sum(target) over (partition by category), sum(1 - target) over (partition by category)) as m from predictions) where r <= m")
 def downsample(spark, d):
     order = [F.md5(F.concat_ws(":", "id1", "id2").cast("binary")), "id1", "id2"]
@@ -216,19 +203,6 @@ def mass(spark, d):
     return p.join(F.broadcast(totals), "category").join(F.broadcast(mean)).select("id1", "id2", F.round(F.col("s") / F.col("total") * F.col("mean"), 6).alias("weight"))
 
 
-@query("l19_hard_mining", "select id1, id2 from (select p.*, q.hi from predictions p join (select target, quantile_cont(abs(score - target), 0.9) as hi from predictions group by target) q on q.target = p.target) where abs(score - target) >= hi")
-def mining(spark, d):
-    p = v.predictions(spark, d).withColumn("wrong", F.abs(F.col("score") - F.col("target")))
-    limit = p.groupBy("target").agg(F.percentile("wrong", 0.9).alias("hi"))
-    return p.join(F.broadcast(limit), "target").filter("wrong >= hi").select("id1", "id2")
-
-
-@query("l20_l21_stable_ids", "select id1, id2, concat('rp_', substr(sha256(concat(least(id1, id2), ':', greatest(id1, id2))), 1, 24)) as pair_id from matches")
-def stable_ids(spark, d):
-    p = pr.canonical(v.matches(spark, d))
-    return p.select("id1", "id2", F.concat(F.lit("rp_"), F.substring(F.sha2(F.concat_ws(":", "lo", "hi"), 256), 1, 24)).alias("pair_id"))
-
-
 @query("l23_virtual_copies", "select id + k * 1000000 as id, k from items, (select unnest([0, 1, 2]) as k)")
 def copies(spark, d):
     return v.items(spark, d).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select((F.col("id") + F.col("k") * 1000000).alias("id"), "k")

@@ -89,26 +89,6 @@ def canonical_values(spark, d):
     return rows.select("id", F.round(F.col("m.value") * 1000, 6).alias("mm"))
 
 
-@query("l6_whole_components")
-def whole(spark, d):
-    sizes = gr.pair_components(v.matches(spark, d)).groupBy("component_id").agg(_n().alias("n"))
-    # component sizes are few by value: take whole components of each size until the total is met
-    by_size = sizes.groupBy("n").agg(_n().alias("c")).orderBy(F.desc("n")).collect()
-    left, take = 400, []
-    for r in by_size:
-        k = min(r.c, left // r.n)
-        take.append((r.n, k))
-        left -= k * r.n
-    quota = spark.createDataFrame(take, "n long, quota long")
-    return gr.sample_by_quota(sizes, quota, ["n"], [_digest("component_id"), "component_id"])
-
-
-@query("l18_group_folds")
-def folds(spark, d):
-    sizes = gr.pair_components(v.matches(spark, d)).groupBy("component_id").agg(_n().alias("n"))
-    return se.group_folds(sizes, 5, "component_id", "n")
-
-
 @query("m13_prevalence_for_macro_ap")
 def prevalence(spark, d):
     found = se.prevalence_for(v.predictions(spark, d), 0.3)
