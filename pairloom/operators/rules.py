@@ -42,17 +42,21 @@ def hypergeometric_tail(k: int, support: int, positives: int, total: int) -> flo
     return min(1.0, math.fsum(math.exp(choose(positives, i) + choose(total - positives, support - i) - whole) for i in range(low, high + 1)))
 
 
-def fisher(counts: DataFrame) -> DataFrame:
-    """One-sided exact test of each rule's positives against all occurrences."""
-    whole = counts.agg(F.sum("support").alias("__n"), F.sum("positives").alias("__p"))
-    rows = counts.join(F.broadcast(whole))
+def fisher_in(counts: DataFrame) -> DataFrame:
+    """Add p_value to rules (support, positives, and __n pairs with __p positives in all); one short row a rule."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             values = [hypergeometric_tail(*map(int, x)) for x in zip(f["positives"], f["support"], f["__p"], f["__n"])]
-            yield f.drop(columns=["__n", "__p"]).assign(p_value=values)
+            yield f.assign(p_value=values)
+
+    return counts.mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("p_value", T.DoubleType())]))
+
 
-    return rows.mapInPandas(run, T.StructType([*counts.schema.fields, T.StructField("p_value", T.DoubleType())]))
+def fisher(counts: DataFrame) -> DataFrame:
+    """One-sided exact test of each rule's positives against all occurrences."""
+    whole = counts.agg(F.sum("support").alias("__n"), F.sum("positives").alias("__p"))
+    return fisher_in(counts.join(F.broadcast(whole))).drop("__n", "__p")  # one row
 
 
 def target_encoding(occurrences: DataFrame, fold: str | None, smooth: float = 1.0) -> DataFrame:
@@ -94,3 +98,13 @@ def shrunk_effects(effects: DataFrame, value: str, variance: str, key: str) -> D
     rows = effects.join(F.broadcast(sums.select((F.col("swx") / F.col("sw")).alias("centre"), F.coalesce(tau, F.lit(0.0)).alias("tau"))))
     keep = F.col("tau") / (F.col("tau") + F.col(variance))
     return rows.select(key, value, (F.col("centre") + keep * (F.col(value) - F.col("centre"))).alias("shrunk"))
+
+
+def rule_table(occurrences: DataFrame) -> DataFrame:
+    """For each rule: support, positives, rate, the rate over all pairs, both Wilson bounds, Fisher's one-sided p for more
+    positives than among the other pairs, and its q-value over all rules."""
+    base = occurrences.select("id1", "id2", "target").distinct().agg(F.count(F.lit(1)).alias("__n"), F.sum("target").alias("__p"))
+    counts = rule_counts(occurrences).join(F.broadcast(base))  # one row
+    tested = fisher_in(counts).withColumn("rate", F.col("positives") / F.col("support")).withColumn("baseline", F.col("__p") / F.col("__n"))
+    tested = tested.withColumn("lower", nm.wilson(F.col("positives"), F.col("support"))).withColumn("upper", nm.wilson(F.col("positives"), F.col("support"), upper=True))
+    return benjamini_hochberg(tested, "p_value", "rule").withColumnRenamed("q", "q_value").drop("__n", "__p")

@@ -184,14 +184,6 @@ def curriculum(spark, d):
     return v.predictions(spark, d).filter(wrong | hard).select("id1", "id2", kind.alias("kind"))
 
 
-@query("m11_stable_slices", """select category as slice, count(distinct split) as splits, count(distinct split) = 3 and (min(gain) > 0 or max(gain) < 0) as stable from (
-  select category, id1 % 3 as split, round(avg(abs(score - target) - abs(score_c - target)), 6) as gain from predictions group by 1, 2) group by 1""")
-def stable(spark, d):
-    gain = F.round(F.avg(F.abs(F.col("score") - F.col("target")) - F.abs(F.col("score_c") - F.col("target"))), 6)
-    m = v.predictions(spark, d).groupBy(F.col("category").alias("slice"), (F.col("id1") % 3).alias("split")).agg(gain.alias("gain"))
-    return au.stable_slices(m, "split", "slice", "gain", 3).select("slice", "splits", "stable")
-
-
 @query("m23_shrunk_effects")
 def shrunk(spark, d):
     e = v.predictions(spark, d).groupBy("category").agg(F.avg("target").alias("effect"), (F.var_samp("target") / _n()).alias("var"))
@@ -207,26 +199,6 @@ def scope(spark, d):
     return g.groupBy(kind.alias("scope")).agg(_n().alias("rules"))
 
 
-@query("m27_ensemble_grid", """select combo, round(avg(ap), 6) as macro_ap from (select combo, category, sum(p * cp / cw) / max(tp) as ap from (
-  select *, sum(w) over (partition by combo, category order by pt desc rows unbounded preceding) as cw, sum(p) over (partition by combo, category order by pt desc rows unbounded preceding) as cp, sum(p) over (partition by combo, category) as tp from (
-    select combo, category, pt, count(*)::double as w, sum(target)::double as p from (
-      select category, target, 'a+b mean' as combo, round((score + score_b) / 2, 6) as pt from predictions union all select category, target, 'a+c mean', round((score + score_c) / 2, 6) from predictions
-      union all select category, target, 'b+c mean', round((score_b + score_c) / 2, 6) from predictions union all select category, target, 'a+b max', greatest(score, score_b) from predictions
-      union all select category, target, 'a+c max', greatest(score, score_c) from predictions union all select category, target, 'b+c max', greatest(score_b, score_c) from predictions) group by 1, 2, 3)) group by 1, 2) group by 1""")
-def ensembles(spark, d):
-    cols = {"a": "score", "b": "score_b", "c": "score_c"}
-    combos = [(f"{x}+{y} mean", F.round((F.col(cols[x]) + F.col(cols[y])) / 2, 6)) for x, y in ("ab", "ac", "bc")] + [(f"{x}+{y} max", F.greatest(cols[x], cols[y])) for x, y in ("ab", "ac", "bc")]
-    long = v.predictions(spark, d).select("category", "target", F.explode(F.array(*(F.struct(F.lit(n).alias("combo"), c.alias("score")) for n, c in combos))).alias("x")).select("category", "target", "x.*")
-    return me.average_precision(long, ["combo", "category"]).groupBy("combo").agg(F.round(F.avg("ap"), 6).alias("macro_ap"))
-
-
-@query("m15_category_priors", "select category, round(sum(target)::double / (select sum(target) from predictions), 6) as positive_share, round(count(*)::double / (select count(*) from predictions), 6) as pair_share from predictions group by category")
-def priors(spark, d):
-    g = v.predictions(spark, d).groupBy("category").agg(F.sum("target").alias("p"), _n().alias("n"))
-    whole = Window.partitionBy()
-    return g.select("category", F.round(F.col("p") / F.sum("p").over(whole), 6).alias("positive_share"), F.round(F.col("n") / F.sum("n").over(whole), 6).alias("pair_share"))
-
-
 @query("r16_r17_evidence_tiers", "select p_brand as rule, case when n >= 80 and r >= 0.34 then 'strong' when n >= 40 then 'medium' else 'weak' end as tier, n from (select p_brand, count(*) as n, avg(target) as r from predictions join part on p_partkey = id1 group by 1)")
 def tiers(spark, d):
     brand = v.read(spark, d, "part").select(F.col("p_partkey").alias("id1"), F.col("p_brand").alias("rule"))

@@ -38,36 +38,16 @@ def auc(spark, d):
     return me.roc_auc(v.predictions(spark, d), ["category"]).select("category", F.round("auc", 6).alias("auc"))
 
 
-@query("m5_recall_at_precision", "select category, round(coalesce(max(cp / tp) filter (where cp / cw >= 0.6), 0), 6) as recall from curve group by category", CURVE)
-def recall(spark, d):
-    return me.recall_at_precision(v.predictions(spark, d), ["category"], 0.6).select("category", F.round("recall", 6).alias("recall"))
-
-
 @query("m7_best_f1", "select category, round(max(2 * cp / (cw + tp)), 6) as f1 from curve group by category", CURVE)
 def f1(spark, d):
     return me.best_f1(v.predictions(spark, d), ["category"]).select("category", F.round("f1", 6).alias("f1"))
 
 
-@query("m6_m8_m9_quality_bundle", """select category, round(avg((score - target) * (score - target)), 6) as brier, round(avg(((score >= 0.5)::int = target)::int), 6) as accuracy,
-  round(sum((score < 0.5 and target = 1)::int) / sum(target)::double, 6) as fnr, round(sum((score >= 0.5 and target = 0)::int) / sum(1 - target)::double, 6) as fpr from predictions group by category""")
-def bundle(spark, d):
-    s, y = F.col("score"), F.col("target")
-    out = v.predictions(spark, d).groupBy("category").agg(F.avg((s - y) * (s - y)).alias("brier"), F.avg(((s >= 0.5).cast("int") == y).cast("int")).alias("accuracy"), (F.count_if((s < 0.5) & (y == 1)) / F.sum(y)).alias("fnr"), (F.count_if((s >= 0.5) & (y == 0)) / F.sum(1 - y)).alias("fpr"))
-    return out.select("category", *(F.round(c, 6).alias(c) for c in ("brier", "accuracy", "fnr", "fpr")))
-
-
 SLICES = """sliced as (select slice, target, score, score_b from (
   select 'uncertain' as slice, * from predictions where abs(score - 0.5) < 0.2 union all select 'disagree', * from predictions where abs(score - score_b) > 0.3
   union all select 'small_id', * from predictions where id1 < 1000 union all select concat('cat:', category), * from predictions))"""
 
 
-@query("p7_m10_slice_metrics", "select slice, count(*) as n, sum(((score >= 0.5)::int <> target and (score_b >= 0.5)::int = target)::int)::bigint as corrected, sum(((score >= 0.5)::int = target and (score_b >= 0.5)::int <> target)::int)::bigint as regressed, round(avg(abs(score - target) - abs(score_b - target)), 6) as mae_gain from sliced group by slice", SLICES)
-def slices(spark, d):
-    p = v.predictions(spark, d)
-    named = [(F.abs(F.col("score") - 0.5) < 0.2, F.lit("uncertain")), (F.abs(F.col("score") - F.col("score_b")) > 0.3, F.lit("disagree")), (F.col("id1") < 1000, F.lit("small_id")), (F.lit(True), F.concat(F.lit("cat:"), "category"))]
-    return ro.slice_metrics(p, named, "score", "score_b").select("slice", "n", "corrected", "regressed", F.round("mae_gain", 6).alias("mae_gain"))
-
-
 @query("m19_holm", """select name, p, round(least(1, max(p * (n - r + 1)) over (order by p, name rows unbounded preceding)), 9) as adjusted from (select *, row_number() over (order by p, name) as r, count(*) over () as n from ps)""",
   "ps as (select category as name, round(avg(score) / 20, 6) as p from predictions group by category)")
 def holm(spark, d):
@@ -83,34 +63,6 @@ def bh(spark, d):
     return ru.benjamini_hochberg(ps, "p", "name").select("name", "p", F.round("q", 9).alias("q"))
 
 
-@query("m21_fisher_exact")
-def fisher(spark, d):
-    return ru.fisher(ru.rule_counts(occurrences(spark, d))).select("rule", "support", "positives", F.round("p_value", 9).alias("p_value"))
-
-
-@query("m28_score_diagnostics", "select round(corr(score, score_b), 6) as pearson, round(avg(abs(score - score_b)), 6) as mean_gap, round(max(abs(score - score_b)), 6) as max_gap from predictions")
-def diagnostics(spark, d):
-    gap = F.abs(F.col("score") - F.col("score_b"))
-    return v.predictions(spark, d).agg(F.round(F.corr("score", "score_b"), 6).alias("pearson"), F.round(F.avg(gap), 6).alias("mean_gap"), F.round(F.max(gap), 6).alias("max_gap"))
-
-
-@query("m14_resampled_negatives")
-def resampled(spark, d):
-    return rs.resampled_prevalence(v.predictions(spark, d), 0.5, 30)
-
-
-@query("m16_permutation_test")
-def permutation(spark, d):
-    pairs = gr.pair_components(v.predictions(spark, d))
-    return rs.permutation_test(pairs, "score", "score_b", 50)
-
-
-@query("m17_component_bootstrap")
-def bootstrap(spark, d):
-    pairs = gr.pair_components(v.predictions(spark, d))
-    return rs.component_bootstrap(pairs, "score", "score_b", 50)
-
-
 # graph and splits
 
 REACH = """edges as (select id1 as a, id2 as b from matches where a_filter union select id2, id1 from matches where a_filter),

@@ -224,12 +224,6 @@ def confusion(spark, d):
     return metrics.confusion(v.predictions(spark, d), ["category"], F.lit(0.5)).select("category", "tp", "fp", "fn", "tn")
 
 
-@query("a27_model_agreement", "select sum((a = target and b = target)::int)::bigint as both_right, sum((a <> target and b <> target)::int)::bigint as both_wrong, sum((a <> b)::int)::bigint as disagree, round(avg((a = target or b = target)::int), 6) as oracle_accuracy from (select target, (score >= 0.5)::int as a, (score_b >= 0.5)::int as b from predictions)")
-def agreement(spark, d):
-    a, b, y = (F.col("score") >= 0.5).cast("int"), (F.col("score_b") >= 0.5).cast("int"), F.col("target")
-    return v.predictions(spark, d).agg(F.count_if((a == y) & (b == y)).alias("both_right"), F.count_if((a != y) & (b != y)).alias("both_wrong"), F.count_if(a != b).alias("disagree"), F.round(F.avg(((a == y) | (b == y)).cast("int")), 6).alias("oracle_accuracy"))
-
-
 @query("a28_correlations", """select round(corr(score, score_b), 6) as pearson, round(corr(ra, rb), 6) as spearman from (select score, score_b, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0::double as ra,
   rank() over (order by score_b) + (count(*) over (partition by score_b) - 1) / 2.0::double as rb from predictions)""")
 def correlations(spark, d):

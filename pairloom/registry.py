@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, base, core, evaluation, features, policies, sampling, selections, tables, texts  # noqa: F401  (plans register themselves)
+from .plans import audits, base, core, evaluation, features, policies, sampling, selections, statistics, tables, texts  # noqa: F401  (plans register themselves)
 
 
 def queries() -> dict:
