@@ -12,7 +12,6 @@ named like an output are replaced by it.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -41,8 +40,8 @@ LEXICON_WORDS = 1 << 17
 SKETCH_WORDS = 1 << 17
 #: Marks two ids that don't merge.
 NO_PAIR = np.int64(1 << 62)
-#: Chunks whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+#: Chunks whose ids a worker remembers before it starts anew; bytes of text that it encodes at a time.
+MEMO, SLICE = 200_000, 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -57,6 +56,9 @@ class Codec:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer") or spec.get("post_processor"):
+            raise ValueError("not a byte-level tokenizer without normaliser, prefix space and post-processor")
         vocab, letters = spec["model"]["vocab"], byte_alphabet()
         back = {c: b for b, c in enumerate(letters)}
         self.single = [vocab[c] for c in letters]
@@ -347,7 +349,7 @@ def _prune(counts: Counter, keep: int) -> Counter:
 
 
 def frequent_words(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WORDS, text_col: str = "text") -> DataFrame:
-    """The ``words`` most frequent words of all texts (word binary, n long). Every task sums its texts in a Misra-Gries
+    """About the ``words`` most frequent words of all texts, no more (word binary, n long). Every task sums its texts in a Misra-Gries
     summary of ``SKETCH_WORDS`` words, so what is shuffled is bounded by the number of tasks, whatever the vocabulary."""
 
     common.bound_batches(docs.sparkSession)
@@ -381,7 +383,16 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WO
             yield pa.record_batch({"word": pa.array([w.encode("utf-8", "replace") for w, _ in part], pa.binary()), "n": pa.array([n for _, n in part], pa.int64())})
 
     summed = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return summed.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(words)
+    summed = common.materialize(summed.filter(F.length("word") <= 64), "words")
+    # counts in steps of an eighth of a power of 2: all steps that fit, and of the next one a share of its words by hash
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, chosen = words, F.lit(False)
+    for r in sorted(summed.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):  # at most 512 rows
+        if r.c > room:
+            chosen |= (step == r.s) & (F.xxhash64("word").bitwiseAND((1 << 62) - 1) < int(0.95 * room / r.c * (1 << 62)))
+            break
+        room, chosen = room - r.c, step >= r.s
+    return summed.filter(chosen)
 
 
 def build_lexicon(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WORDS, text_col: str = "text") -> str:
@@ -389,7 +400,9 @@ def build_lexicon(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WOR
     ``words`` words reach the driver."""
     spark = docs.sparkSession
     codec = Codec(tokenizer_json)
-    listed = sorted(bytes(r.word) for r in frequent_words(docs, tokenizer_json, words, text_col).select("word").collect())
+    found = frequent_words(docs, tokenizer_json, words, text_col)
+    listed = sorted(bytes(r.word) for r in found.select("word").collect())
+    common.release(found)
     path = common.scratch_path(spark, "lexicon")
     common.write_shared_bytes(spark, path, Transducer.build(list(zip(listed, codec.merge_all(listed)))))
     spark.sparkContext.addFile(path)
@@ -406,7 +419,6 @@ def worker_codec(tokenizer_json: str, lexicon: str | None) -> Codec:
     cache = common.worker_cache("bpe")
     key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), lexicon)
     if key not in cache:
-        gc.disable()  # no cycles arise here, and scanning millions of small tuples for them costs half the time
         cache.clear()
         codec = Codec(tokenizer_json)
         codec.lexicon = Transducer.open(SparkFiles.get(lexicon)) if lexicon else None
@@ -426,9 +438,10 @@ def map_text(docs: DataFrame, schema: T.StructType, text_col: str, fn: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 1000
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
+            column = batch.column(sent.index(text_col))
+            cuts = [(lo, hi) for lo, hi, _, _ in common.text_slices(column, SLICE)] if pa.types.is_string(column.type) else [(i, i + 1000) for i in range(0, batch.num_rows, 1000)]
+            for lo, hi in cuts:
+                part = batch.slice(lo, hi - lo)
                 made = fn(part.column(sent.index(text_col)).to_pylist())
                 arrays = [part.column(k) for k in range(len(kept))] + [pa.array(made[f.name], arrow[f.name]) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in whole.fields])
@@ -449,8 +462,9 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, lexicon: str | None =
 
     def fn(texts: list) -> dict:
         codec = worker_codec(tokenizer_json, lexicon)
-        ids = codec.encode_all(texts)
-        return then(codec, ids, texts) if then else {"ids": ids}
+        with common.no_cycles():
+            ids = codec.encode_all(texts)
+            return then(codec, ids, texts) if then else {"ids": ids}
 
     return map_text(docs, schema, text_col, fn)
 
