@@ -88,8 +88,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: its cleaner only learns of them when the driver collects
+    garbage, which a driver that does little else puts off while disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        _delete(df)
+
+
+def _delete(df: DataFrame) -> None:
     spark = df.sparkSession
     roots = {p.rsplit("/", 1)[0] for p in df.inputFiles()}
     jvm = spark.sparkContext._jvm

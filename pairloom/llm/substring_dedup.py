@@ -193,8 +193,7 @@ def compact(arcs: DataFrame, passed: DataFrame) -> DataFrame:
     for older in made[:-1]:
         whole = whole.unionByName(older.filter("done").select("arc", F.col("to").alias("root"), "off"))
     labels = common.materialize(whole, "unitigs")
-    for table in made:
-        common.release(table)
+    common.release(*made)
     return labels
 
 
@@ -206,12 +205,14 @@ def repeated_paths(docs: DataFrame, window: int, bits: int) -> DataFrame:
     shared = common.materialize(found.join(again, "kmer"), "runs")
     contents = shared.groupBy("kmer", "content", "branches").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("k"))
     contents = contents.select("kmer", "content", "branches", "times", "k.*")
+    common.free_shuffles(docs.sparkSession)
     opened = common.materialize(_opened(docs, contents, window, bits), "arcs")
     arcs = common.materialize(opened.groupBy("arc").agg(F.sum("times").alias("times")).filter("times > 1"), "repeated")
     inside = opened.join(arcs.select("arc"), "arc").select("kmer", "content", "j", "arc")
     placed = shared.join(inside, ["kmer", "content"]).select("doc_id", "text_hash", (F.col("at") + F.col("j")).alias("at"), "arc")
     listed = placed.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("at", "arc"))).alias("list"))
     listed = common.materialize(listed, "traversals")
+    common.free_shuffles(docs.sparkSession)
     steps = F.arrays_zip(F.slice("list", 1, F.greatest(F.size("list") - 1, F.lit(0))).alias("x"), F.slice("list", 2, F.size("list")).alias("y"))
     pairs = listed.filter(F.size("list") > 1).select(F.explode(steps).alias("s")).select("s.x", "s.y")
     pairs = pairs.filter(F.col("x.at") + _edges("x.arc") == F.col("y.at"))
@@ -220,8 +221,8 @@ def repeated_paths(docs: DataFrame, window: int, bits: int) -> DataFrame:
     paths = labels.groupBy("root").agg(F.sum(_edges()).alias("n"))
     starts = listed.select("doc_id", "text_hash", F.explode("list").alias("s")).select("doc_id", "text_hash", "s.at", F.col("s.arc").alias("root"))
     starts = common.materialize(starts.join(paths, "root").select("doc_id", "text_hash", "at", "n", "root"), "paths")
-    for table in (shared, opened, arcs, listed, labels):
-        common.release(table)
+    common.release(shared, opened, arcs, listed, labels)
+    common.free_shuffles(docs.sparkSession)
     return starts
 
 
