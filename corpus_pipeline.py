@@ -12,41 +12,58 @@ from pyspark.sql import types as T
 
 from pairloom.llm import bpe, common, langid, mixing, simhash, substring_dedup
 
+#: What a document's place among its source's depends on, before and after the mix is written.
+MIX_KEY = ("doc_id", "source", "text_hash")
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject null texts, texts without a letter, and texts that no learned language fits: those whose score or lead is
     below what cross-validation of the labelled rows finds. Where no row has a lang, nothing can be learned and only the
-    first two go."""
+    first two go. Null ids and sources, very long texts, ties and repeated rows are judged row by row, by the text alone;
+    an empty table stays empty; further columns, whatever their names, are kept as they are."""
     packed, labels = langid.examples(docs.filter(~langid.held_out()))
     if not labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     score, lead = langid.least_fit(packed, labels)
-    held = [c for c in ("lang_pred", "score", "lead") if c in docs.columns]
-    judged = langid.predict(docs.withColumnsRenamed({c: f"__own_{c}" for c in held}), langid.fit(packed, labels))
+    judged = langid.predict(docs.select(common.packed_row(docs), "text"), langid.fit(packed, labels))
     fits = (F.col("lang_pred") != "und") & (F.col("score") >= score) & (F.col("lead") >= lead)
-    return judged.filter(fits).select(*(F.col(f"`__own_{c}`").alias(c) if c in held else F.col(f"`{c}`") for c in docs.columns))
+    return judged.filter(fits).select(*common.row_columns(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of every group that is similar by 0.8 or more in shingles of five words."""
+    """Keep the document of the least doc_id of every group that is similar by 0.8 or more in shingles of five words; of
+    equal ids the one whose text has the least hash, of repeated rows one. A null id counts as the greatest. Null, empty
+    and blank texts have no shingles and form one group; texts of fewer than five words are one shingle; very long texts
+    are compared whole; an empty table stays empty; further columns are kept as they are."""
     return simhash.keep_one(docs, words=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove words covered by 35-word windows that start anywhere else too; n_chars follows the text."""
-    kept = substring_dedup.remove_repeats(docs, window=35)
+    """Remove words covered by 35-word windows that start anywhere else too; n_chars follows the text. All rows stay: a
+    null or empty text loses nothing, nor does one shorter than a window; equal texts, repeated rows and a text's own
+    repeats count as any other; null ids are told apart by their texts; very long texts are taken whole; an empty table
+    stays empty; further columns are kept as they are."""
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select(common.packed_row(docs, names), "doc_id", "text", "n_chars")
+    kept = substring_dedup.remove_repeats(packed, window=35)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", length).select(*docs.columns)
+    kept = kept.select(*common.row_columns(names), "text", length.alias("n_chars"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: sources weigh the square root of their size."""
-    return mixing.mix(docs).orderBy("place").select(*docs.columns)
+    """All documents, written in the order of the mix: sources weigh the square root of their size. A null source is a
+    source of its own; null ids and repeated rows have places like others, ties are settled by a hash of the row; texts
+    play no part; an empty table stays empty; further columns are kept as they are."""
+    packed = docs.select(common.packed_row(docs), "doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(packed, key_cols=MIX_KEY).orderBy("place").select(*common.row_columns(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, place in the mix, n_tokens, ids, and whether the ids decode to the text. Reading files again doesn't keep
-    the order in which they were written, so the place, which depends on the rows alone, is found again here."""
+    the order in which they were written, so the place, which depends on the rows alone, is found again here. Every row
+    gets its ids: a null or empty text has none; null ids, ties and repeated rows are rows like others; very long texts
+    are encoded whole; an empty table gives an empty table; further columns are left out."""
     import public_tokenizers
 
     spec = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
@@ -56,7 +73,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return {"n_tokens": list(map(len, rows)), "ids": rows, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(rows, texts)]}
 
     lexicon = bpe.build_lexicon(docs, spec)
-    placed = mixing.mix(docs).select("doc_id", "place", "text")
+    placed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text")
+    placed = mixing.mix(placed, key_cols=MIX_KEY).select("doc_id", "place", "text")
     return bpe.encode_documents(placed, spec, lexicon, then=pack, then_schema=schema).select("doc_id", "place", *schema.names)
 
 
@@ -78,4 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.materialize(docs, name)
+            common.free_shuffles(spark)
     return docs
