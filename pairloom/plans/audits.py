@@ -78,16 +78,6 @@ def regimes(spark, d):
     return v.items(spark, d).groupBy("category", F.coalesce(F.element_at(table, F.col("category")), F.lit("default")).alias("regime")).agg(_n().alias("n"))
 
 
-@query("a29_a30_ngram_error_lift", """select gram, support, errors, round(errors / support::double, 6) as rate, round(errors / support::double / (select avg(w) from (select ((score >= 0.5)::int <> target)::int as w from predictions)), 6) as lift from (
-  select gram, count(*) as support, sum(wrong)::bigint as errors from (select distinct p.id1, p.id2, ((score >= 0.5)::int <> p.target)::int as wrong, unnest(string_split(x.name, ' ')) as gram from predictions p join norm x on x.id = p.id1) group by gram having count(*) >= 20)""",
-  "norm as (select id, trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) as name from items)")
-def ngram_lift(spark, d):
-    named = v.items(spark, d).select("id", F.split(tx.alnum_only(F.col("name")), " ").alias("words"))
-    p = pr.hydrate(v.predictions(spark, d), named, ("words",)).withColumn("wrong", ((F.col("score") >= 0.5).cast("int") != F.col("target")).cast("int"))
-    out = au.ngram_error_rates(p, "words_1", "wrong", 20)
-    return out.select("gram", "support", "errors", F.round("rate", 6).alias("rate"), F.round("lift", 6).alias("lift"))
-
-
 @query("a31_signal_conjunctions", """select a.s as signal_a, b.s as signal_b, count(*) as n, round(avg(a.target), 6) as rate from sig a join sig b on a.id1 = b.id1 and a.id2 = b.id2 and a.s < b.s group by 1, 2""",
   "sig as (select id1, id2, target, s from (select id1, id2, target, unnest([case when score > 0.6 then 'high' end, case when score_b > 0.6 then 'high_b' end, case when id1 % 3 = 0 then 'third' end, case when abs(score - score_c) > 0.4 then 'apart' end]) as s from predictions) where s is not null)")
 def conjunctions(spark, d):
@@ -148,20 +138,6 @@ def subtype(spark, d):
     return rows.select("id", F.coalesce(F.element_at("bag", "type"), F.substring_index("name", " ", 1)).alias("subtype"), F.size(F.filter(words, lambda t: F.contains(F.lower("text"), t))).cast("long").alias("covered"), F.size(words).cast("long").alias("tokens"))
 
 
-@query("t15_t26_line_fields_and_phrases", "select doc_id, trim(regexp_extract(text, '^([^\\n]*)', 1)) as first_line, len(regexp_extract_all(lower(text), 'the ')) as phrase from documents")
-def lines(spark, d):
-    t = F.col("text")
-    return v.read(spark, d, "documents").select("doc_id", F.trim(F.regexp_extract(t, r"^([^\n]*)", 1)).alias("first_line"), F.regexp_count(F.lower(t), F.lit("the ")).cast("long").alias("phrase"))
-
-
-@query("n13_structure_similarity", "select m.id1, m.id2, round(exp(-abs(length(x.name) - length(y.name)) / (select stddev_pop(length(name)) from items)), 6) as similarity from matches m join items x on x.id = m.id1 join items y on y.id = m.id2")
-def structure(spark, d):
-    items = v.items(spark, d).select("id", F.length("name").alias("n"))
-    scale = items.agg(F.stddev_pop("n").alias("sd"))
-    p = pr.hydrate(v.matches(spark, d).select("id1", "id2"), items, ("n",)).join(F.broadcast(scale))
-    return p.select("id1", "id2", F.round(F.exp(-F.abs(F.col("n_1") - F.col("n_2")) / F.col("sd")), 6).alias("similarity"))
-
-
 @query("n26_n27_weighted_scores", "select id1, id2, round(0.45 * score + 0.20 * score_b + 0.15 * score_c + 0.15 * abs(score - score_b) + 0.05 * target, 6) as hard, round(1 / (1 + exp(-(ln(greatest(score, 0.001)) - ln(greatest(1 - score, 0.001))))), 6) as softmax from predictions")
 def weighted(spark, d):
     s, b, c = (F.col(x) for x in ("score", "score_b", "score_c"))

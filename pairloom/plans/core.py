@@ -108,12 +108,6 @@ def hydration(spark, d):
     return pr.hydrate(v.matches(spark, d), v.items(spark, d), ("name", "category"), strict=True)
 
 
-@query("j5_one_to_one_merge", "select m.id1, m.id2, m.target, p.score from matches m left join predictions p on m.id1 = p.id1 and m.id2 = p.id2 and m.target = p.target")
-def merge(spark, d):
-    right = v.predictions(spark, d).select("id1", "id2", "target", "score")
-    return v.matches(spark, d).join(right, ["id1", "id2", "target"], "left")
-
-
 @query("j6_symmetric_alignment", """select coalesce(a.lo, b.lo) as lo, coalesce(a.hi, b.hi) as hi, case when a.lo is null then 'right only' when b.lo is null then 'left only'
   when a.target <> b.target then 'target differs' when a.category <> b.category then 'category differs' else 'aligned' end as state
   from (select least(id1, id2) as lo, greatest(id1, id2) as hi, target, category from predictions where id1 % 7 <> 0) a

@@ -53,20 +53,6 @@ def least_used(spark, d):
     return se.round_robin(needs, pool, ["category"], [_digest("id1", "id2"), "id1", "id2"], [_digest("donor"), "donor"]).select("id1", "id2", "donor")
 
 
-@query("t14_identifier_tokens", "select id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(concat(name, ' ', coalesce(json_extract_string(attributes, '$.brand'), ''))), '[0-9a-zа-я]+'), lambda t: length(t) >= 2 and regexp_matches(t, '[0-9]')))), ' ') as tokens from bags", SAFE)
-def identifiers(spark, d):
-    brand = F.coalesce(F.element_at(at.parse(F.col("attributes")), "brand"), F.lit(""))
-    found = F.filter(tx.tokens(F.concat("name", F.lit(" "), brand)), lambda t: (F.length(t) >= 2) & t.rlike("[0-9]"))
-    return v.items(spark, d).select("id", F.array_join(F.array_sort(found), " ").alias("tokens"))
-
-
-@query("t18_t22_truncated_texts", "select id, substring(concat(name, ' ', coalesce(string_agg(value, ' ' order by key), '')), 1, 40) as text from bags left join (select id as kid, key, value from keyed) on kid = id group by id, name", SAFE)
-def truncated(spark, d):
-    bag = F.coalesce(at.parse(F.col("attributes")), F.create_map().cast("map<string,string>"))
-    values = F.array_join(F.transform(F.array_sort(F.map_keys(bag)), lambda k: F.element_at(bag, k)), " ")
-    return v.items(spark, d).select("id", F.substring(F.concat("name", F.lit(" "), values), 1, 40).alias("text"))
-
-
 @query("t20_seeded_shuffle", "select id, string_agg(concat(key, '=', value), ';' order by md5(concat('7:', id, ':', key)), key) as text from keyed group by id", SAFE)
 def shuffled(spark, d):
     rows = at.entries(v.items(spark, d), "id").withColumn("h", F.md5(F.concat_ws(":", F.lit("7"), "id", "key").cast("binary")))
@@ -74,21 +60,6 @@ def shuffled(spark, d):
     return gathered.select("id", F.array_join(F.transform("a", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("text"))
 
 
-@query("b15_b17_nested_json", "select event_type, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as total, count(*) as n from events group by event_type")
-def nested(spark, d):
-    wrapped = v.read(spark, d, "events").select("event_type", F.concat(F.lit('{"facts": ['), "props", F.lit("]}")).alias("j"))
-    facts = wrapped.select("event_type", F.explode(F.from_json("j", "facts array<struct<k: bigint>>")["facts"]).alias("f"))
-    return facts.groupBy("event_type").agg(F.sum("f.k").alias("total"), _n().alias("n"))
-
-
-@query("n3_canonical_values", "select id, round(cast(regexp_extract(value, '([0-9]+)', 1) as double), 6) as mm from keyed where key = 'size'", SAFE)
-def canonical_values(spark, d):
-    from ..functions import units
-
-    rows = at.entries(v.items(spark, d), "id").filter("key = 'size'").select("id", F.explode(units.measures(F.col("value"))).alias("m"))
-    return rows.select("id", F.round(F.col("m.value") * 1000, 6).alias("mm"))
-
-
 @query("m13_prevalence_for_macro_ap")
 def prevalence(spark, d):
     found = se.prevalence_for(v.predictions(spark, d), 0.3)

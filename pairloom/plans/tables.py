@@ -84,13 +84,6 @@ def grid(spark, d):
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("a11_duplicates_and_conflicts", "select count(*) as groups, count(*) filter (where n > 1) as repeated, count(*) filter (where labels > 1) as conflicting, sum(n)::bigint as rows_in from (select count(*) as n, count(distinct target) as labels from (select least(id1, id2) % 500 as lo, greatest(id1, id2) % 7 as hi, target from matches) group by lo, hi)")
-def duplicates(spark, d):
-    rows = pr.canonical(v.matches(spark, d)).select((F.col("lo") % 500).alias("lo"), (F.col("hi") % 7).alias("hi"), "target")
-    groups = rows.groupBy("lo", "hi").agg(_n().alias("n"), F.count_distinct("target").alias("labels"))
-    return groups.agg(_n().alias("groups"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("labels") > 1).alias("conflicting"), F.sum("n").alias("rows_in"))
-
-
 SPLIT = "case when ('0x' || substr(md5(category || id1), 1, 8))::bigint % 5 = 0 then 'valid' else 'train' end"
 
 
@@ -98,31 +91,6 @@ def split_of():
     return F.when(v.hash_int(F.concat("category", "id1")) % 5 == 0, "valid").otherwise("train")
 
 
-@query("a12_split_summary", f"""select s.split, count(*) as pairs, count(distinct s.id) as products, count(distinct s.id) filter (where t.id is not null) as in_train
-  from (select {SPLIT} as split, unnest([id1, id2]) as id from predictions) s
-  left join (select distinct unnest([id1, id2]) as id from predictions where {SPLIT} = 'train') t on s.id = t.id group by s.split""")
-def split_summary(spark, d):
-    ends = pr.endpoints(v.predictions(spark, d).withColumn("split", split_of()), "split")
-    train = ends.filter("split = 'train'").select("id", F.lit(1).alias("t")).distinct()
-    rows = ends.join(train, "id", "left")
-    return rows.groupBy("split").agg(_n().alias("pairs"), F.count_distinct("id").alias("products"), F.count_distinct(F.when(F.col("t") == 1, F.col("id"))).alias("in_train"))
-
-
-@query("a13_multiset_equality", f"select (select count(*) from (select id1, id2 from matches except all (select id1, id2 from predictions where {SPLIT} = 'train' union all select id1, id2 from predictions where {SPLIT} = 'valid'))) as lost, 0::bigint as added")
-def multiset(spark, d):
-    p = v.predictions(spark, d).withColumn("split", split_of())
-    parts = p.filter("split = 'train'").select("id1", "id2").unionByName(p.filter("split = 'valid'").select("id1", "id2"))
-    whole = v.matches(spark, d).select("id1", "id2")
-    return whole.exceptAll(parts).agg(_n().alias("lost")).join(parts.exceptAll(whole).agg(_n().alias("added")))
-
-
-@query("a14_completeness_quantiles", "select category, " + ", ".join(f"round(quantile_cont(n, {q}), 6) as p{int(q * 100)}" for q in (0.1, 0.5, 0.9)) + " from (select i.category, length(name) as n from items i) group by category")
-def completeness(spark, d):
-    rows = v.items(spark, d).select("category", F.length("name").alias("n"))
-    p = rows.groupBy("category").agg(F.percentile("n", [0.1, 0.5, 0.9]).alias("p"))
-    return p.select("category", *(F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p10", "p50", "p90"))))
-
-
 @query("a15_strong_asymmetry", """select p.id1, p.id2 from predictions p join items a on a.id = p.id1 join items b on b.id = p.id2
   join (select category, quantile_cont(length(attributes), 0.1) as lo, quantile_cont(length(attributes), 0.9) as hi from items group by category) q on q.category = p.category
   where least(length(a.attributes), length(b.attributes)) <= lo and greatest(length(a.attributes), length(b.attributes)) >= hi""")
@@ -160,19 +128,6 @@ def key_spread(spark, d):
     return keys.groupBy("categories").agg(_n().alias("keys"))
 
 
-@query("a19_content_signatures", "select count(*) as signatures, count(*) filter (where n > 1) as repeated, sum(n) filter (where n > 1)::bigint as rows_in from (select sha256(concat(category, '|', lower(name))) as s, count(*) as n from items group by 1)")
-def signatures(spark, d):
-    s = F.sha2(F.concat("category", F.lit("|"), F.lower("name")), 256)
-    groups = v.items(spark, d).groupBy(s.alias("s")).agg(_n().alias("n"))
-    return groups.agg(_n().alias("signatures"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("rows_in"))
-
-
-@query("a20_named_aggregates", "select category, count(*) filter (where score > 0.5) as high, array_to_string(list_slice(list_sort(list(distinct cast(id1 as varchar))), 1, 3), ',') as examples from predictions group by category")
-def named(spark, d):
-    # examples are the three least texts, so partial sets stay small
-    return v.predictions(spark, d).groupBy("category").agg(F.count_if(F.col("score") > 0.5).alias("high"), F.array_join(F.slice(F.array_sort(F.collect_set(F.col("id1").cast("string"))), 1, 3), ",").alias("examples"))
-
-
 @query("a21_group_summary", "select category, target, round(avg(score), 6) as mean, round(quantile_cont(score, 0.5), 6) as p50, round(quantile_cont(score, 0.9), 6) as p90 from predictions group by category, target")
 def summary(spark, d):
     return v.predictions(spark, d).groupBy("category", "target").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", 0.5), 6).alias("p50"), F.round(F.percentile("score", 0.9), 6).alias("p90"))
