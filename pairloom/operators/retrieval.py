@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric as nm
+from ..functions import text as tx
+from . import graph as gr, greedy as gd, pairs as pr, ranking as rk
 
 
 def _words(text: str):
@@ -39,18 +41,6 @@ def fuse(lists: list[tuple[DataFrame, float]], constant: int, k: int) -> DataFra
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def mutual_neighbours(vectors: DataFrame) -> DataFrame:
-    """(a, b, cosine) where, among the vectors of a block, each is the other's nearest. A block's vectors meet one
-    another, as blocking by similarity demands; only each vector's best survives the first aggregation."""
-    unit = vectors.select("vec_id", "block", "e", nm.norm(F.col("e")).alias("n"))
-    dot = F.aggregate(F.zip_with("e", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    other = unit.select(F.col("vec_id").alias("b"), "block", F.col("e").alias("f"), F.col("n").alias("m"))
-    sims = unit.join(other, "block").filter("vec_id <> b").select(F.col("vec_id").alias("a"), "b", F.round(dot / (F.col("n") * F.col("m")), 9).alias("cosine"))
-    best = sims.groupBy("a").agg(F.max(F.struct("cosine", (-F.col("b")).alias("neg"))).alias("t")).select("a", (-F.col("t.neg")).alias("b"), "t.cosine")
-    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return best.join(back, ["a", "b"])
-
-
 def water_fill(sizes: DataFrame, total: int) -> DataFrame:
     """Quotas that fill in proportion to weights, none over its capacity: each unit of a category is due at i / weight,
     and the first ``total`` are granted."""
@@ -60,14 +50,82 @@ def water_fill(sizes: DataFrame, total: int) -> DataFrame:
 
 
 def greedy_matching(scored: DataFrame) -> DataFrame:
-    """In each category, pairs by descending score whose items weren't taken before (sequential within a category)."""
-
-    def pick(f: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for r in f.sort_values(["score", "id1", "id2"], ascending=[False, True, True]).itertuples():
-            if r.id1 not in taken and r.id2 not in taken:
-                taken |= {r.id1, r.id2}
-                rows.append((r.category, r.id1, r.id2, r.score))
-        return pd.DataFrame(rows, columns=["category", "id1", "id2", "score"])
-
-    return scored.select("category", "id1", "id2", "score").groupBy("category").applyInPandas(pick, "category string, id1 long, id2 long, score double")
+    """Pairs by descending score whose items weren't taken before."""
+    placed = rk.running_sum(scored, None, [F.desc("score"), "id1", "id2"], "__place")
+    ends = F.explode(F.array_distinct(F.array("id1", "id2")))
+    members = placed.select(F.col("__place").alias("row"), F.col("__place").alias("place"), ends.alias("grp"), F.lit(1).alias("cap"))
+    return placed.join(gd.capped(members).withColumnRenamed("row", "__place"), "__place", "left_semi").select("category", "id1", "id2", "score")
+
+
+def nearest(vectors: DataFrame, k: int, part: int = 2048) -> DataFrame:
+    """(a, b, cosine, rank): the k nearest other vectors of each vector (vec_id, block, e) in its block, ties by id. A block is
+    cut into parts and every two parts meet in a task of their own, so that no block, however large, is one task; each
+    hands on the k best of each vector."""
+    sized = vectors.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    rows = vectors.join(pr.small(sized), "block").withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = rows.select("block", F.col("mine").alias("i"), every.alias("j"), "vec_id", "e")
+    right = rows.select(F.col("block").alias("block_2"), every.alias("i_2"), F.col("mine").alias("j_2"), F.col("vec_id").alias("other"), F.col("e").alias("e_2"))
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        x, y = np.array(a["e"].tolist(), np.float64), np.array(b["e_2"].tolist(), np.float64)
+        x, y = (m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300) for m in (x, y))
+        ids, others, out = a["vec_id"].to_numpy(), b["other"].to_numpy(), []
+        for lo in range(0, len(x), 512):
+            sims = np.round(x[lo : lo + 512] @ y.T, 9)
+            sims[ids[lo : lo + 512, None] == others[None, :]] = -np.inf
+            for i, row in enumerate(sims):
+                top = np.lexsort((others, -row))[:k]
+                top = top[np.isfinite(row[top])]
+                out.append(pd.DataFrame({"a": ids[lo + i], "b": others[top], "cosine": row[top]}))
+        return pd.concat(out)
+
+    found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block_2", "i_2", "j_2")).applyInPandas(tile, "a long, b long, cosine double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def mutual(neighbours: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of neighbours, in both directions, each among the other's nearest, of at least that cosine."""
+    good = neighbours.filter(F.col("cosine") + 1e-7 >= threshold).select("a", "b", "cosine")
+    return good.join(good.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+
+
+def pooled_evidence(nodes: DataFrame, links: DataFrame, forbidden: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, neighbours, and each column summed over a node and its linked neighbours, weighted by similarity). Links whose
+    concepts may not be joined (``forbidden``: concept_a, concept_b, either way) don't count. ``nodes`` has node and concept."""
+    named = links.join(nodes.select(F.col("node").alias("a"), F.col("concept").alias("ca")), "a").join(nodes.select(F.col("node").alias("b"), F.col("concept").alias("cb")), "b")
+    bad = forbidden.select(F.least("concept_a", "concept_b").alias("lo"), F.greatest("concept_a", "concept_b").alias("hi")).distinct()
+    named = named.withColumn("lo", F.least("ca", "cb")).withColumn("hi", F.greatest("ca", "cb")).join(bad, ["lo", "hi"], "left_anti")
+    own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("cosine"))
+    every = named.select("a", "b", "cosine").unionByName(own)
+    values = nodes.select(F.col("node").alias("b"), *columns)
+    return every.join(values, "b").groupBy(F.col("a").alias("node")).agg((F.count(F.lit(1)) - 1).alias("neighbours"), *(F.sum(F.col(c) * F.col("cosine")).alias(c) for c in columns))
+
+
+def hybrid(bank: DataFrame, asked: Column, k: int, least_pool: int = 8, dense: float = 0.55, lexical: float = 0.45, constant: int = 20) -> DataFrame:
+    """(query_id, id, rank, score): for each item of the bank (id, category, subtype, name, text, e) where ``asked`` holds, the k
+    best others of its pool by reciprocal rank fusion of vector products and BM25 within the pool. The pool is the item's
+    category and subtype, or the whole category where that has fewer than max(least_pool, k + 1) items; items with the
+    query's folded name don't count. Ties go to smaller ids."""
+    rows = bank.withColumn("folded", tx.fold(F.col("name"))).withColumn("w", _words("text"))
+    sizes = rows.groupBy("category", "subtype").agg(F.count(F.lit(1)).alias("pool"))
+    queries = rows.filter(asked).join(pr.small(sizes), ["category", "subtype"])
+    queries = queries.select(F.col("id").alias("query_id"), "category", F.when(F.col("pool") >= max(least_pool, k + 1), F.col("subtype")).alias("only"), F.col("folded").alias("own"), F.array_distinct("w").alias("asked"), F.col("e").alias("q"))
+    docs = rows.select("id", "category", "subtype", "folded", "w", "e")
+    pairs = queries.join(docs, "category").filter((F.col("only").isNull() | (F.col("only") == F.col("subtype"))) & (F.col("id") != F.col("query_id")) & (F.col("folded") != F.col("own")))
+    dot = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    shared = F.filter("w", lambda t: F.array_contains("asked", t))
+    pairs = gr.cut(pairs.select("query_id", "id", F.round(dot, 9).alias("dense"), F.size("w").alias("dl"), shared.alias("hits")))
+    stats = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    tf = pairs.select("query_id", "id", "dl", F.explode("hits").alias("t")).groupBy("query_id", "id", "dl", "t").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.join(pr.small(stats), "query_id").select("query_id", "t", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    scores = tf.join(idf, ["query_id", "t"]).groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("lexical"))
+    both = pairs.select("query_id", "id", "dense").join(scores, ["query_id", "id"], "left").fillna(0.0, ["lexical"])
+    place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "id"))
+    fused = both.withColumn("score", F.round(F.lit(dense) / (constant + place("dense")) + F.lit(lexical) / (constant + place("lexical")), 12))
+    return fused.withColumn("rank", place("score")).filter(F.col("rank") <= k).select("query_id", "id", "rank", "score")

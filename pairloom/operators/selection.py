@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranking as rk
+from . import greedy as gd, ranking as rk
 
 
 def round_robin(needs: DataFrame, pool: DataFrame, scope: list[str], need_order: list, pool_order: list) -> DataFrame:
@@ -19,31 +18,6 @@ def round_robin(needs: DataFrame, pool: DataFrame, scope: list[str], need_order:
     return wanted.join(given, [*scope, "__k"]).drop("__k", "__n")
 
 
-def group_folds(groups: DataFrame, folds: int, key: str, size: str) -> DataFrame:
-    """Folds of whole groups: by descending size, dealt back and forth, which keeps the folds' sizes close."""
-    nth = F.row_number().over(Window.orderBy(F.desc(size), key)) - 1
-    turn = F.floor(nth / folds)
-    place = nth % folds
-    return groups.withColumn("fold", F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int"))
-
-
-def two_tails(df: DataFrame, limit: float) -> DataFrame:
-    """The pair of thresholds that accepts most rows: negatives at or below the low one, positives at or above the high
-    one, with joint errors at most ``limit`` of the accepted. Only the longest tail of each error count can win, so each
-    side is cut to those before they meet."""
-    low = rk.threshold_states(df.withColumn("__e", F.col("target")), "score", "__e")
-    high = rk.threshold_states(df.select((-F.col("score")).alias("score"), (1 - F.col("target")).alias("__e")), "score", "__e")
-
-    def longest(states: DataFrame, name: str) -> DataFrame:
-        best = states.groupBy("errors").agg(F.max(F.struct("accepted", "boundary")).alias("b"))
-        return best.select(F.col("errors").alias(f"errors_{name}"), F.col("b.accepted").alias(f"accepted_{name}"), F.col("b.boundary").alias(f"{name}"))
-
-    both = longest(low, "low").join(F.broadcast(longest(high, "high")), F.col("low").isNull() | F.col("high").isNull() | (F.col("low") < -F.col("high")))
-    both = both.withColumn("accepted", F.col("accepted_low") + F.col("accepted_high")).withColumn("errors", F.col("errors_low") + F.col("errors_high"))
-    good = both.filter(F.col("errors") <= limit * F.col("accepted"))
-    return good.orderBy(F.desc("accepted"), "errors", "low").limit(1).select("accepted", "errors", "low", (-F.col("high")).alias("high"))
-
-
 def prevalence_for(df: DataFrame, wanted: float, rounds: int = 30) -> float:
     """The prevalence at which macro AP, with negatives reweighted, is ``wanted``: bisection over a small curve table."""
     points = df.groupBy("category", "score").agg(F.sum("target").cast("double").alias("p"), F.sum(1 - F.col("target")).cast("double").alias("n")).toPandas()
@@ -67,33 +41,8 @@ def prevalence_for(df: DataFrame, wanted: float, rounds: int = 30) -> float:
 
 
 def suppress_neighbours(candidates: DataFrame, neighbours: DataFrame, block: str, node: str, score: str) -> DataFrame:
-    """Representatives of each block: by descending score, each node that no chosen node has as neighbour (sequential
-    within a block; neighbours are (a, b) in both directions)."""
-    near = neighbours.groupBy(F.col("a").alias(node)).agg(F.collect_set("b").alias("near"))
-    rows = candidates.join(near, node, "left").select(block, node, score, F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-
-    def pick(f: pd.DataFrame) -> pd.DataFrame:
-        shut: set = set()
-        kept = []
-        for r in f.sort_values([score, node], ascending=[False, True]).to_dict("records"):
-            if r[node] not in shut:
-                kept.append((r[block], r[node], r[score]))
-                shut |= {r[node], *r["near"]}
-        return pd.DataFrame(kept, columns=[block, node, score])
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(block).applyInPandas(pick, f"{block} {kinds[block]}, {node} {kinds[node]}, {score} {kinds[score]}")
-
-
-def cross_fit_routing(df: DataFrame, fold: str, limit: float) -> DataFrame:
-    """For each fold the largest low threshold that the other folds allow (errors at most ``limit`` of the accepted);
-    rows of the fold at or below it are routed."""
-    points = df.groupBy(fold, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("e"))
-    folds = df.select(F.col(fold).alias("held")).distinct()
-    rest = points.join(F.broadcast(folds), F.col(fold) != F.col("held")).groupBy("held", "score").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
-    up = Window.partitionBy("held").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    states = rest.select("held", "score", F.sum("n").over(up).alias("a"), F.sum("e").over(up).alias("e"))
-    limits = states.filter(F.col("e") <= limit * F.col("a")).groupBy(F.col("held").alias(fold)).agg(F.max("score").alias("threshold"))
-    return df.join(F.broadcast(limits), fold, "left").withColumn("routed", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(False)))
-
-
+    """Representatives of each block: by descending score (ties by node), each node that no chosen node has as neighbour
+    (neighbours are (a, b) in both directions, within blocks)."""
+    placed = rk.running_sum(candidates.select(block, node, score), None, [F.desc(score), node], "place")
+    kept = gd.independent(placed.select(F.col(node).alias("node"), "place"), neighbours)
+    return placed.join(kept.withColumnRenamed("node", node), node, "left_semi").select(block, node, score)

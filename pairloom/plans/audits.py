@@ -118,17 +118,6 @@ def best_fact(spark, d):
     return top.select("user_id", "event_type", "t.event_id")
 
 
-@query("b19_alias_resolution")
-def aliases(spark, d):
-    rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "alias string, name string")
-    return au.resolve_aliases(rows)
-
-
-@query("k4_a37_key_digest")
-def digest(spark, d):
-    return fi.key_digest(v.matches(spark, d), ["id1", "id2"])
-
-
 @query("t21_t23_subtype_and_coverage", """select id, coalesce(json_extract_string(attributes, '$.type'), split_part(name, ' ', 1)) as subtype,
   len(list_filter(list_distinct(string_split(lower(name), ' ')), lambda t: contains(lower(attributes), t))) as covered, len(list_distinct(string_split(lower(name), ' '))) as tokens from bags""", PARSED)
 def subtype(spark, d):
@@ -160,12 +149,6 @@ def curriculum(spark, d):
     return v.predictions(spark, d).filter(wrong | hard).select("id1", "id2", kind.alias("kind"))
 
 
-@query("m23_shrunk_effects")
-def shrunk(spark, d):
-    e = v.predictions(spark, d).groupBy("category").agg(F.avg("target").alias("effect"), (F.var_samp("target") / _n()).alias("var"))
-    return ru.shrunk_effects(e, "effect", "var", "category").select("category", F.round("effect", 9).alias("effect"), F.round("shrunk", 9).alias("shrunk"))
-
-
 @query("m24_effect_scope", "select case when low > 0.25 then 'GLOBAL' when low > 0.15 then 'WITH_EXCEPTIONS' when high > 0.5 then 'CATEGORY_SPECIFIC' else 'HETEROGENEOUS' end as scope, count(*) as rules from (select p_brand, min(rate) as low, max(rate) as high from (select p_brand, category, avg(target) as rate from predictions join part on p_partkey = id1 group by 1, 2) group by 1) group by 1")
 def scope(spark, d):
     brand = v.read(spark, d, "part").select(F.col("p_partkey").alias("id1"), "p_brand")
@@ -175,13 +158,6 @@ def scope(spark, d):
     return g.groupBy(kind.alias("scope")).agg(_n().alias("rules"))
 
 
-@query("r16_r17_evidence_tiers", "select p_brand as rule, case when n >= 80 and r >= 0.34 then 'strong' when n >= 40 then 'medium' else 'weak' end as tier, n from (select p_brand, count(*) as n, avg(target) as r from predictions join part on p_partkey = id1 group by 1)")
-def tiers(spark, d):
-    brand = v.read(spark, d, "part").select(F.col("p_partkey").alias("id1"), F.col("p_brand").alias("rule"))
-    g = v.predictions(spark, d).join(pr.small(brand), "id1").groupBy("rule").agg(_n().alias("n"), F.avg("target").alias("r"))
-    return g.select("rule", F.when((F.col("n") >= 80) & (F.col("r") >= 0.34), "strong").when(F.col("n") >= 40, "medium").otherwise("weak").alias("tier"), "n")
-
-
 @query("r24_runtime_estimate", "select share, round(78.4 + share * 54.1, 6) as minutes from (select unnest([0.05, 0.4, 1.0])::double as share)")
 def runtime(spark, d):
     return spark.createDataFrame([(0.05,), (0.4,), (1.0,)], "share double").withColumn("minutes", F.round(78.4 + F.col("share") * 54.1, 6))
@@ -194,13 +170,6 @@ def buckets(spark, d):
     return t.select("len", nth.alias("nth")).groupBy(F.floor(F.col("nth") / 64).alias("bucket")).agg(_n().alias("n"), F.min("len").alias("low"), F.max("len").alias("high"))
 
 
-@query("i8_i9_generated_item_checks", "select id, concat_ws(',', case when not ok then 'bad json' end, case when ok and attributes = '{}' then 'empty attributes' end, case when length(name) < 20 then 'short name' end) as reasons from bags", PARSED)
-def item_checks(spark, d):
-    bag = at.parse(F.col("attributes"), keep_empty=True)
-    rules = [(bag.isNull(), "bad json"), (F.size(bag) == 0, "empty attributes"), (F.length("name") < 20, "short name")]
-    return v.items(spark, d).select("id", F.array_join(au.reasons(rules), ",").alias("reasons"))
-
-
 @query("i15_evidence_weights", "select id1, id2, round(least(n / m, 2.0), 6) as weight from (select id1, id2, count(*) over (partition by id1)::double as n from matches), (select median(n)::double as m from (select count(*) as n from matches group by id1))")
 def evidence(spark, d):
     m = v.matches(spark, d)
@@ -209,19 +178,6 @@ def evidence(spark, d):
     return m.join(counts, "id1").join(F.broadcast(middle)).select("id1", "id2", F.round(F.least(F.col("n") / F.col("m"), F.lit(2.0)), 6).alias("weight"))
 
 
-@query("i16_i17_caps_and_overlap", "select id1, id2 from (select *, row_number() over (partition by category, target, cast(round(score * 5) as bigint) order by md5(concat(id1, ':', id2)), id1, id2) as r from predictions) where r <= 3")
-def caps(spark, d):
-    p = v.predictions(spark, d).withColumn("level", F.round(F.col("score") * 5).cast("long"))
-    order = [F.md5(F.concat_ws(":", "id1", "id2").cast("binary")), "id1", "id2"]
-    return au.capped(p, ["category", "target", "level"], 3, order).select("id1", "id2")
-
-
-@query("i10_pair_structure", "select count(*) filter (where id1 = id2) as self_pairs, count(*) filter (where a.category <> b.category) as cross_category, count(*) filter (where lower(a.name) = lower(b.name)) as same_name from matches join items a on a.id = id1 join items b on b.id = id2")
-def pair_structure(spark, d):
-    p = pr.hydrate(v.matches(spark, d), v.items(spark, d), ("name", "category"))
-    return p.agg(F.count_if(F.col("id1") == F.col("id2")).alias("self_pairs"), F.count_if(F.col("category_1") != F.col("category_2")).alias("cross_category"), F.count_if(F.lower("name_1") == F.lower("name_2")).alias("same_name"))
-
-
 @query("l14_l22_hash_samples", "select id1, id2 from (select *, row_number() over (partition by category order by md5(concat('mix:', id1, ':', id2)), id1, id2) as r, count(*) over (partition by category) as n from predictions) where r <= greatest(1, floor(n * 0.1))")
 def samples(spark, d):
     order = [F.md5(F.concat(F.lit("mix:"), F.concat_ws(":", "id1", "id2")).cast("binary")), "id1", "id2"]

@@ -213,13 +213,6 @@ def gates(spark, d):
     return ru.gate_sweep(ru.rule_counts(occurrences(spark, d)), [10, 20, 40], 0.2)
 
 
-@query("r14_blocked_mutual_neighbours", """select a, b, round(s, 6) as cosine from (select *, row_number() over (partition by a order by s desc, b) as ra, row_number() over (partition by b order by s desc, a) as rb from sims) where ra = 1 and rb = 1 and a < b""",
-  """vecs as (select vec_id, label, cast(embedding as double[]) as e from embeddings), sims as (select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.e, y.e), 9) as s from vecs x join vecs y on x.label = y.label and x.vec_id <> y.vec_id)""")
-def mutual(spark, d):
-    e = v.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("block"))
-    return rt.mutual_neighbours(e).filter("a < b").select("a", "b", F.round("cosine", 6).alias("cosine"))
-
-
 # routing
 
 
@@ -236,22 +229,6 @@ def staged(spark, d):
     return ro.staged(v.predictions(spark, d)).select("id1", "id2", F.round("final", 6).alias("final"))
 
 
-@query("r20_oracle_routing_grid", """select budget, round(avg(case when r <= floor(n * budget + 1e-12) and gain > 0 then abs(score_b - target) else abs(score - target) end), 6) as mae from (select unnest([0.05, 0.1, 0.2, 0.4])::double as budget),
-  (select *, abs(score - target) - abs(score_b - target) as gain, row_number() over (order by abs(score - target) - abs(score_b - target) desc, id1, id2) as r, count(*) over () as n from predictions) group by budget""")
-def routing_grid(spark, d):
-    return ro.oracle_grid(v.predictions(spark, d), [0.05, 0.1, 0.2, 0.4]).select("budget", F.round("mae", 6).alias("mae"))
-
-
-@query("w13_exclusive_allocation")
-def exclusive(spark, d):
-    return ro.exclusive_allocation(v.predictions(spark, d), 0.05)
-
-
-@query("j18_greedy_matching")
-def greedy(spark, d):
-    return rt.greedy_matching(v.predictions(spark, d))
-
-
 # retrieval
 
 
@@ -265,14 +242,6 @@ def bm25(spark, d):
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("i2_i3_hybrid_retrieval")
-def hybrid(spark, d):
-    queries = v.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lexical = rt.bm25(v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), queries)
-    other = lexical.select("query_id", "id", (F.col("score") / (1 + F.col("id") % 7)).alias("score"))
-    return rt.fuse([(lexical, 0.55), (other, 0.45)], 20, 10)
-
-
 @query("i6_water_fill_quotas", """select category, count(*) as quota from (select category, row_number() over (order by i / weight, category, i) as r from (
   select category, weight, n, unnest(range(1, least(n, 200) + 1)) as i from (select category, count(*) as n, count(distinct id1) % 5 + 1.0::double as weight from predictions group by category))) where r <= 200 group by category""")
 def water_fill(spark, d):

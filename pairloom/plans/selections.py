@@ -66,19 +66,6 @@ def prevalence(spark, d):
     return spark.createDataFrame([(0.3, round(found, 6))], "macro_ap double, prevalence double")
 
 
-@query("r12_prototypes", "select event_type as prototype, user_id % 5 as split, count(distinct event_id) as facts, count(distinct user_id) as holders from events group by 1, 2")
-def prototypes(spark, d):
-    return v.read(spark, d, "events").groupBy(F.col("event_type").alias("prototype"), (F.col("user_id") % 5).alias("split")).agg(F.count_distinct("event_id").alias("facts"), F.count_distinct("user_id").alias("holders"))
-
-
-@query("r15_neighbour_suppression")
-def suppression(spark, d):
-    m = v.matches(spark, d)
-    near = m.select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(m.select(F.col("id2").alias("a"), F.col("id1").alias("b")))
-    rows = v.items(spark, d).select("category", "id", F.length("name").cast("double").alias("score"))
-    return se.suppress_neighbours(rows, near, "category", "id", "score")
-
-
 @query("r23_selection_within_tolerance", "select category, rate from (select category, round(avg(score), 6) as rate, count(*) as n from predictions group by category) where rate >= (select max(rate) from (select round(avg(score), 6) as rate from predictions group by category)) - 0.05 order by n, category limit 1")
 def tolerance(spark, d):
     g = v.predictions(spark, d).groupBy("category").agg(F.round(F.avg("score"), 6).alias("rate"), _n().alias("n"))
@@ -86,12 +73,6 @@ def tolerance(spark, d):
     return g.join(F.broadcast(best)).filter("rate >= best - 0.05").orderBy("n", "category").limit(1).select("category", "rate")
 
 
-@query("i4_i5_exemplar_bank", "select category, id, r - 1 as turn from (select category, id, row_number() over (partition by category order by md5(cast(id as varchar)), id) as r from items) where r <= 8")
-def bank(spark, d):
-    nth = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id"))
-    return v.items(spark, d).select("category", "id", (nth - 1).alias("turn")).filter("turn < 8")
-
-
 @query("i12_attribute_swaps", """select b.id, b.brand as old, c.brand as new from (select id, category, json_extract_string(attributes, '$.brand') as brand from bags where json_extract_string(attributes, '$.brand') is not null) b
   join (select category, brand, row_number() over (partition by category order by brand) - 1 as k, count(*) over (partition by category) as n from (select distinct category, json_extract_string(attributes, '$.brand') as brand from bags where json_extract_string(attributes, '$.brand') is not null)) c
   on c.category = b.category and c.k = b.id % c.n where c.brand <> b.brand""", SAFE)

@@ -76,8 +76,9 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Data
 
 
 def key_digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A digest of a table's multiset of keys: sums of two 64-bit hashes and the count, which partial aggregation keeps
-    small, hashed into one SHA-256."""
-    h = [F.xxhash64(F.lit(s), *keys).cast("decimal(38,0)") for s in (1, 2)]
-    sums = df.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(f"h{i}") for i, x in enumerate(h)))
-    return sums.select("n", F.sha2(F.concat_ws(":", "n", "h0", "h1"), 256).alias("digest"))
+    """A digest of a table's multiset of keys: exact sums of two 60-bit parts of each key's MD5 and the count, which partial
+    aggregation keeps small, hashed into one SHA-256."""
+    digest = F.md5(F.concat_ws("|", *keys).cast("binary"))
+    parts = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    sums = df.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).alias(f"h{i}") for i, x in enumerate(parts)))
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", "h0", "h1").cast("binary"), 256).alias("digest"))
