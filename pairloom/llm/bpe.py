@@ -17,11 +17,14 @@ import heapq
 import json
 import mmap
 import os
+import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +44,7 @@ SKETCH_WORDS = 1 << 17
 #: Marks two ids that don't merge.
 NO_PAIR = np.int64(1 << 62)
 #: Chunks whose ids a worker remembers before it starts anew; bytes of text that it encodes at a time.
-MEMO, SLICE = 200_000, 1 << 20
+MEMO, SLICE = 300_000, 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -71,10 +74,12 @@ class Codec:
         self.pieces = [b""] * (max(named.values()) + 1)
         for token, i in named.items():
             self.pieces[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.numerals = [str(i) for i in range(len(self.pieces))]
+        self.names, self.meanings = (pa.array(x, pa.binary()) for x in ([b"%d" % i for i in range(len(self.pieces))], self.pieces))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(PATTERN)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.piece_memo: dict[str, bytes] = {}
+        self.strange = "|".join([f" [{WHITE}]", *map(re.escape, self.special)])
         self.lexicon: Transducer | None = None
         self.ints = list(range(len(self.pieces)))
         self.single_ids = np.array(self.single, np.int32)
@@ -159,13 +164,13 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return tuple(x for x in ids if x >= 0)
 
-    def ids_of(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct words: from the lexicon, else by exact merges."""
+    def ids_of(self, words: list[str], as_bytes: bool = False) -> dict:
+        """Ids of distinct words (tuples, or bytes of 32-bit numbers): from the lexicon, else by exact merges."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        found = self.lexicon.find(raw) if self.lexicon is not None else [None] * len(raw)
+        found = self.lexicon.find(raw, as_bytes) if self.lexicon is not None else [None] * len(raw)
         unseen = [i for i, ids in enumerate(found) if ids is None]
         for i, ids in zip(unseen, self.merge_all([raw[i] for i in unseen])):
-            found[i] = ids
+            found[i] = array("i", ids).tobytes() if as_bytes else ids
         return dict(zip(words, found))
 
     def chunks(self, text: str) -> tuple[str, list[str]]:
@@ -227,6 +232,39 @@ class Codec:
         memo.update((p, ids) for p, ids in fresh.items() if len(p) < 40)
         return out
 
+    def piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, as bytes of 32-bit numbers; what the worker doesn't remember is cut into words, looked
+        up and merged together."""
+        memo, find = self.piece_memo, self.words.findall
+        unseen = [p for p in pieces if p not in memo]
+        if unseen:
+            cut = [[p] if p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p) for p in unseen]
+            known = self.ids_of(list({w for words in cut for w in words}), as_bytes=True)
+            memo.update((p, known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])) for p, w in zip(unseen, cut))
+        out = [memo[p] for p in pieces]
+        if len(memo) > MEMO:  # frequent pieces are in any batch, so they stay
+            self.piece_memo = {p: ids for p, ids in zip(pieces, out) if len(p) < 40}
+        return out
+
+    def encode_column(self, column: pa.Array) -> Encoded:
+        """The ids of a column of texts. Arrow cuts the texts at single spaces and numbers the distinct pieces, which are looked
+        up once each; texts with special tokens, or with white space after a space, where a cut could change the words,
+        are encoded by themselves."""
+        column = pc.fill_null(column, "") if column.null_count else column
+        strange = pc.match_substring_regex(column, self.strange)
+        apart = np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()
+        odd = dict(zip(apart, self.encode_all([column[i].as_py() for i in apart])))
+        split = pc.split_pattern(pc.if_else(strange, "", column) if apart else column, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        codes, names = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        table = self.piece_ids([" " + p for p in names])
+        first = at[:-1][at[:-1] < at[1:]]
+        heads = np.unique(codes[first])  # a text's first piece has no space before it
+        table += self.piece_ids([names[c] for c in heads.tolist()])
+        codes[first] = len(names) + np.searchsorted(heads, codes[first])
+        return Encoded(self, codes, at - at[0], table, odd)
+
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0]
 
@@ -234,6 +272,72 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Encoded:
+    """The ids of a column of texts. Most texts are runs of pieces, numbered by ``codes`` (text i holds those from ``at[i]`` to
+    ``at[i + 1]``), and ``table`` has the ids of each distinct piece; the others have their ids in ``odd``."""
+
+    def __init__(self, codec: Codec, codes: np.ndarray, at: np.ndarray, table: list[bytes], odd: dict[int, list[int]]):
+        self.codec, self.codes, self.at, self.table, self.odd = codec, codes, at, table, odd
+        self.sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+
+    def lengths(self) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(self.sizes[self.codes])))
+        out = total[self.at[1:]] - total[self.at[:-1]]
+        for i, ids in self.odd.items():
+            out[i] = len(ids)
+        return out
+
+    def ids(self) -> pa.ListArray:
+        flat = np.frombuffer(b"".join(self.table), np.int32)
+        first = np.cumsum(self.sizes) - self.sizes
+        parts = []
+        cuts = sorted({0, len(self.at) - 1, *range(0, len(self.at) - 1, 256), *self.odd, *(i + 1 for i in self.odd)})
+        for lo, hi in zip(cuts, cuts[1:]):  # a few texts at a time, which bounds the memory of positions
+            if lo in self.odd:
+                parts.append(np.array(self.odd[lo], np.int32))
+                continue
+            codes = self.codes[self.at[lo] : self.at[hi]]
+            n = self.sizes[codes]
+            start = np.cumsum(n) - n
+            parts.append(flat[np.repeat(first[codes] - start, n) + np.arange(int(n.sum()))])
+        offsets = np.concatenate(([0], np.cumsum(self.lengths()))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
+    def _joined(self, names: pa.Array, between: bytes) -> list[bytes]:
+        """Per text what its ids are called, in a row: joined for each distinct piece, then for each text; a piece without ids
+        is passed over."""
+        flat = np.frombuffer(b"".join(self.table), np.int32)
+        ends = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int32)
+        made = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(flat))), between)
+        made = pc.if_else(pa.array(self.sizes == 0), None, made)
+        lists = pa.ListArray.from_arrays(pa.array(self.at.astype(np.int32)), made.take(pa.array(self.codes)))
+        return _join(lists, between).to_pylist()
+
+    def decimals(self) -> list[bytes]:
+        """Each text's ids as decimals, joined by commas."""
+        out = self._joined(self.codec.names, b",")
+        for i, ids in self.odd.items():
+            out[i] = ",".join(map(str, ids)).encode()
+        return out
+
+    def decoded(self) -> list[str]:
+        """The text of each text's ids: the bytes that every id stands for, in a row, read as UTF-8."""
+        out = [x.decode("utf-8", "replace") for x in self._joined(self.codec.meanings, b"")]
+        for i, ids in self.odd.items():
+            out[i] = self.codec.decode(ids)
+        return out
+
+
+def _join(lists: pa.ListArray, between: bytes) -> pa.Array:
+    """The values of each list in a row, nulls left out; an empty list gives an empty value."""
+    flat, at = lists.values, lists.offsets.to_numpy()
+    if flat.null_count:
+        good = flat.is_valid().to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(good)))[at].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), flat.drop_null())
+    return pc.binary_join(lists, between)
+
+
 class Transducer:
     """Minimal acyclic transducer over byte strings, stored as one flat file.
 
@@ -302,14 +406,15 @@ class Transducer:
             return np.frombuffer(view[at - 4 * n : at], np.uint32)
 
         self.keys, self.targets, self.outputs = take(size), take(size), take(size)
-        self.finals, self.starts, self.flat = take(states), take(words + 1), take(flat)
+        self.finals, self.starts = take(states), take(words + 1)
+        self.blob = bytes(view[at : at + 4 * flat])  # the ids of all words, as 32-bit numbers
 
     @classmethod
     def open(cls, path: str) -> Transducer:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def find(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+    def find(self, words: list[bytes], as_bytes: bool = False) -> list:
         """The ids of each word, None where the lexicon lacks it; all words walk the automaton together."""
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
@@ -332,11 +437,12 @@ class Transducer:
             step += 1
             alive = alive[lengths[alive] > step]
         good = (state >= 0) & (self.finals[state] > 0)
-        out: list[tuple[int, ...] | None] = [None] * n
-        starts, flat = self.starts, self.flat
-        for i, k in zip(np.flatnonzero(good).tolist(), number[good].tolist()):
-            out[i] = tuple(flat[starts[k] : starts[k + 1]].tolist())
-        return out
+        out: list = [None] * n
+        begin, end = self.starts[number[good]].tolist(), self.starts[number[good] + 1].tolist()
+        blob = self.blob
+        for i, a, b in zip(np.flatnonzero(good).tolist(), begin, end):
+            out[i] = blob[4 * a : 4 * b]
+        return out if as_bytes else [x if x is None else tuple(np.frombuffer(x, np.uint32).tolist()) for x in out]
 
 
 def _prune(counts: Counter, keep: int) -> Counter:
@@ -360,21 +466,33 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WO
         found: Counter = Counter()
 
         def spread() -> None:
+            find = codec.words.findall
             for chunk, n in chunks.items():
-                for w in codec.words.findall(chunk):
+                for w in find(chunk):
                     found[w] += n
             chunks.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for plain, _ in codec.segments(text or ""):
-                    first, rest = codec.chunks(plain)
-                    chunks[first] += 1
-                    chunks.update(rest) if not rest else chunks.update([" " + p for p in rest])
-                    if len(chunks) > SKETCH_WORDS:
-                        spread()
-                        if len(found) > 3 * SKETCH_WORDS:
-                            found = _prune(found, SKETCH_WORDS)
+            for lo, hi, _, _ in common.text_slices(batch.column(0), SLICE):
+                column = pc.fill_null(batch.column(0).slice(lo, hi - lo), "")
+                strange = pc.match_substring_regex(column, codec.strange)
+                for i in np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist():
+                    for plain, _ in codec.segments(column[i].as_py()):
+                        first, rest = codec.chunks(plain)
+                        chunks[first] += 1
+                        chunks.update([" " + p for p in rest])
+                split = pc.split_pattern(column.filter(pc.invert(strange)), " ")
+                at, flat = split.offsets.to_numpy(), split.flatten()
+                head = np.zeros(len(flat), bool)
+                head[at[:-1][at[:-1] < at[1:]] - at[0]] = True
+                for before, mask in ((" ", ~head), ("", head)):
+                    counted = flat.filter(pa.array(mask)).value_counts()
+                    for p, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+                        chunks[before + p] += n
+                if len(chunks) > SKETCH_WORDS:
+                    spread()
+                    if len(found) > 3 * SKETCH_WORDS:
+                        found = _prune(found, SKETCH_WORDS)
         spread()
         found = _prune(found, SKETCH_WORDS)
         rows = found.most_common()
@@ -426,27 +544,27 @@ def worker_codec(tokenizer_json: str, lexicon: str | None) -> Codec:
     return cache[key]
 
 
-def map_text(docs: DataFrame, schema: T.StructType, text_col: str, fn: Callable[[list], dict]) -> DataFrame:
-    """Add the columns that ``fn`` makes of a list of texts; input columns with an output's name give way."""
+def map_column(df: DataFrame, schema: T.StructType, column: str, fn: Callable[[pa.Array], dict]) -> DataFrame:
+    """Add the columns that ``fn`` makes of a slice of a column; input columns with an output's name give way."""
     new = {f.name for f in schema.fields}
-    kept = [f for f in docs.schema.fields if f.name not in new]
+    kept = [f for f in df.schema.fields if f.name not in new]
     whole = T.StructType([*kept, *schema.fields])
     arrow = {f.name: _arrow(f.dataType) for f in schema.fields}
     names = [f.name for f in kept]
-    sent = names if text_col in names else [*names, text_col]
-    common.bound_batches(docs.sparkSession)
+    sent = names if column in names else [*names, column]
+    common.bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(sent.index(text_col))
-            cuts = [(lo, hi) for lo, hi, _, _ in common.text_slices(column, SLICE)] if pa.types.is_string(column.type) else [(i, i + 1000) for i in range(0, batch.num_rows, 1000)]
+            values = batch.column(sent.index(column))
+            cuts = [(lo, hi) for lo, hi, _, _ in common.text_slices(values, SLICE)] if pa.types.is_string(values.type) else [(i, i + 1000) for i in range(0, batch.num_rows, 1000)]
             for lo, hi in cuts:
                 part = batch.slice(lo, hi - lo)
-                made = fn(part.column(sent.index(text_col)).to_pylist())
-                arrays = [part.column(k) for k in range(len(kept))] + [pa.array(made[f.name], arrow[f.name]) for f in schema.fields]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in whole.fields])
+                made = fn(part.column(sent.index(column)))
+                own = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], arrow[f.name]) for f in schema.fields]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *own], names=[f.name for f in whole.fields])
 
-    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, whole)
+    return df.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, whole)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -455,41 +573,40 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str, lexicon: str | None = None, text_col: str = "text", then: Callable[[Codec, list, list], dict] | None = None, then_schema: T.StructType | None = None) -> DataFrame:
-    """Add ``ids array<int>`` to every row. ``then(codec, ids, texts)`` may derive columns of ``then_schema`` from the
-    lists of ids in the same pass; those columns then take the place of ``ids``."""
+def encode_documents(docs: DataFrame, tokenizer_json: str, lexicon: str | None = None, text_col: str = "text", then: Callable[[Encoded, pa.Array], dict] | None = None, then_schema: T.StructType | None = None) -> DataFrame:
+    """Add ``ids array<int>`` to every row. ``then(encoded, texts)`` may derive columns of ``then_schema`` from the ids in the
+    same pass; those columns then take the place of ``ids``."""
     schema = then_schema or T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def fn(texts: list) -> dict:
+    def fn(texts: pa.Array) -> dict:
         codec = worker_codec(tokenizer_json, lexicon)
         with common.no_cycles():
-            ids = codec.encode_all(texts)
-            return then(codec, ids, texts) if then else {"ids": ids}
+            found = codec.encode_column(texts)
+            return then(found, texts) if then else {"ids": found.ids()}
 
-    return map_text(docs, schema, text_col, fn)
+    return map_column(docs, schema, text_col, fn)
 
 
 def decode_documents(df: DataFrame, tokenizer_json: str, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded string``: the text of every row's ids (null ids: an empty text)."""
 
-    def fn(rows: list) -> dict:
+    def fn(rows: pa.Array) -> dict:
         codec = worker_codec(tokenizer_json, None)
-        return {"decoded": [codec.decode(ids or ()) for ids in rows]}
+        return {"decoded": [codec.decode(ids or ()) for ids in rows.to_pylist()]}
 
-    return map_text(df, T.StructType([T.StructField("decoded", T.StringType())]), ids_col, fn)
+    return map_column(df, T.StructType([T.StructField("decoded", T.StringType())]), ids_col, fn)
 
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(codec: Codec, rows: list, _texts: list) -> dict:
+def digests(found: Encoded, _texts: pa.Array) -> dict:
     """Count and digest every row's ids and the text that they decode to."""
     sha = hashlib.sha256
     return {
-        "n_tokens": [len(ids) for ids in rows],
-        "ids_sha256": [sha(",".join(map(codec.numerals.__getitem__, ids)).encode()).hexdigest() for ids in rows],
-        "decoded_sha256": [sha(codec.decode(ids).encode()).hexdigest() for ids in rows],
-    }
+        "n_tokens": pa.array(found.lengths()), "ids_sha256": [sha(x).hexdigest() for x in found.decimals()],
+        "decoded_sha256": [sha(x.encode()).hexdigest() for x in found.decoded()],
+    }
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

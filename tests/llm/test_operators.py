@@ -341,13 +341,18 @@ def test_keep_one_of_each_group(odd_docs):
     assert {3, 4, 8, 9, 10, 13, None} <= set(ids)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("alone", [0, 200_000])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_of_paths_and_stars(spark, monkeypatch, alone, kind):
+    from pairloom.operators import graph
+
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", alone)
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200)]
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    links = spark.createDataFrame(edges, "a long, b long").select(*(F.col(c) if kind == "long" else F.encode(F.lpad(F.col(c).cast("string"), 4, "0"), "utf-8").alias(c) for c in "ab"))
     sets = collections.defaultdict(set)
-    for r in got.collect():
+    for r in components.connected_components(links).collect():
         sets[r.root].add(r.node)
-    assert sorted(map(len, sets.values())) == [50, 71]
+    assert sorted(map(len, sets.values())) == [1, 50, 71] and all(k == min(v) for k, v in sets.items())
 
 
 # 8 token files
@@ -531,3 +536,226 @@ def test_mix_serves_every_small_source_by_its_weight(spark, monkeypatch):
     total = sum(weights.values())
     first = collections.Counter(r.source for r in got[:4000])
     assert len(got) == 8000 and all(abs(first[s] - 4000 * w / total) < 1 + 1e-9 for s, w in weights.items())
+
+
+# dense and brute-force counterparts
+
+
+def test_language_fit_is_kernel_ridge():
+    """With every row a landmark, scores are those of dense kernel ridge regression on shared n-grams."""
+    rng = random.Random(2)
+    letters = {"aa": "aeiou", "bb": "bcdfg", "cc": "xyzpq"}
+    texts = [(c, "".join(rng.choice(letters[c] + " ") for _ in range(40))) for c in sorted(letters) for _ in range(12)]
+
+    def grams(text):
+        text = f" {text.lower()} "
+        return {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets = [grams(t) for _, t in texts]
+    bits = langid.presence([t for _, t in texts])
+    assert all(0.97 * len(g) <= n <= len(g) for g, n in zip(sets, bits.sum(1)))  # few n-grams share a slot
+    slots = lambda ts: [set(np.flatnonzero(x)) for x in langid.presence(ts)]
+    sets = slots([t for _, t in texts])
+    labels = [c for c, _ in texts]
+    classes, matrix = langid.fit(np.packbits(bits, axis=1), labels)
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
+    alpha = np.linalg.solve(k + langid.RIDGE * len(k) / len(k) * np.eye(len(k)), y)
+    fresh = ["".join(rng.choice("aeioubcxy ") for _ in range(30)) for _ in range(10)]
+    want = np.array([[kernel(a, b) for b in sets] for a in slots(fresh)]) @ alpha
+    got = langid.outputs(np.packbits(langid.presence(fresh), axis=1), matrix)
+    assert np.allclose(got, want, atol=2e-3)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    near = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("fr").alias("lang"))
+    packed, labels = langid.examples(same.union(near))
+    assert collections.Counter(labels) == {"en": 1, "fr": 30} and len(packed) == 31
+
+
+def test_quality_is_ridge_on_all_rows(spark):
+    """Sums over partitions give what one dense solution gives, calibration included."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    stats = rng.uniform(0, 1, (600, quality.STATS))
+    y = (stats[:, 0] + 0.3 * rng.standard_normal(600) > 0.5).astype(float)
+    fold = np.arange(600) % 2
+    learn = spark.createDataFrame([(s.tolist(), float(a), int(f)) for s, a, f in zip(stats, y, fold)], "stats array<double>, y double, fold int").repartition(9)
+    got = quality.fit(learn)(stats)
+    features = quality.Features(stats.mean(0), np.sqrt(np.maximum((stats**2).mean(0) - stats.mean(0) ** 2, 1e-12)) + 1e-9)
+    z = features(stats)
+
+    def ridge(rows):
+        a = z[rows]
+        return np.linalg.solve(a.T @ a + quality.RIDGE * len(a) / quality.FEATURES * np.eye(z.shape[1]), a.T @ y[rows])
+
+    apart = np.where(fold == 0, z @ ridge(fold == 1), z @ ridge(fold == 0))
+    at = np.clip(((apart + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    weight, total = np.bincount(at, minlength=quality.BINS), np.bincount(at, y, quality.BINS)
+    level = quality.pool_violators(weight.astype(float), total)
+    seen = np.flatnonzero(~np.isnan(level))
+    want = np.clip(np.interp(z @ ridge(fold >= 0), (seen + 0.5) / quality.BINS * 2 - 0.5, level[seen]), 0, 1)
+    assert np.abs(got - want).mean() < 1e-6
+
+
+def test_many_partitions_add_up_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN_IN", 3)
+    rows = spark.range(100).repartition(20).select(F.col("id").cast("double").alias("x"))
+
+    def fn(batches):
+        total = np.zeros(2)
+        for b in batches:
+            total += [b.column(0).to_numpy().sum(), b.num_rows]
+        return {0: total}
+
+    assert quality._summed(rows, fn, 2)[0].tolist() == [4950.0, 100.0]
+
+
+def test_links_of_extreme_vectors(spark):
+    base = np.random.Generator(np.random.PCG64(4)).standard_normal(8)
+    rows = [(i, (base * s).tolist()) for i, s in enumerate((1e200, 3e200, 1e-200, 2e-200, 1.0, -1.0))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {5: (0, 5)}
+
+
+def test_packs_meet_by_blocks(spark, monkeypatch):
+    """Many small packs, shuffled by pairs of blocks: no pair of vectors is lost or met twice."""
+    from pairloom.llm import vectors
+
+    monkeypatch.setattr(embed_dedup, "packs_for", lambda n, size=0: 40)
+    monkeypatch.setattr(topk, "packs_for", lambda n, size=0: 35)
+    assert vectors.blocks_for(40) == (2, 20)
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.standard_normal((120, 3)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    links = (unit @ unit.T >= 0.95 - 1e-12).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, 0.95).collect()} == dict(enumerate(links.tolist()))
+    whole = {i: np.floor(v * 64).astype(int).tolist() for i, v in enumerate(x)}
+    weights = F.transform("embedding", lambda v: F.floor(v * 64))
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 2 == 0, weights, 4).collect()}
+    assert got == brute_top(whole, 4)
+
+
+def test_url_filter_against_every_entry(spark, monkeypatch):
+    """A supplied list with thousands of prefixes of one host, and parts of few visits."""
+    monkeypatch.setattr(url_filter, "PART_VISITS", 7)
+    rng = random.Random(6)
+    hosts = ["hot.com", "a.hot.com", "b.org"]
+    entries = [(rng.choice(["block", "allow"]), "prefix", f"hot.com/{rng.randrange(3000)}", rng.choice(["add", "add", "remove"]), rng.randrange(20)) for _ in range(3000)]
+    entries += [(rng.choice(["block", "allow"]), rng.choice(["host", "domain"]), rng.choice(["hot.com", "com", "b.org"]), rng.choice(["add", "remove"]), rng.randrange(20)) for _ in range(30)]
+    captures = [(i, f"http://{rng.choice(hosts)}/{rng.randrange(3000)}/x", rng.randrange(-1, 21), "own") for i in range(300)]
+
+    def active(url, time):
+        full = url.removeprefix("http://")
+        host = full.split("/")[0]
+        last = {}
+        for name, kind, pattern, action, since in sorted(entries, key=lambda e: (e[4], e[3])):
+            meets = host == pattern if kind == "host" else host == pattern or host.endswith("." + pattern) if kind == "domain" else full.startswith(pattern) and pattern.split("/")[0] == host
+            if meets and since <= time:
+                last[name, kind, pattern] = action
+        return sorted(":".join(k) for k, a in last.items() if a == "add")
+
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at int, names string")
+    e = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, since int")
+    got = {r.page_id: r for r in url_filter.evaluate(c, e).collect()}
+    for i, url, time, _ in captures:
+        names = active(url, time)
+        assert got[i].active == names and got[i].names == "own"
+        assert got[i].decision == ("allow" if any(n.startswith("allow:") for n in names) else "block" if names else "pass")
+
+
+def test_fluid_with_thousands_of_sources():
+    weights = {f"s{i}": 1.0 + i % 7 for i in range(5000)}
+    total, done = sum(weights.values()), collections.Counter()
+    for t, (s, i, _) in zip(range(20_000), mixing.fluid(weights, {s: 1000 for s in weights})):
+        done[s] += 1
+        if t % 4999 == 0:
+            assert all(abs(done[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+
+
+def test_texts_beyond_a_slice(spark):
+    """One text longer than what is worked on at a time, between short ones."""
+    long = prose(31, 260_000, 10**7)
+    assert len(long) > 1 << 20
+    texts = ["short one", long, prose(32, 50) + " " + long[:2000], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, 35, digest=True).collect()}
+    assert got == dict(enumerate(brute_removal(texts, 35)))
+    found = {r.doc_id: r.fp for r in simhash.fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), 3, 64).collect()}
+    assert all(found[i].hex() == brute_fingerprint(t or "", 3) for i, t in enumerate(texts))
+    made = {r.doc_id: r.stats for r in quality.document_statistics(docs).collect()}
+    raw = np.frombuffer(long.encode(), np.uint8)
+    assert np.allclose(made[1], quality.statistics(raw, np.array([0, len(raw)]))[0])
+    assert np.isclose(made[1][10], np.log1p(260_000))
+
+
+def test_token_files_of_a_very_long_text(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a b", prose(33, 1_500_000, 3000), "end"]
+    assert len(texts[1]) > 8 << 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_tokens(docs, str(tmp_path / "t"), path, end=2)
+    want, start = {}, 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(spark, str(tmp_path / "t"), digest=True).collect()} == want
+
+
+def test_token_queries_equal_the_library(spark, sf_dir):
+    """The registered queries' digests against the library's ids of every whole text."""
+    from tokenizers import Tokenizer
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    library, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, {}
+    for i, t in docs:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op8(spark, sf_dir).collect()} == want
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for i, t in docs:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op10(spark, sf_dir).collect()} == want
+
+
+def test_other_rules_send_texts_whole(spark, tmp_path):
+    """A tokenizer file that isn't the word-wise kind gives the library's ids too."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Upper  and lower", "don't", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_tokens(docs, str(tmp_path / "t"), path, end=2)
+    got = {r.doc_id: list(r.ids) for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Codec(bpe.read_text(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def test_lexicon_words_are_the_frequent_ones(spark, spec):
+    texts = [" ".join(f"w{i}" for i in range(1, 200) for _ in range(200 // i))]
+    docs = spark.createDataFrame([(0, texts[0])], "doc_id long, text string")
+    got = [bytes(r.word).decode().strip() for r in bpe.frequent_words(docs, spec, 40).collect()]
+    assert 25 <= len(got) <= 40 and "w1" not in got  # pieces of words: letters, digits
+    assert {"w"} <= set(got)
+
+
+def test_keep_one_keeps_own_columns(odd_docs):
+    docs = odd_docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("__id", "__own", "__hash", "row", "text_hash", "root", "a.b"))))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert all((r["__id"], r["__own"], r["__hash"], r["row"], r["text_hash"], r["root"], r["a.b"]) == tuple(range(7)) for r in got.collect())
