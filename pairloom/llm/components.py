@@ -1,38 +1,15 @@
-"""Connected components of a link table, by repeated contraction; nothing but counts reaches the driver."""
+"""Connected components of a link table; nothing but counts reaches the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from ..operators import graph
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) for every endpoint of ``links`` (a, b; any orientation, repeats and loops allowed); root is the same
-    for all nodes of a component, and one of them.
-
-    Each round every node points to its least neighbour, pointers are followed once more, and links are rewritten to the
-    nodes pointed at. Minima and distinct rows are pre-aggregated before each shuffle, and the rewriting joins have a
-    side with one row a key, so that a hub's rows can be split among tasks. Rounds grow as the logarithm of the longest
-    path.
-    """
-    edges = common.materialize(links.select("a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    node = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = common.materialize(node.select("node", F.col("node").alias("root")), "labels")
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        point = common.materialize(point, "points")
-        onward = point.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        jump = common.materialize(point.join(onward, "to").select(F.col("a").alias("at"), F.col("next").alias("to")), "jumps")
-        left = edges.join(jump.select(F.col("at").alias("a"), F.col("to").alias("x")), "a")
-        rewritten = left.join(jump.select(F.col("at").alias("b"), F.col("to").alias("y")), "b")
-        rewritten = rewritten.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        moved = labels.join(jump.select(F.col("at").alias("root"), F.col("to").alias("to")), "root", "left")
-        moved = moved.select("node", F.coalesce("to", "root").alias("root"))
-        old = (edges, labels, point, jump)
-        edges, labels = common.materialize(rewritten, "links"), common.materialize(moved, "labels")
-        for table in old:
-            common.release(table)
-    return labels
+    """(node, root) for every endpoint of ``links`` (a, b; any orientation, repeats and loops allowed); root is the least node
+    of the component."""
+    found = graph.components(links.select(F.col("a").alias("id1"), F.col("b").alias("id2")))
+    return found.select(F.col("id").alias("node"), F.col("component_id").alias("root"))
