@@ -6,6 +6,7 @@ and read again as the next one's ``docs``. All but the last return the columns o
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,8 +70,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spec = bpe.read_text(public_tokenizers.path("byte_bpe_50k.json"))
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
-    def pack(codec: bpe.Codec, rows: list, texts: list) -> dict:
-        return {"n_tokens": list(map(len, rows)), "ids": rows, "round_trip": [codec.decode(i) == (t or "") for i, t in zip(rows, texts)]}
+    def pack(found: bpe.Encoded, texts: pa.Array) -> dict:
+        same = [a == (b or "") for a, b in zip(found.decoded(), texts.to_pylist())]
+        return {"n_tokens": pa.array(found.lengths()), "ids": found.ids(), "round_trip": same}
 
     lexicon = bpe.build_lexicon(docs, spec)
     placed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), "text")
