@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,35 +41,68 @@ def drop(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Edges that one task may finish by itself; more are contracted by rounds of joins until so few are left.
+ONE_TASK_EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for the endpoints of edges (id1, id2): the least id that each is connected with.
 
     Rounds of contraction: a node points to its least neighbour, pointers are followed once more, edges are rewritten
     to the nodes pointed at and loops and repeats dropped. Every round leaves one table of pointers; the labels follow
-    them in turn at the end. As every step lowers labels, the last label is the least id.
+    them in turn at the end. As every step lowers labels, the last label is the least id. Once the edges left are counted
+    to be few, one task ends the work.
     """
     ends = edges.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    ends = cut(ends)
     label = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component_id", F.col("id"))
-    ends = cut(ends.filter("a <> b"))
-    jumps = []
-    while not ends.isEmpty():
-        both = ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    jumps, left, made = [], ends.filter("a <> b"), [ends]
+    numbers = dict(ends.dtypes)["a"] == "bigint"
+    while True:
+        n = left.count()
+        if not n or (numbers and n <= ONE_TASK_EDGES):
+            if n:
+                jumps.append(cut(_rooted(left)))
+            break
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         hop = point.select(F.col("a").alias("to"), F.col("to").alias("root"))
         jump = cut(point.join(hop, "to").select(F.col("a").alias("node"), "root"))
         at = lambda c, name: jump.select(F.col("node").alias(c), F.col("root").alias(name))  # noqa: B023, E731
-        moved = ends.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y")
-        done, ends = ends, cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        drop(done)
+        moved = left.join(at("a", "x"), "a").join(at("b", "y"), "b").filter("x <> y")
+        left = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        made.append(left)
         jumps.append(jump)
     for jump in jumps:
         step = jump.select(F.col("node").alias("component_id"), "root")
         label = label.join(step, "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
     out = cut(label)
-    drop(*jumps)
+    drop(*jumps, *made)
     return out
 
 
+def _rooted(ends: DataFrame) -> DataFrame:
+    """(node, root) of the few edges that are left, in one task: labels are lowered along edges and followed until they rest."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*frames, pd.DataFrame({"a": [], "b": []}, dtype="int64")])
+        nodes, at = np.unique(rows[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while True:
+            before = root.copy()
+            low = np.minimum(root[a], root[b])
+            for end in (a, b):
+                np.minimum.at(root, root[end], low)
+                np.minimum.at(root, end, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        yield pd.DataFrame({"node": nodes, "root": nodes[root]})
+
+    return ends.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).coalesce(1).mapInPandas(run, "node long, root long")
+
+
 def with_groups(edges: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Edges and, for every group of ``members`` (id, key) of two or more, a star around its least id."""
     least = members.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("id1"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -95,16 +131,6 @@ def sample_by_quota(df: DataFrame, quotas: DataFrame, keys: list[str], order: li
     return ranked.join(F.broadcast(quotas.select(*keys, "quota")), keys).filter("__r <= quota").drop("__r", "quota")
 
 
-def whole_components(sizes: list[tuple[int, int]], total: int) -> list[int]:
-    """Of (component, pairs) in order, those that a greedy pass takes: each that still fits into ``total``."""
-    chosen, left = [], total
-    for component, n in sizes:
-        if n <= left:
-            chosen.append(component)
-            left -= n
-    return chosen
-
-
 def hash_fraction(key: Column, seed: str) -> Column:
     """A number in [0, 1) for a key, by MD5."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)

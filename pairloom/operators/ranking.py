@@ -60,15 +60,6 @@ def purity(df: DataFrame, key: str, concept: str, least: float) -> DataFrame:
     return out.withColumn("purity", F.col("votes") / F.col("support")).filter(F.col("purity") >= least)
 
 
-def threshold_states(df: DataFrame, score: str, error: str) -> DataFrame:
-    """For each distinct score, ascending: rows accepted at or below it, and errors among them; first an empty state."""
-    points = df.groupBy(F.col(score).alias("boundary")).agg(F.count(F.lit(1)).alias("n"), F.sum(error).cast("long").alias("e"))
-    up = Window.orderBy("boundary").rowsBetween(Window.unboundedPreceding, 0)
-    states = points.select("boundary", F.sum("n").over(up).alias("accepted"), F.sum("e").over(up).alias("errors"))
-    empty = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("boundary"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("errors"))
-    return empty.unionByName(states)
-
-
 def top_budget(df: DataFrame, share: float, order: list, keys: list[str] | None = None) -> DataFrame:
     """Mark (``chosen``) the first floor(n * share) rows of the whole, or of each group."""
     sizes = df.groupBy(*(keys or [])).agg(F.floor(F.count(F.lit(1)) * share + 1e-12).alias("__k"))

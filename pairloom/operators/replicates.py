@@ -36,7 +36,7 @@ def draws(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
 def replicate_ap(rows: DataFrame, n: int, weigh: Callable[[pd.DataFrame, np.ndarray], list[tuple[str, np.ndarray]]], models: int, first: int = 0) -> DataFrame:
     """(category, replicate, ap_0, ..) of ``n`` replicates from number ``first`` on. ``weigh(rows, replicates)`` gives for each
     model pairs (score column, weights rows x replicates) that count; ``rows`` has category and target. Categories without
-    positive weight have NaN."""
+    positive weight have null."""
     blocks = [np.arange(lo, min(lo + BLOCK, first + n)) for lo in range(first, first + n, BLOCK)]
     schema = "category string, block int, model int, score double, positive binary, weight binary"
 
@@ -79,8 +79,9 @@ def replicate_ap(rows: DataFrame, n: int, weigh: Callable[[pd.DataFrame, np.ndar
 
 
 def macro(replicated: DataFrame, models: int) -> DataFrame:
-    """(replicate, macro_0, ..): the mean over categories; NaN where any category has no positive weight."""
-    return replicated.groupBy("replicate").agg(*(F.avg(f"ap_{m}").alias(f"macro_{m}") for m in range(models)))
+    """(replicate, macro_0, ..): the mean over categories; null where any category has no positive weight."""
+    whole = lambda m: F.when(F.count(f"ap_{m}") == F.count(F.lit(1)), F.avg(f"ap_{m}"))
+    return replicated.groupBy("replicate").agg(*(whole(m).alias(f"macro_{m}") for m in range(models)))
 
 
 def permutation_test(pairs: DataFrame, a: str, b: str, n: int = 2000, seed: int = 1) -> DataFrame:
@@ -151,7 +152,7 @@ def bootstrap(pairs: DataFrame, a: str, b: str, unit: str, stratum: list[str], n
             return [[("x", t)], [("y", t)]]
 
         made = macro(replicate_ap(counted, k, weigh, 2, first), 2).select((F.col("macro_0") - F.col("macro_1")).alias("delta"), "replicate")
-        made = made.filter(~F.isnan("delta")).cache()
+        made = made.filter("delta is not null").cache()
         good, first = good + made.count(), first + k
         parts = made if parts is None else parts.unionByName(made)
     if good < n:

@@ -15,8 +15,9 @@ def _words(text: str):
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([0-9a-zа-я]+)"), 1)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of every document that shares a word with a query. Term counts are kept only for words that
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of every document that shares a word with a query, or with their rank of the ``k`` best of each
+    query (ties by id). Term counts are kept only for words that
     some query has, so the shuffle is of matches rather than of the corpus; frequencies and lengths cover all of it."""
     asked = queries.select("query_id", F.explode(F.array_distinct(_words("text"))).alias("t"))
     words = docs.select("id", _words("text").alias("w"))
@@ -27,7 +28,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     idf = df.join(F.broadcast(stats)).select("t", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = asked.join(idf, "t").join(tf, "t")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    if k is None:
+        return scores
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], constant: int, k: int) -> DataFrame:

@@ -18,19 +18,19 @@ def round_robin(needs: DataFrame, pool: DataFrame, scope: list[str], need_order:
     return wanted.join(given, [*scope, "__k"]).drop("__k", "__n")
 
 
-def prevalence_for(df: DataFrame, wanted: float, rounds: int = 30) -> float:
-    """The prevalence at which macro AP, with negatives reweighted, is ``wanted``: bisection over a small curve table."""
-    points = df.groupBy("category", "score").agg(F.sum("target").cast("double").alias("p"), F.sum(1 - F.col("target")).cast("double").alias("n")).toPandas()
+def prevalence_for(df: DataFrame, wanted: float, rounds: int = 80, digits: int = 4) -> float:
+    """The prevalence at which macro AP, with negatives reweighted, is ``wanted``: bisection over a curve. Scores are rounded
+    to ``digits`` places, which bounds the curve that reaches the driver."""
+    at = F.round("score", digits)
+    points = df.groupBy("category", at.alias("score")).agg(F.sum("target").cast("double").alias("p"), F.sum(1 - F.col("target")).cast("double").alias("n")).toPandas()
+    curves = [g.sort_values("score", ascending=False)[["p", "n"]].to_numpy().T for _, g in points.groupby("category")]
+    curves = [(p, n) for p, n in curves if p.sum() and n.sum()]
 
     def macro(prevalence: float) -> float:
         out = []
-        for _, g in points.groupby("category"):
-            g = g.sort_values("score", ascending=False)
-            if not g.p.sum() or not g.n.sum():
-                continue
-            w = g.p.sum() * (1 - prevalence) / (prevalence * g.n.sum())
-            found = g.p.cumsum()
-            out.append((g.p * found / (found + w * g.n.cumsum())).sum() / g.p.sum())
+        for p, n in curves:
+            found = p.cumsum()
+            out.append((p * found / (found + p.sum() * (1 - prevalence) / (prevalence * n.sum()) * n.cumsum())).sum() / p.sum())
         return sum(out) / len(out) if out else float("nan")
 
     low, high = 1e-6, 1 - 1e-6

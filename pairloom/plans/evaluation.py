@@ -232,14 +232,14 @@ def staged(spark, d):
 # retrieval
 
 
-@query("i1_bm25", """select q.item_id, d.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from (select distinct item_id, unnest(regexp_extract_all(lower(text), '[0-9a-zа-я]+')) as t from benchmark) q
-  join tf d on d.t = q.t join (select t, ln(1 + ((select count(*) from lens) - count(*) + 0.5::double) / (count(*) + 0.5)) as idf from tf group by t) f on f.t = q.t join lens l on l.doc_id = d.doc_id, (select greatest(avg(dl), 1) as avgdl from lens) group by q.item_id, d.doc_id""",
+@query("i1_bm25", """select item_id, doc_id, score, cast(rank as int) as rank from (select item_id, doc_id, round(s, 6) as score, row_number() over (partition by item_id order by s desc, doc_id) as rank from (select q.item_id, d.doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as s from (select distinct item_id, unnest(regexp_extract_all(lower(text), '[0-9a-zа-я]+')) as t from benchmark) q
+  join tf d on d.t = q.t join (select t, ln(1 + ((select count(*) from lens) - count(*) + 0.5::double) / (count(*) + 0.5)) as idf from tf group by t) f on f.t = q.t join lens l on l.doc_id = d.doc_id, (select greatest(avg(dl), 1) as avgdl from lens) group by q.item_id, d.doc_id)) where rank <= 20""",
   """toks as (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-zа-я]+')) as t from documents), tf as (select doc_id, t, count(*)::double as tf from toks group by doc_id, t),
   lens as (select d.doc_id, len(regexp_extract_all(lower(text), '[0-9a-zа-я]+')) as dl from documents d)""")
 def bm25(spark, d):
     queries = v.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = rt.bm25(v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), queries)
-    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    found = rt.bm25(v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), queries, 20)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("i6_water_fill_quotas", """select category, count(*) as quota from (select category, row_number() over (order by i / weight, category, i) as r from (

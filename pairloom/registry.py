@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analysis, audits, base, core, evaluation, features, generation, greedy, policies, sampling, selections, statistics, tables, texts  # noqa: F401  (plans register themselves)
+from .plans import analysis, audits, base, core, evaluation, features, generation, greedy, policies, runs, sampling, selections, statistics, tables, texts  # noqa: F401  (plans register themselves)
 
 
 def queries() -> dict:

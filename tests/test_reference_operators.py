@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom import registry
 from pairloom.functions import numeric as nm, text as tx, units
-from pairloom.operators import attributes as at, graph as gr, metrics as me, pairs as pr, ranking as rk, routing as ro, rules as ru, similarity as sim
+from pairloom.operators import attributes as at, features as fe, graph as gr, metrics as me, pairs as pr, policies as po, replicates as rp, routing as ro, rules as ru, similarity as sim
 from pairloom.streaming import latest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -74,7 +74,7 @@ def test_attribute_parsing(items):
 
 def test_measures(spark):
     got = spark.range(1).select(units.measures(F.lit("1,5 кг, 20 мм и 2 TB")).alias("m")).first().m
-    assert {(m.family, m.value) for m in got} == {("mass", 1.5), ("length", 0.02), ("memory", 2097152.0)}
+    assert {(m.family, m.value) for m in got} == {("mass_mg", 1.5e6), ("length_mm", 20.0), ("memory_mb", 2097152.0)}
 
 
 def test_set_semantics(spark):
@@ -103,10 +103,75 @@ def test_fuzzy_ratios_by_definition():
     assert sim.indel_ratio("", "") == 100 and sim.token_sort("b a", "a b") == 100 and sim.token_set("a b", "a b c") == 100 and sim.token_set("", "a") == 0
 
 
+def test_fuzzy_ratios_of_many_pairs_are_those_of_each():
+    rng = random.Random(5)
+    pairs = [tuple("".join(rng.choice("abc dé") for _ in range(rng.choice([0, 5, 30, 63, 64, 65, 90]))) for _ in "ab") for _ in range(400)]
+    for kind, one in (("ratio", sim.indel_ratio), ("token_sort", sim.token_sort), ("token_set", sim.token_set)):
+        assert sim.RATIOS[kind](pairs) == pytest.approx([one(a, b) for a, b in pairs])
+
+
+def test_weighted_ratio_of_texts_of_unlike_length():
+    assert sim.weighted_ratio("new york mets", "new york mets vs atlanta braves") == pytest.approx(90.0)
+    assert sim.weighted_ratio("abc", "abc") == 100 and sim.weighted_ratio("", "a") == 0
+    assert sim.partial_ratio("abcd", "xxabcdxx") == 100 and sim.partial_ratio("abcd", "xxabxcdxx") == 75
+
+
 def test_threshold_states_with_ties(spark):
     df = spark.createDataFrame([(0.1, 0), (0.1, 0), (0.8, 1), (0.9, 1)], "score double, target int")
-    got = [(r.accepted, r.errors) for r in rk.threshold_states(df, "score", "target").orderBy("accepted").collect()]
-    assert got == [(0, 0), (2, 0), (3, 1), (4, 2)]
+    got = [(r.accepted, r.errors) for r in po.risk_states(df, "score", "target").orderBy("accepted").collect()]
+    assert got == [(2, 0), (3, 1), (4, 2)]
+    empty = po.best_states(po.risk_states(df, "score", "target"), 0.01).first()
+    assert (empty.accepted, empty.errors, empty.ucb, empty.boundary) == (0, 0, 1.0, None)
+
+
+def test_typed_conflicts_and_chains(spark):
+    rows = [(1, "T", '{"Размер": "42", "Объём памяти": "8 ГБ"}', "c"), (2, "T", '{"Размер": "44", "Объём памяти": ["8 ГБ", "8 гб"]}', "c"), (3, "T 10x20 см", '[{"name": "Размер", "value": "42"}]', "c")]
+    items = spark.createDataFrame(rows, "id long, name string, attributes string, category string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "id1 long, id2 long")
+    got = {r.id2: r for r in fe.typed_native(pairs, items, regimes={"c": "variant_tolerant"}).collect()}
+    assert got[2].num_size_conflict == 1 and got[2].num_ram_storage_conflict == 0 and got[2].matching_regime == "variant_tolerant" and got[2].conflict_signature == "size"
+    assert got[3].num_size_match == 1 and got[3].num_dimensions_one_missing == 1
+    typed = {r.id: r.typed for r in fe.typed_items(items).collect()}
+    assert "100.0x200.0" in typed[3]["dimensions"]
+
+
+def test_slash_conflict_and_one_sided_codes(spark):
+    rows = [(1, "Phone 16/512", "{}", "c"), (2, "Phone 8/512", "{}", "c"), (3, "Phone AB-123", "{}", "c")]
+    items = spark.createDataFrame(rows, "id long, name string, attributes string, category string")
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5)], "id1 long, id2 long, score double")
+    got = {r.id2: r for r in fe.cheap_features(pairs, items).collect()}
+    assert got[2].slash_spec_conflict == 1 and got[3].code_conflict == 0 and got[3].sku_human_asymmetry == 1 and got[2].numeric_context_conflict_count >= 1
+
+
+def test_portfolio_takes_the_clean_rule(spark):
+    rows = [(i, 0.5, int(i >= 45), i % 3, ["clean_rule"] if i < 40 else [], False) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, score double, target int, fold int, gates array<string>, none boolean")
+    got = po.select_portfolio(df, ["none"], 0.2, [0.8], [1.0], 10, 3, 2)
+    assert (got["accepted"], got["errors"], got["gates"], got["threshold"]) == (40, 0, [("clean_rule", 0.8)], None)
+    applied = po.apply_policy(df, 0.0, F.col("none"), got["gates"]).filter("reason is not null")
+    assert applied.count() == 40 and {r.reason for r in applied.collect()} == {"clean_rule"}
+
+
+def test_permutations_and_bootstraps(spark):
+    rng = random.Random(9)
+    rows = [(c, int(rng.random() < 0.4), i, rng.randrange(40) / 40) for c in "ab" for i in range(150)]
+    df = spark.createDataFrame([(c, y, i + 1000 * ord(c), s, s, min(1.0, 0.5 * s + 0.5 * y)) for c, y, i, s in rows], "category string, target int, component_id long, x double, same double, better double")
+    assert rp.permutation_test(df, "x", "same", 60).first().p_value == 1.0
+    assert rp.permutation_test(df, "better", "x", 200).first().p_value == pytest.approx(1 / 201)
+    seen = {m: me.macro(me.average_precision(df, ["category"], score=m), "ap").first().macro_ap for m in ("x", "better")}
+    assert rp.permutation_test(df, "better", "x", 10).first().observed == pytest.approx(seen["better"] - seen["x"])
+    one = rp.bootstrap(df, "better", "x", "component_id", ["category"], 150).first()
+    assert one.replicates == 150 and one.low < seen["better"] - seen["x"] < one.high and one.positive_share == 1.0
+    assert tuple(one) == tuple(rp.bootstrap(df.repartition(7), "better", "x", "component_id", ["category"], 150).first())
+    few = spark.createDataFrame([("a", 1, 1, 0.5, 0.6)] + [("a", 0, i, 0.1, 0.2) for i in range(2, 9)], "category string, target int, component_id long, x double, y double")
+    assert rp.bootstrap(few, "x", "y", "component_id", ["category"], 50).first().replicates == 50
+
+
+def test_posteriors_know_the_sign(spark):
+    rules = spark.createDataFrame([("up", 90, 10, 500, 500), ("none", 50, 50, 500, 500)], "rule string, positive long, negative long, baseline_positive long, baseline_negative long")
+    got = {r.rule: r for r in rp.beta_effects(rules).collect()}
+    assert got["up"].above > 0.999 and got["up"].low > 1 and 0.2 < got["none"].above < 0.8
+    assert got["up"].median == pytest.approx(math.log(9), abs=0.15)
 
 
 def brute_ap(rows):
@@ -132,7 +197,9 @@ def test_metrics_against_brute_force(spark):
         assert auc[c] == pytest.approx(sum(wins) / len(wins))
 
 
-def test_components_take_the_least_id(spark):
+@pytest.mark.parametrize("alone", [0, 200_000])
+def test_components_take_the_least_id(spark, monkeypatch, alone):
+    monkeypatch.setattr(gr, "ONE_TASK_EDGES", alone)
     pairs = spark.createDataFrame([(9, 2), (2, 5), (100, 101), (7, 7)] + [(i, i + 1) for i in range(200, 260)], "id1 long, id2 long")
     got = {r.id: r.component_id for r in gr.components(pairs).collect()}
     assert got == {9: 2, 2: 2, 5: 2, 100: 100, 101: 100, 7: 7} | {i: 200 for i in range(200, 261)}
@@ -142,7 +209,6 @@ def test_quotas_add_up(spark):
     sizes = spark.createDataFrame([("a", 7), ("b", 3), ("c", 3)], "g string, n long")
     got = {r.g: r.quota for r in gr.largest_remainder(sizes, 6, ["g"]).collect()}
     assert got == {"a": 3, "b": 2, "c": 1}
-    assert gr.whole_components([(1, 3), (2, 2), (3, 2), (4, 1)], 6) == [1, 2, 4]
 
 
 def test_holm_and_bh(spark):
@@ -176,12 +242,15 @@ def test_latest_state_as_batch_and_stream(spark, tmp_path):
     assert {tuple(r) for r in latest.latest_per_key(log, ["key"], ["at", "payload"]).collect()} == want
     log.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    latest.keep_latest(stream, ["key"], ["at", "payload"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/batch=0")).select("key", "at", "payload").collect()} == want
-    spark.createDataFrame([(1, 3, "z")], log.schema).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    latest.keep_latest(stream, ["key"], ["at", "payload"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/batch=1")).select("key", "at", "payload").collect()} == {(1, 3, "z"), (2, 1, "c")}
+    latest.keep_latest(stream, ["key"], ["at", "payload"], str(tmp_path / "out"), str(tmp_path / "ck"), buckets=4).awaitTermination()
+    state = lambda: {tuple(r) for r in latest.current(spark, str(tmp_path / "out"), log.schema).select("key", "at", "payload").collect()}
+    assert state() == want
+    for at, payload in ((3, "z"), (4, "y"), (5, "x")):
+        spark.createDataFrame([(1, at, payload)], log.schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+        latest.keep_latest(stream, ["key"], ["at", "payload"], str(tmp_path / "out"), str(tmp_path / "ck"), buckets=4).awaitTermination()
+    assert state() == {(1, 5, "x"), (2, 1, "c")}
+    assert all(len(list(p.glob("batch=*"))) <= 2 for p in (tmp_path / "out").glob("bucket=*"))
 
 
 def test_resampled_negatives_repeat_as_often_as_the_reference(spark, sf_dir):
