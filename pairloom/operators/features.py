@@ -471,3 +471,21 @@ def conflict_components(features: DataFrame, title_token_set: Column, probabilit
     uncertain = F.round(1.0 - 2.0 * F.abs(probability - 0.5), 14)
     weighed = 0.25 * F.col("identifier_conflict").cast("int") + 0.15 * F.col("any_numeric_conflict").cast("int") + 0.10 * F.col("title_dissimilarity") + 0.05 * F.col("low_attribute_overlap").cast("int")
     return p.withColumn("priority", uncertain + weighed)
+
+
+def label_audit(pairs: DataFrame, items: DataFrame, high: float = 0.8, low: float = 0.2) -> DataFrame:
+    """Flags of doubtful labels beside the mining flags, and each pair's bucket: conflicting (the same pair of ids, or of whole
+    cards, has both labels), suspicious (a negative of equal titles or cards, a positive with any conflict), clean; and
+    whether a negative's titles are very alike or a positive's very unlike."""
+    whole = items.select("id", F.sha2(F.concat_ws("\x1f", "name", "attributes", "category"), 256).alias("card"), found(tx.fold(F.col("name")), "[0-9a-zа-я]+").alias("words"))
+    p = pr.hydrate(mining_flags(pairs, items), whole, ("card", "words"))
+    p = p.withColumn("lo", F.least("id1", "id2")).withColumn("hi", F.greatest("id1", "id2")).withColumn("card_lo", F.least("card_1", "card_2")).withColumn("card_hi", F.greatest("card_1", "card_2"))
+    labels = lambda keys, name: p.groupBy(*keys).agg((F.count_distinct("target") > 1).alias(name))
+    p2 = p.join(labels(("lo", "hi"), "ids_conflict"), ["lo", "hi"]).join(labels(("card_lo", "card_hi"), "cards_conflict"), ["card_lo", "card_hi"])
+    no, yes = F.col("target") == 0, F.col("target") == 1
+    doubtful = no & (F.col("exact_normalized_title_match") | F.col("identical_full_representation"))
+    wrong = yes & (F.col("numeric_conflict") | F.col("code_conflict") | F.col("model_code_conflict") | F.col("critical_attribute_conflict"))
+    p2 = p2.withColumn("suspicious_negative_identity", doubtful).withColumn("suspicious_positive_conflict", wrong)
+    bucket = F.when(F.col("ids_conflict") | F.col("cards_conflict"), "conflicting").when(doubtful | wrong, "suspicious").otherwise("clean")
+    alike = nm.jaccard(*sides("words"))
+    return p2.withColumn("bucket", bucket).withColumn("very_alike_negative", no & (alike >= high)).withColumn("very_unlike_positive", yes & (alike <= low)).drop("card_1", "card_2", "words_1", "words_2")

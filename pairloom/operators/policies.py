@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
-from . import pairs as pr
+from . import graph as gr, pairs as pr
 
 
 def risk_states(df: DataFrame, score: str, error: str, side: str = "low", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -172,33 +172,37 @@ def select_portfolio(df: DataFrame, veto_cols: list[str], limit: float, caps: li
     Rows alike in scores, target, fold, vetoes and gates are counted as one; each step is one grouped sum over what the
     union lacks, and only the best candidate's counts reach the driver."""
     every = sorted(caps)
-    patterns = df.groupBy(score, target, fold, *veto_cols, F.array_sort(gate_col).alias("__gates")).agg(F.count(F.lit(1)).alias("__n")).cache()
+    df = gr.cut(df.select(score, target, fold, *veto_cols, gate_col))
+    patterns = df.groupBy(score, target, fold, *veto_cols, F.array_sort(gate_col).alias("__gates")).agg(F.count(F.lit(1)).alias("__n"))
+    patterns = gr.cut(patterns)
     best = {"threshold": None, "veto": "none", "gates": [], "accepted": 0, "errors": 0, "ucb": 1.0}
     try:
         for veto in veto_cols:
             open_ = patterns.filter(~F.col(veto))
             fired = open_.select(score, target, fold, "__n", "__gates", F.explode("__gates").alias("gate"))
-            fired = fired.withColumn("cap", F.explode(F.array(*map(F.lit, every)))).filter(F.col(score) < F.col("cap"))
+            fired = gr.cut(fired.withColumn("cap", F.explode(F.array(*map(F.lit, every)))).filter(F.col(score) < F.col("cap")))
             usable = fired.groupBy("gate", "cap").agg(F.sum("__n").alias("support"), F.count_distinct(fold).alias("folds")).filter((F.col("support") >= least_support) & (F.col("folds") >= least_folds)).select("gate", "cap")
+            usable = gr.cut(usable)
             states = risk_states(df.filter(~F.col(veto)), score, target)
             for threshold in _seeds(states, limit, fractions):
                 inside = F.lit(False) if threshold is None else F.col(score) <= threshold
                 chosen: list[tuple[str, float]] = []
-                while True:
+                first = open_.filter(inside).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("__n") * F.col(target)), F.lit(0)).alias("e")).first()
+                rows, errors = first.n, first.e
+                while len(chosen) < most_gates:
                     taken = reduce(lambda a, g: a | (F.array_contains("__gates", g[0]) & (F.col(score) < g[1])), chosen, inside)
-                    now = open_.filter(taken).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("__n") * F.col(target)), F.lit(0)).alias("e")).first()
-                    if len(chosen) == most_gates:
-                        break
                     more = fired.filter(~taken).groupBy("gate", "cap").agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col(target)).alias("e")).join(usable, ["gate", "cap"])
-                    union = more.select("gate", "cap", (F.col("n") + now.n).alias("n"), (F.col("e") + now.e).alias("e")).withColumn("ucb", nm.wilson(F.col("e"), F.col("n"), upper=True))
+                    union = more.select("gate", "cap", (F.col("n") + rows).alias("n"), (F.col("e") + errors).alias("e")).withColumn("ucb", nm.wilson(F.col("e"), F.col("n"), upper=True))
                     top = union.filter(F.col("ucb") < limit).orderBy(F.desc("n"), "e", "cap", "gate").first()
                     if top is None:
                         break
                     chosen.append((top.gate, top.cap))
-                if (now.n, -now.e, -len(chosen)) > (best["accepted"], -best["errors"], -len(best["gates"])):
-                    best = {"threshold": threshold, "veto": veto, "gates": chosen, "accepted": int(now.n), "errors": int(now.e), "ucb": _wilson_upper(now.e, now.n)}
+                    rows, errors = top.n, top.e
+                if (rows, -errors, -len(chosen)) > (best["accepted"], -best["errors"], -len(best["gates"])):
+                    best = {"threshold": threshold, "veto": veto, "gates": chosen, "accepted": int(rows), "errors": int(errors), "ucb": _wilson_upper(errors, rows)}
+            gr.drop(fired, usable)
     finally:
-        patterns.unpersist()
+        gr.drop(df, patterns)
     return best
 
 

@@ -350,3 +350,17 @@ def j11(spark, d):
     items = v.items(spark, d).filter("category <> 'SMALL'").groupBy("category").agg(F.count(F.lit(1)).alias("items"))
     pairs = v.predictions(spark, d).filter("category <> 'LARGE'").groupBy("category").agg(F.count(F.lit(1)).alias("pairs"))
     return items.join(pairs, "category", "full").select("category", "items", "pairs")
+
+
+_BAD = " or ".join(fp.disjoint(f"a.{f}_values", f"b.{f}_values") for f in fe.FAMILIES)
+AUDITED = f"""{fp.RICH}, {fp.CHEAP}, {MESSY}, cd as (select id, concat(category, '|', title, '|', kind, '|', id % 97 = 5, '|', array_to_string(flat, ';')) as card from bags),
+flagged as (select m.*, least(m.id1, m.id2) as lo, greatest(m.id1, m.id2) as hi, least(x.card, y.card) as clo, greatest(x.card, y.card) as chi, a.title = b.title as same_title, x.card = y.card as same_card, ({fp._CONTEXT}) > 0 as numeric_conflict, {fp.disjoint('a.skus', 'b.skus')} as code_conflict, {_BAD} as critical, {fp._jaccard('a.tokens', 'b.tokens', '0.0')} as alike
+  from messy m join cheap a on a.id = m.id1 join cheap b on b.id = m.id2 join cd x on x.id = m.id1 join cd y on y.id = m.id2),
+told as (select *, min(target) over (partition by lo, hi) <> max(target) over (partition by lo, hi) or min(target) over (partition by clo, chi) <> max(target) over (partition by clo, chi) as conflicting from flagged)"""
+
+
+@query("p9_audit_buckets", "select case when conflicting then 'conflicting' when (target = 0 and (same_title or same_card)) or (target = 1 and (numeric_conflict or code_conflict or critical)) then 'suspicious' else 'clean' end as bucket, count(*) as n, count(*) filter (where target = 0 and (same_title or same_card)) as suspicious_negatives, count(*) filter (where target = 1 and (numeric_conflict or code_conflict or critical)) as suspicious_positives, count(*) filter (where target = 0 and alike >= 0.5) as very_alike_negatives, count(*) filter (where target = 1 and alike <= 0.3) as very_unlike_positives from told group by 1", AUDITED)
+def p9(spark, d):
+    out = fe.label_audit(messy(spark, d), fp.rich_items(spark, d), 0.5, 0.3)
+    count = lambda c: F.count_if(F.col(c))
+    return out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), count("suspicious_negative_identity").alias("suspicious_negatives"), count("suspicious_positive_conflict").alias("suspicious_positives"), count("very_alike_negative").alias("very_alike_negatives"), count("very_unlike_positive").alias("very_unlike_positives"))

@@ -40,15 +40,6 @@ def states(spark, d):
     return p.select("id1", "id2", au.side_state(a == b, a.isNotNull() & b.isNotNull(), a.isNull() | b.isNull()).alias("brand"), au.signature(flags).alias("signature"))
 
 
-@query("p9_audit_buckets", """select category, bucket, count(*) as n from (select category, case when labels > 1 then 'conflicting' when abs(score - target) > 0.7 then 'suspicious' else 'clean' end as bucket
-  from (select *, (select count(distinct target) from predictions q where q.id1 = p.id1) as labels from predictions p)) group by category, bucket""")
-def audit(spark, d):
-    p = v.predictions(spark, d)
-    labels = p.groupBy("id1").agg(F.count_distinct("target").alias("labels"))
-    bucket = F.when(F.col("labels") > 1, "conflicting").when(F.abs(F.col("score") - F.col("target")) > 0.7, "suspicious").otherwise("clean")
-    return p.join(labels, "id1").groupBy("category", bucket.alias("bucket")).agg(_n().alias("n"))
-
-
 @query("p10_prediction_validity", "select category, sum((target not in (0, 1))::int)::bigint as bad_labels, sum((score < 0 or score > 1)::int)::bigint as bad_scores, count(distinct target) as classes, count(distinct target) = 2 as valid from predictions group by category")
 def validity(spark, d):
     return au.prediction_faults(v.predictions(spark, d))

@@ -49,17 +49,17 @@ SLICES = """sliced as (select slice, target, score, score_b from (
 
 
 @query("m19_holm", """select name, p, round(least(1, max(p * (n - r + 1)) over (order by p, name rows unbounded preceding)), 9) as adjusted from (select *, row_number() over (order by p, name) as r, count(*) over () as n from ps)""",
-  "ps as (select category as name, round(avg(score) / 20, 6) as p from predictions group by category)")
+  "ps as (select category as name, round(avg(score) / 20, 9) as p from predictions group by category)")
 def holm(spark, d):
-    ps = v.predictions(spark, d).groupBy(F.col("category").alias("name")).agg(F.round(F.avg("score") / 20, 6).alias("p"))
+    ps = v.predictions(spark, d).groupBy(F.col("category").alias("name")).agg(F.round(F.avg("score") / 20, 9).alias("p"))
     return ru.holm(ps, "p", "name").select("name", "p", F.round("adjusted", 9).alias("adjusted"))
 
 
 @query("m20_benjamini_hochberg", """select name, p, round(least(1, min(p * n / r) over (order by p desc, name desc rows unbounded preceding)), 9) as q from (select *, row_number() over (order by p, name) as r, count(*) over () as n from ps)""",
-  "ps as (select p_brand as name, round(avg(score) / 20, 6) as p from predictions join part on p_partkey = id1 group by p_brand)")
+  "ps as (select p_brand as name, round(avg(score) / 20, 9) as p from predictions join part on p_partkey = id1 group by p_brand)")
 def bh(spark, d):
     brand = v.read(spark, d, "part").select(F.col("p_partkey").alias("id1"), F.col("p_brand").alias("name"))
-    ps = v.predictions(spark, d).join(pr.small(brand), "id1").groupBy("name").agg(F.round(F.avg("score") / 20, 6).alias("p"))
+    ps = v.predictions(spark, d).join(pr.small(brand), "id1").groupBy("name").agg(F.round(F.avg("score") / 20, 9).alias("p"))
     return ru.benjamini_hochberg(ps, "p", "name").select("name", "p", F.round("q", 9).alias("q"))
 
 

@@ -345,16 +345,16 @@ def f6(spark, d):
     return _doubles(fe.family_features(v.matches(spark, d).select("id1", "id2"), items, selected, 3))
 
 
-ERROR_SQL = """select id1, id2, wrong as model_is_error, round(wrongness, 6) as model_wrongness, round(gap, 6) as model_light_gap,
+ERROR_SQL = """select id1, id2, wrong as model_is_error, round(wrongness, 9) as model_wrongness, round(gap, 9) as model_light_gap,
   round(0.65 * (rank() over (partition by category, target order by gap) + (count(*) over (partition by category, target, gap) - 1) / 2.0::double) / count(*) over (partition by category, target)
-    + 0.35 * (rank() over (partition by category, target order by score_c) + (count(*) over (partition by category, target, score_c) - 1) / 2.0::double) / count(*) over (partition by category, target), 6) as diagnostic_hardness
+    + 0.35 * (rank() over (partition by category, target order by score_c) + (count(*) over (partition by category, target, score_c) - 1) / 2.0::double) / count(*) over (partition by category, target), 9) as diagnostic_hardness
 from (select *, (score >= 0.5) <> (target >= 0.5) as wrong, case when target >= 0.5 then 1 - score else score end as wrongness, abs(score - score_b) as gap from predictions)"""
 
 
 @query("f7_error_signals", ERROR_SQL)
 def f7(spark, d):
     out = fe.error_signals(v.predictions(spark, d), "score", "score_b", "score_c")
-    return out.select("id1", "id2", "model_is_error", *(F.round(c, 6).alias(c) for c in ("model_wrongness", "model_light_gap", "diagnostic_hardness")))
+    return out.select("id1", "id2", "model_is_error", *(F.round(c, 9).alias(c) for c in ("model_wrongness", "model_light_gap", "diagnostic_hardness")))
 
 
 @query("f7_hard_features")
