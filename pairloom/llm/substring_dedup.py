@@ -5,7 +5,7 @@ is repeated exactly if its edge occurs more than once. Edges are kept as runs: t
 have the same least ``KMER``-word piece (by hash, leftmost on a tie) make one row with a hash of all their words. A piece
 found in one row only has no repeated edge. Where all rows of a piece hold the same words, the run as a whole is an arc of
 the graph; else the graph may branch inside it, and one run of each content is opened into single edges. Arcs that occur
-once are dropped.
+once are dropped, and edges whose neighbours in the runs are always the same are one arc from here on.
 
 Compaction: traversals are counted for each pair of arcs that follow one another in a document. A node is passed without
 branching if all occurrences of the arc before it go on to the arc after it, which has no others. Such arcs are linked,
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,12 +133,13 @@ def _at_documents(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def _opened(docs: DataFrame, contents: DataFrame, window: int, bits: int) -> DataFrame:
-    """The arcs (kmer, content, j, arc, times) of one run of each content: the run itself or, where the graph branches,
-    its single edges, read from the document by coordinates."""
+    """(kmer, content, times, arcs) of one run of each content: the run itself as one arc or, where the graph branches, its
+    single edges in order, read from the document by coordinates."""
     listed = contents.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n", "kmer", "content", "times", "branches")).alias("list"))
     held = _at_documents(docs, listed).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("substrings")
         for batch in batches:
             for lo, hi, raw, offsets in common.text_slices(batch.column(0)):
                 starts, ends, first = common.word_bounds(raw, offsets)
@@ -153,12 +154,31 @@ def _opened(docs: DataFrame, contents: DataFrame, window: int, bits: int) -> Dat
                 j = np.arange(len(each)) - np.repeat(np.cumsum(arcs) - arcs, arcs)
                 held = np.where(branches, 1, edges)[each]
                 begin = first[row[each]] + at[each] + j
-                hashed = _words_hash(spans, begin, begin + held - 1 + window)
-                yield pa.record_batch({
-                    "kmer": kmer[each], "content": content[each], "j": pa.array(j, pa.int16()), "arc": _arc(hashed, held, bits), "times": times[each],
-                })
-
-    return held.mapInArrow(run, "kmer long, content long, j short, arc long, times long")
+                made = _arc(_words_hash(spans, begin, begin + held - 1 + window), held, bits)
+                place = np.concatenate(([0], np.cumsum(arcs))).astype(np.int32)
+                yield pa.record_batch({"kmer": kmer, "content": content, "times": times, "arcs": pa.ListArray.from_arrays(pa.array(place), pa.array(made))})
+
+    return held.mapInArrow(run, "kmer long, content long, times long, arcs array<long>")
+
+
+def _segments(opened: DataFrame) -> DataFrame:
+    """(kmer, content, j, arc, times): the repeated arcs of each content of ``opened`` (numbered by ``run``), edges that always follow one another made into one
+    arc already here, where a content counts once, however many documents hold it."""
+    none = F.lit(-1).cast("long")  # no arc's number
+    step = F.transform("arcs", lambda x, i: F.struct(x.alias("arc"), F.when(i > 0, F.get("arcs", i - 1)).otherwise(none).alias("before"), F.coalesce(F.get("arcs", i + 1), none).alias("after")))
+    rows = opened.select("run", "times", F.posexplode(step).alias("j", "s")).select("run", "times", "j", "s.*")
+    known = rows.groupBy("arc").agg(F.sum("times").alias("t"), *(f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("low", F.min), ("high", F.max)))).filter("t > 1")
+    only = lambda c: F.when(F.col(f"{c}_low") == F.col(f"{c}_high"), F.col(f"{c}_low"))
+    known = known.select("arc", "t", only("before").alias("prior"), only("after").alias("next"))
+    inside = rows.select("run", "j", "arc", "before").join(known, "arc")
+    order = Window.partitionBy("run").orderBy("j")
+    goes_on = (F.col("prior") == F.col("before")) & (F.lag("arc").over(order) == F.col("before")) & (F.lag("next").over(order) == F.col("arc"))
+    cut = inside.withColumn("starts", F.when(goes_on, 0).otherwise(1))
+    cut = cut.withColumn("seg", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = cut.groupBy("run", "seg").agg(F.min(F.struct("j", "arc")).alias("first"), F.sum(_edges()).alias("n"), F.max("t").alias("times"))
+    arc = F.col("first.arc").bitwiseAND(-64).bitwiseOR(F.col("n"))
+    named = whole.select("run", F.col("first.j").alias("j"), arc.alias("arc"), "times").join(opened.select("run", "kmer", "content"), "run")
+    return named.select("kmer", "content", "j", "arc", "times")
 
 
 def _edges(arc: str = "arc"):
@@ -206,10 +226,13 @@ def repeated_paths(docs: DataFrame, window: int, bits: int) -> DataFrame:
     contents = shared.groupBy("kmer", "content", "branches").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("k"))
     contents = contents.select("kmer", "content", "branches", "times", "k.*")
     common.free_shuffles(docs.sparkSession)
-    opened = common.materialize(_opened(docs, contents, window, bits), "arcs")
-    arcs = common.materialize(opened.groupBy("arc").agg(F.sum("times").alias("times")).filter("times > 1"), "repeated")
-    inside = opened.join(arcs.select("arc"), "arc").select("kmer", "content", "j", "arc")
-    placed = shared.join(inside, ["kmer", "content"]).select("doc_id", "text_hash", (F.col("at") + F.col("j")).alias("at"), "arc")
+    opened = common.materialize(_opened(docs, contents, window, bits).withColumn("run", F.monotonically_increasing_id()), "arcs")
+    common.free_shuffles(docs.sparkSession)
+    inside = common.materialize(_segments(opened), "segments")
+    common.release(opened)
+    common.free_shuffles(docs.sparkSession)
+    arcs = common.materialize(inside.groupBy("arc").agg(F.max("times").alias("times")), "repeated")
+    placed = shared.join(inside.select("kmer", "content", "j", "arc"), ["kmer", "content"]).select("doc_id", "text_hash", (F.col("at") + F.col("j")).alias("at"), "arc")
     listed = placed.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("at", "arc"))).alias("list"))
     listed = common.materialize(listed, "traversals")
     common.free_shuffles(docs.sparkSession)
@@ -221,7 +244,7 @@ def repeated_paths(docs: DataFrame, window: int, bits: int) -> DataFrame:
     paths = labels.groupBy("root").agg(F.sum(_edges()).alias("n"))
     starts = listed.select("doc_id", "text_hash", F.explode("list").alias("s")).select("doc_id", "text_hash", "s.at", F.col("s.arc").alias("root"))
     starts = common.materialize(starts.join(paths, "root").select("doc_id", "text_hash", "at", "n", "root"), "paths")
-    common.release(shared, opened, arcs, listed, labels)
+    common.release(shared, inside, arcs, listed, labels)
     common.free_shuffles(docs.sparkSession)
     return starts
 
@@ -246,6 +269,7 @@ def _removed(docs: DataFrame, paths: DataFrame, window: int, digest: bool) -> Da
     sha = hashlib.sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("substrings")
         for batch in batches:
             for lo, hi, _, _ in common.text_slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
@@ -277,10 +301,11 @@ def _told_apart(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     schema = "doc_id long, text_hash long, at int, sha binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("substrings")
         for batch in batches:
             for text, doc, key, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = (text or "").encode().split()
-                starts = sorted({i for s in spans for i in range(s["at"], s["at"] + s["n"])})
+                starts = sorted({i for s in spans for i in range(s["at"], s["at"] + s["n"]) if i + window <= len(words)})
                 made = [hashlib.sha256(b" ".join(words[i : i + window])).digest() for i in starts]
                 each = len(starts)
                 yield pa.record_batch({"doc_id": pa.array([doc] * each, pa.int64()), "text_hash": pa.array([key] * each, pa.int64()), "at": pa.array(starts, pa.int32()), "sha": pa.array(made, pa.binary())})
