@@ -44,7 +44,7 @@ SKETCH_WORDS = 1 << 17
 #: Marks two ids that don't merge.
 NO_PAIR = np.int64(1 << 62)
 #: Chunks whose ids a worker remembers before it starts anew; bytes of text that it encodes at a time.
-MEMO, SLICE = 300_000, 4 << 20
+MEMO, SLICE = 200_000, 4 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -461,7 +461,7 @@ def frequent_words(docs: DataFrame, tokenizer_json: str, words: int = LEXICON_WO
     common.bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer_json)
+        codec = worker_codec(tokenizer_json, None)
         chunks: Counter = Counter()
         found: Counter = Counter()
 

@@ -44,8 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
 def bound_batches(spark: SparkSession) -> None:
     """Hand Python a few megabytes and at most some thousand rows at a time, which bounds the memory of a batch on both
     sides (a longer text comes alone). All operators of this package ask for the same bounds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 @contextlib.contextmanager
@@ -61,6 +61,19 @@ def no_cycles():
 
 
 _CACHES: dict[str, dict] = {}
+_SETTLED: list[bool] = []
+
+
+def tidy() -> None:
+    """Give back what a worker's earlier tasks have freed; called as a task begins. Arrays of some megabytes are mapped,
+    and so go back at once: otherwise each stage's peak stays with its workers until the end of the job."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        if not _SETTLED:
+            _SETTLED.append(True)
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
 
 
 def worker_cache(owner: str) -> dict:
@@ -71,8 +84,7 @@ def worker_cache(owner: str) -> dict:
         del _CACHES[k]
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    tidy()
     return _CACHES.setdefault(owner, {})
 
 

@@ -298,7 +298,16 @@ def i11_anchors(spark, d):
     return tasks.select("id", F.array_join(ge.anchor_reasons("type", "price", 3, 4), ",").alias("reasons"))
 
 
-@query("i13_surface_positives")
+_WORDS = "name"
+for _unit, _word in (("mm", "millimetres"), ("cm", "centimetres"), ("kg", "kilograms"), ("ml", "millilitres"), ("gb", "GB")):
+    _WORDS = f"regexp_replace({_WORDS}, '(?i)([0-9]) ?{_unit}\\b', '\\1 {_word}', 'g')"
+_SURFACE = {
+    "upper_case": "upper(name)", "unit_words": _WORDS, "no_unit_space": "regexp_replace(name, '(?i)([0-9]) (mm|cm|kg|ml|gb|g|w|v)\\b', '\\1\\2', 'g')", "decimal_comma": "regexp_replace(name, '([0-9])\\.([0-9])', '\\1,\\2', 'g')",
+    "no_hash": "replace(name, '#', '# ')", "hyphen_space": "regexp_replace(name, '(\\w)-(\\w)', '\\1 \\2', 'g')",
+}
+
+
+@query("i13_surface_positives", "select id, transform, name as original, changed from (select *, row_number() over (partition by id order by md5(concat('s:', id, ':', transform)), transform) as r from (" + " union all ".join(f"select id, name, '{t}' as transform, {e} as changed from items" for t, e in _SURFACE.items()) + ") where changed <> name) where r <= 2")
 def i13(spark, d):
     return ge.surface_positives(v.items(spark, d), "s", 2)
 
