@@ -241,13 +241,12 @@ class WordEncoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, in ascending order of ids, and write its ids as segments under ``path``."""
-    common.bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        cache = common.worker_cache("tokens")
+        cache = common.worker_cache("tokens", mapped=32 << 20)  # it has memory to spare, and mapping takes time
         encoder = cache.get(tokenizer)
         if encoder is None:
             encoder = cache[tokenizer] = WordEncoder(tokenizer)
@@ -270,7 +269,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
                     before, segment, first = before + len(ids), segment + 1, last
 
     schema = "shard int, segment int, before long, n_ids long, doc_ids array<long>, data binary"
-    docs.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
+    with common.wider_batches(docs.sparkSession):
+        docs.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
