@@ -257,3 +257,13 @@ def test_resampled_negatives_repeat_as_often_as_the_reference(spark, sf_dir):
     import __spark_entry__
 
     assert __spark_entry__.queries()["m14_resampled_negatives"](spark, sf_dir).first().repeats == 30
+
+
+def test_items_of_millions_of_rows_are_not_broadcast(spark):
+    ids = spark.range(1_000_000)
+    items = ids.select("id", F.concat(F.lit("item "), "id").alias("name"))
+    pairs = ids.select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
+    plan = pr.hydrate(pairs, items, ("name",))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
+    few = pr.hydrate(pairs, items.limit(9), ("name",))._jdf.queryExecution().executedPlan().toString()
+    assert few.count("BroadcastHashJoin") >= 2
