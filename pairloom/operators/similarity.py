@@ -53,7 +53,7 @@ def char_tfidf_cosine(pairs: DataFrame, items: DataFrame, low: int, high: int) -
     grams = items.select("id", F.explode(F.array_distinct(tx.padded_char_ngrams(tx.alnum_only(F.col("name")), low, high))).alias("g"))
     total = items.agg(F.count(F.lit(1)).alias("total"))
     idf = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("w"))
-    bags = grams.join(idf, "g").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    bags = grams.join(idf.hint("merge"), "g").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     p = pr.hydrate(pairs, bags, ("bag", "length"))
     shared = F.array_intersect(F.map_keys("bag_1"), F.map_keys("bag_2"))
     dot = F.aggregate(shared, F.lit(0.0), lambda s, g: s + F.pow(F.element_at("bag_1", g), F.lit(2.0)))
@@ -227,7 +227,7 @@ def ngram_count_cosine(pairs: DataFrame, items: DataFrame, text: Column, kind: s
     if idf:
         total = items.agg(F.count(F.lit(1)).alias("total"))
         known = counts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-        counts, weight = counts.join(known, "g"), weight * F.col("idf")
+        counts, weight = counts.join(known.hint("merge"), "g"), weight * F.col("idf")  # as many rows as there are grams, whatever the planner makes of it
     rows = counts.select("id", "g", weight.alias("w"))
     bags = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     p = pr.hydrate(pairs, bags, ("bag", "length"))

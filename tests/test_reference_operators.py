@@ -267,3 +267,12 @@ def test_items_of_millions_of_rows_are_not_broadcast(spark):
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
     few = pr.hydrate(pairs, items.limit(9), ("name",))._jdf.queryExecution().executedPlan().toString()
     assert few.count("BroadcastHashJoin") >= 2
+
+
+def test_gram_weights_are_not_broadcast(spark):
+    ids = spark.range(200_000)
+    items = ids.select("id", F.concat(F.lit("item "), "id").alias("name"))
+    pairs = ids.select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
+    made = {"n10": sim.char_tfidf_cosine(pairs, items, 3, 5), "n12": sim.ngram_count_cosine(pairs, items, F.col("name"), "char", 3, 5, sublinear=True, idf=True)}
+    for name, df in made.items():
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), name
