@@ -30,7 +30,7 @@ DENSE = 0.25
 
 
 def _pack(rows: DataFrame, kind: str) -> DataFrame:
-    """One row a partition: its ids, and its weights as a CSR triple (all as bytes)."""
+    """One row a partition: its ids, and its weights as a CSR triple (as ``_bytes`` writes them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, terms, weights = [], [], [], []
@@ -48,14 +48,20 @@ def _pack(rows: DataFrame, kind: str) -> DataFrame:
         if ids:
             data = [np.concatenate(x) for x in (ids, sizes, terms, weights)]
             made = {"pack": pa.array([TaskContext.get().partitionId()], pa.int32())}
-            yield pa.record_batch(made | {c: pa.array([x.astype("<i8").tobytes()], pa.binary()) for c, x in zip(("ids", "sizes", "terms", "weights"), data)})
+            yield pa.record_batch(made | {c: pa.array([_bytes(x)], pa.binary()) for c, x in zip(("ids", "sizes", "terms", "weights"), data)})
 
     packed = rows.mapInArrow(run, "pack int, ids binary, sizes binary, terms binary, weights binary")
     return common.materialize(packed, kind)
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold them all, behind one byte that tells how many: packs are copied often."""
+    size = next((n for n in (1, 2, 4) if not len(x) or (-(1 << 8 * n - 1) <= x.min() and x.max() < 1 << 8 * n - 1)), 8)
+    return bytes([size]) + x.astype(f"<i{size}").tobytes()
+
+
 def _ints(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i8")
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
 
 
 class Postings:
@@ -117,7 +123,8 @@ def top_k(table: DataFrame, is_query: Column, weights: Column, k: int, id_col: s
     left = candidates.select(F.expr(f"pack div {c_each}").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("y"), *fields)
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("x"), F.expr(f"pack div {q_each}").alias("y"), *(F.col(c).alias(f"q_{c}") for c in fields))
     dealt = left.withColumn("x", F.col("x").cast("int")).withColumn("y", F.col("y").cast("int")).repartition(min(MOST_PARTS, c_blocks * q_blocks), "x", "y")
-    grid = dealt.join(right.withColumn("x", F.col("x").cast("int")).withColumn("y", F.col("y").cast("int")), ["x", "y"])
+    right = right.withColumn("x", F.col("x").cast("int")).withColumn("y", F.col("y").cast("int"))
+    grid = dealt.join(right.hint("merge"), ["x", "y"])  # packed files are small, their rows are not: never broadcast
     names = ["ids", "sizes", "terms", "weights", "q_ids", "q_sizes", "q_terms", "q_weights"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -759,3 +759,32 @@ def test_keep_one_keeps_own_columns(odd_docs):
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
     assert all((r["__id"], r["__own"], r["__hash"], r["row"], r["text_hash"], r["root"], r["a.b"]) == tuple(range(7)) for r in got.collect())
+
+
+def test_links_across_lone_buckets(spark):
+    """Where fingerprints crowd in one partition, others are probed by flips, and those must meet buckets of one row."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 42, 500, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(42, 2, replace=False)) for _ in base]
+    every = [int(x) for x in np.unique(np.concatenate([base, base ^ np.array(flips, np.uint64)]))]
+    rows = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in every], "fp binary")
+    root = {x: x for x in every}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in simhash.similar_fingerprints(rows, 64, 2).collect():
+        root[top(int.from_bytes(r.a, "big"))] = top(int.from_bytes(r.b, "big"))
+    near = [(x, y) for i, x in enumerate(every) for y in every[i + 1 :] if (x ^ y).bit_count() <= 2]
+    assert near and [p for p in near if top(p[0]) != top(p[1])] == []
+
+
+def test_packs_of_queries_are_not_broadcast(spark):
+    rows = spark.range(200).select("id", F.array((F.col("id") % 7) - 3, F.col("id") % 300, F.lit(1 << 20)).alias("w"))
+    found = topk.top_k(rows, F.col("id") % 20 == 0, F.col("w"), 3, "id")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    for values in ([], [0, -128, 127], [128], [-32769, 5], [1 << 31], [-(1 << 63), (1 << 63) - 1]):
+        x = np.array(values, np.int64)
+        assert topk._ints(topk._bytes(x)).tolist() == values
