@@ -334,7 +334,6 @@ def similar_fingerprints(distinct: DataFrame, bits: int, radius: int, accept: in
                         yield pa.record_batch({"part": np.full(len(value), i, np.int32), "value": value, "fp": batch.column(0).take(who), "role": np.full(len(value), 2, np.int32)})
 
     rows = counted.mapInArrow(probe, "part int, value long, fp binary, role int").join(sizes, ["part", "value"])
-    rows = rows.filter("n > 1 or role <> 3")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
