@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Unit spellings, their family, and what one of them is in the family's base unit.
 UNITS = {
     "tb": ("memory_mb", 1048576.0), "тб": ("memory_mb", 1048576.0), "gb": ("memory_mb", 1024.0), "гб": ("memory_mb", 1024.0),
@@ -64,9 +66,17 @@ def measures(text: Column) -> Column:
 
 def by_family(text: Column) -> Column:
     """The measures of a text as a map: family -> distinct values."""
-    found = measures(text)
-    families = F.array_distinct(F.transform(found, lambda m: m["family"]))
-    return F.map_from_entries(F.transform(families, lambda f: F.struct(f, F.transform(F.filter(found, lambda m: m["family"] == f), lambda m: m["value"]))))
+    return grouped(measures(text))
+
+
+def grouped(found: Column) -> Column:
+    """(family, value) rows in an array as a map: family -> values."""
+
+    def of_family(rows: Column) -> Column:
+        families = F.array_distinct(F.transform(rows, lambda m: m["family"]))
+        return F.map_from_entries(F.transform(families, lambda f: F.struct(f, F.transform(F.filter(rows, lambda m: m["family"] == f), lambda m: m["value"]))))
+
+    return let(found, of_family)
 
 
 def typed(text: Column) -> Column:

@@ -23,7 +23,7 @@ def parse_folded(text: Column) -> Column:
 
 def _last_of_each(entries: Column) -> Column:
     """Entries without those whose key comes again later."""
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+    return tx.let(entries, lambda every: F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.greatest(F.size(every), F.lit(1))), lambda x: x["key"] == e["key"])))
 
 
 def folded_bag(text: Column) -> Column:

@@ -276,3 +276,25 @@ def test_gram_weights_are_not_broadcast(spark):
     made = {"n10": sim.char_tfidf_cosine(pairs, items, 3, 5), "n12": sim.ngram_count_cosine(pairs, items, F.col("name"), "char", 3, 5, sublinear=True, idf=True)}
     for name, df in made.items():
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_large_items_are_parsed_by_all_tasks_in_one_shuffle(spark, sf_dir, monkeypatch):
+    """Items beyond the bound are spread before they are parsed, once for both sides of a pair, without shuffles of their attributes."""
+    from pairloom.plans import features as fp
+    from pairloom.sources import views
+
+    monkeypatch.setattr(pr, "BROADCAST_BYTES", 0)
+    items, pairs = fp.rich_items(spark, sf_dir), views.predictions(spark, sf_dir).select("id1", "id2", "score")
+    plan = fe.typed_items(items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    for native in (fe.typed_native, fe.cheap_native, fe.eda_native):
+        out = native(pairs, items)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in plan and "Broadcast" not in plan
+
+
+def test_predictions_know_their_category_without_a_join(spark, sf_dir):
+    from pairloom.sources import views
+
+    assert "Join" not in views.predictions(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
