@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric as nm
+from ..functions import numeric as nm, text as tx
 from . import graph as gr, pairs as pr
 
 
@@ -131,21 +131,29 @@ def with_gates(features: DataFrame, title_token_set: Column, category: str = "ca
     compounds count different values a domain (two, three or more), and join two domains, as a whole and in the category.
     Labels play no part."""
     some = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in anchors(title_token_set).items())))
-    p = features.withColumn("__rules", F.transform(fired, lambda r: F.regexp_replace(r, r"\|", "::"))).withColumn("__anchors", some)
-    concepts = F.transform(F.filter(fired, lambda r: r.endswith("|different_value")), lambda r: F.substring_index(r, "|", 1))
-    p = p.withColumn("__concepts", concepts).withColumn("__domains", F.array_compact(F.transform("__concepts", domain_of)))
-    count = lambda d: F.size(F.filter("__domains", lambda x: x == d))
+    cat = F.coalesce(F.col(category), F.lit(""))
+    # Bound, not named as columns: filters on the gates are pushed below projections, which writes out every use of a column.
+
+    def gates(fired: Column, named: Column) -> Column:
+        rules = F.transform(fired, lambda r: F.regexp_replace(r, r"\|", "::"))
+        concepts = F.transform(F.filter(fired, lambda r: r.endswith("|different_value")), lambda r: F.substring_index(r, "|", 1))
+        return tx.let(rules, lambda rs: F.concat(
+            F.transform(rs, lambda r: F.concat(F.lit("global::"), r)), F.transform(rs, lambda r: F.concat(F.lit("category::"), cat, F.lit("::"), r)),
+            F.flatten(F.transform(named, lambda a: F.transform(rs, lambda r: F.concat(F.lit("anchor::"), a, F.lit("::"), r)))),
+            tx.let(concepts, lambda cs: tx.let(F.array_compact(F.transform(cs, domain_of)), lambda ds: tx.let(_compounds(cs, ds), lambda ks: F.concat(
+                F.transform(ks, lambda c: F.concat(F.lit("compound::global::::"), c)), F.transform(ks, lambda c: F.concat(F.lit("compound::category::"), cat, F.lit("::"), c)))))),
+        ))
+
+    return features.withColumn("gates", tx.let(F.col(fired), lambda f: tx.let(some, lambda named: gates(f, named))))
+
+
+def _compounds(concepts: Column, domains: Column) -> Column:
+    """Names of the compounds that hold for the concepts of a pair's different values, and their domains."""
+    count = lambda d: F.size(F.filter(domains, lambda x: x == d))
     compound = [F.when(count(d) >= n, f"{d}_ge{n}") for d in DOMAINS for n in (2, 3)]
     compound.append(F.when((count("identifier") >= 1) & (count("technology") >= 1), "identifier_and_technology"))
-    compound.append(F.when(F.exists("__concepts", lambda c: F.lower(c).contains("pupillary")) & (count("optical") >= 2), "pupillary_and_other_optical"))
-    p = p.withColumn("__compound", F.array_compact(F.array(*compound)))
-    rules, cat = F.col("__rules"), F.coalesce(F.col(category), F.lit(""))
-    gates = F.concat(
-        F.transform(rules, lambda r: F.concat(F.lit("global::"), r)), F.transform(rules, lambda r: F.concat(F.lit("category::"), cat, F.lit("::"), r)),
-        F.flatten(F.transform("__anchors", lambda a: F.transform(rules, lambda r: F.concat(F.lit("anchor::"), a, F.lit("::"), r)))),
-        F.transform("__compound", lambda c: F.concat(F.lit("compound::global::::"), c)), F.transform("__compound", lambda c: F.concat(F.lit("compound::category::"), cat, F.lit("::"), c)),
-    )
-    return p.withColumn("gates", gates).drop("__rules", "__anchors", "__concepts", "__domains", "__compound")
+    compound.append(F.when(F.exists(concepts, lambda c: F.lower(c).contains("pupillary")) & (count("optical") >= 2), "pupillary_and_other_optical"))
+    return F.array_compact(F.array(*compound))
 
 
 def vetoes(title_token_set: Column) -> dict[str, Column]:

@@ -298,3 +298,9 @@ def test_predictions_know_their_category_without_a_join(spark, sf_dir):
     from pairloom.sources import views
 
     assert "Join" not in views.predictions(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plan_of_exploded_gates_stays_small(spark, sf_dir):
+    """A filter that is pushed down from the explosion writes out the gates once; it made two megabytes of plan."""
+    plan = registry.queries()["r7_candidate_gates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 150_000
