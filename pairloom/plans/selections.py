@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import numeric as nm, text as tx
-from ..operators import attributes as at, audit as au, graph as gr, pairs as pr, selection as se
+from ..functions import text as tx
+from ..operators import attributes as at, audit as au, graph as gr, pairs as pr, retrieval as rt, selection as se
 from ..sources import views as v
 from .base import query
 
@@ -24,10 +24,8 @@ def _digest(*columns):
 
 @query("j17_blocked_similarity_join", "select a, b, round(s, 6) as cosine from (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.e, y.e) as s from vecs x join vecs y on x.label = y.label and x.vec_id < y.vec_id) where s >= 0.2", "vecs as (select vec_id, label, cast(embedding as double[]) as e from embeddings)")
 def blocked(spark, d):
-    e = v.read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    other = e.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("f"))
-    sims = e.join(other, "label").filter("vec_id < b").select(F.col("vec_id").alias("a"), "b", nm.cosine(F.col("e"), F.col("f")).alias("s"))
-    return sims.filter("s >= 0.2").select("a", "b", F.round("s", 6).alias("cosine"))
+    e = v.read(spark, d, "embeddings").select("vec_id", F.col("label").alias("block"), F.col("embedding").cast("array<double>").alias("e"))
+    return rt.similar_pairs(e, 0.2).select("a", "b", F.round("s", 6).alias("cosine"))
 
 
 @query("j19_compatible_rules", "select a.p_brand as brand, count(*) as n from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey group by 1")

@@ -304,3 +304,36 @@ def test_plan_of_exploded_gates_stays_small(spark, sf_dir):
     """A filter that is pushed down from the explosion writes out the gates once; it made two megabytes of plan."""
     plan = registry.queries()["r7_candidate_gates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 150_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_pairs_meet_across_parts(spark):
+    """Blocks of many parts, other lengths, nulls, a zero vector (NaN, the greatest number) and an embedded null."""
+    from pairloom.operators import retrieval as rt
+
+    draw = random.Random(5)
+    rows = [(i, "ab"[i % 2], [draw.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(60, "a", [1.0, 2.0]), (61, "a", [2.0, 4.1]), (62, None, [1.0, 0.0, 0.0]), (63, "a", None), (64, "b", [1.0, None, 0.0]), (65, "b", [0.0, 0.0, 0.0])]
+    found = rt.similar_pairs(spark.createDataFrame(rows, "vec_id long, block string, e array<double>"), 0.2, part=7)
+    got = {(r.a, r.b): r.s for r in found.collect()}
+    assert len(got) == found.count()
+    want = {}
+    sound = [r for r in rows if r[1] and r[2] and None not in r[2]]
+    for a, p, x in sound:
+        for b, q, y in sound:
+            if a < b and p == q and len(x) == len(y):
+                n = math.sqrt(sum(k * k for k in x) * sum(k * k for k in y))
+                s = sum(k * m for k, m in zip(x, y)) / n if n else math.nan
+                if not s < 0.2:
+                    want[a, b] = s
+    assert got.keys() == want.keys() and sum(math.isnan(s) for s in want.values()) == 30
+    assert all(math.isnan(s) or abs(got[k] - s) < 1e-12 for k, s in want.items())
+
+
+def test_similar_pairs_form_no_join(spark, sf_dir):
+    """Pairs of a block are matrix products of tiles rather than joined rows."""
+    plan = _plan(registry.queries()["j17_blocked_similarity_join"](spark, sf_dir))
+    assert "FlatMapCoGroupsInPandas" in plan and "vec_id < " not in plan
