@@ -115,13 +115,16 @@ SLICE_SQL = f"""select s.slice_type, s.slice_value, s.n, s.corrected, s.regresse
 
 
 def _sliced(spark, d) -> DataFrame:
-    """Pairs unpivoted to the slices that they are in."""
+    """Pairs unpivoted to the slices that they are in. The slices are found once and written; the metrics read them several
+    times."""
     pairs = v.predictions(spark, d)
     typed = fe.typed_native(pairs, fp.rich_items(spark, d), fp.RULES, fp.REGIMES)
     wide = typed.withColumn("far", F.abs(F.col("score") - 0.5)).withColumn("gap", F.abs(F.col("score") - F.col("score_b")))
     wide = wide.withColumn("most_keys", F.greatest("attribute_count_a", "attribute_count_b")).withColumn("missing_keys", F.col("attribute_missing_a") + F.col("attribute_missing_b"))
-    kinds = F.array(*(F.struct(F.lit(n).alias("slice_type"), e().cast("string").alias("slice_value")) for n, (e, _) in SLICES.items()))
-    return wide.select(*pairs.columns, F.explode(kinds).alias("s")).select(*pairs.columns, "s.*")
+    found = gr.cut(wide.select(*pairs.columns, F.array(*(e().cast("string") for e, _ in SLICES.values())).alias("__values")))
+    names = F.array(*map(F.lit, SLICES))
+    kinds = F.transform("__values", lambda value, i: F.struct(F.get(names, i).alias("slice_type"), value.alias("slice_value")))
+    return found.select(*pairs.columns, F.explode(kinds).alias("s")).select(*pairs.columns, "s.*")
 
 
 @query("p7_m10_slice_metrics", SLICE_SQL, SLICE_CTES)

@@ -337,3 +337,13 @@ def test_similar_pairs_form_no_join(spark, sf_dir):
     """Pairs of a block are matrix products of tiles rather than joined rows."""
     plan = _plan(registry.queries()["j17_blocked_similarity_join"](spark, sf_dir))
     assert "FlatMapCoGroupsInPandas" in plan and "vec_id < " not in plan
+
+
+def test_slices_are_found_once(spark, sf_dir):
+    """Metrics read the slices from a table; items aren't parsed again for each of them."""
+    from pairloom.plans import statistics as st
+
+    for name in ("p7_m10_slice_metrics", "m11_stable_slices"):
+        assert "from_json" not in _plan(registry.queries()[name](spark, sf_dir))
+    kinds = st._sliced(spark, sf_dir).groupBy("slice_type").count().collect()
+    assert {r.slice_type for r in kinds} == set(st.SLICES) and len({r["count"] for r in kinds}) == 1
