@@ -18,7 +18,8 @@ def r26(spark, d):
     pairs = v.predictions(spark, d)
     rows = fe.eda_native(pairs, v.items(spark, d)).drop("title_1", "title_2").withColumn("fold", F.col("id1") % 2)
     columns = ["name_exact", "name_length_ratio", "numeric_jaccard", "brand_equal", "brand_conflict", "attr_key_jaccard", "attr_value_match_ratio", "score"]
-    one, two = (mo.out_of_fold(gr.cut(rows), columns, "fold", k).select("id1", "id2", F.col("predict").alias(k)) for k in ("logistic", "trees"))
+    rows = gr.cut(rows)  # once for both models
+    one, two = (mo.out_of_fold(rows, columns, "fold", k).select("id1", "id2", F.col("predict").alias(k)) for k in ("logistic", "trees"))
     return one.join(two, ["id1", "id2"])
 
 

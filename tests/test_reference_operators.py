@@ -347,3 +347,11 @@ def test_slices_are_found_once(spark, sf_dir):
         assert "from_json" not in _plan(registry.queries()[name](spark, sf_dir))
     kinds = st._sliced(spark, sf_dir).groupBy("slice_type").count().collect()
     assert {r.slice_type for r in kinds} == set(st.SLICES) and len({r["count"] for r in kinds}) == 1
+
+
+def test_both_models_read_one_table(spark, sf_dir, monkeypatch):
+    made = []
+    cut = gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: made.append(1) or cut(df))
+    registry.queries()["r26_out_of_fold_models"](spark, sf_dir)
+    assert len(made) == 1
