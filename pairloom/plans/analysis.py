@@ -136,7 +136,7 @@ def a29(spark, d):
     """Word runs of one to three; character runs of three to five, of which the 30 shortest shared ones of a pair count."""
     words = tx.tokens(F.col("name"))
     plain = F.regexp_extract_all(F.lower("name"), F.lit("([0-9a-z]+)"), 1)
-    items = v.items(spark, d).select("id", F.array_distinct(tx.word_ngrams(plain, 1, 3)).alias("grams"), F.array_distinct(tx.char_ngrams(F.array_join(plain, " "), 3, 5)).alias("chars"))
+    items = pr.spread(v.items(spark, d)).select("id", F.array_distinct(tx.word_ngrams(plain, 1, 3)).alias("grams"), F.array_distinct(tx.char_ngrams(F.array_join(plain, " "), 3, 5)).alias("chars"))
     p = pr.hydrate(v.predictions(spark, d), items, ("grams", "chars"))
     parts = [an.common_gram_errors(p, F.col(f"{c}_1"), F.col(f"{c}_2"), 5, m).select(F.lit(k).alias("kind"), "*") for k, c, m in (("word", "grams", 200), ("char", "chars", 30))]
     out = parts[0].unionByName(parts[1])

@@ -359,3 +359,9 @@ def test_both_models_read_one_table(spark, sf_dir, monkeypatch):
 
 def test_typed_features_are_found_once(spark, sf_dir):
     assert "from_json" not in _plan(registry.queries()["f3_all_typed_features"](spark, sf_dir))
+
+
+def test_ngram_items_are_dealt_out(spark, sf_dir, monkeypatch):
+    """A catalogue in one file is parsed by all tasks."""
+    monkeypatch.setattr(pr, "BROADCAST_BYTES", 0)
+    assert "xxhash64(id" in _plan(registry.queries()["a29_common_ngram_errors"](spark, sf_dir))
