@@ -365,3 +365,44 @@ def test_ngram_items_are_dealt_out(spark, sf_dir, monkeypatch):
     """A catalogue in one file is parsed by all tasks."""
     monkeypatch.setattr(pr, "BROADCAST_BYTES", 0)
     assert "xxhash64(id" in _plan(registry.queries()["a29_common_ngram_errors"](spark, sf_dir))
+
+
+def test_hybrid_pools_meet_as_arrays(spark, sf_dir):
+    """Queries and documents of a pool form no rows; the k best are those of a plain pass, over parts of a pool, pools that
+    fall back to the category, shared names, vectors that are missing or of another length, and ties."""
+    from pairloom.operators import retrieval as rt
+
+    plan = _plan(registry.queries()["i2_i3_hybrid_retrieval"](spark, sf_dir))
+    assert "FlatMapCoGroupsInPandas" in plan and "array_contains" not in plan
+
+    rng = random.Random(7)
+    words = ["red", "blue", "ring", "bolt", "9", "mm"]
+    bank = []
+    for i in range(150):
+        name = " ".join(rng.choices(words, k=2))
+        e = [None, [1.0], [0.5, None]][i % 25] if i % 25 < 3 else [rng.randrange(-2, 3) / 3 for _ in range(2)]
+        bank.append((i, "ab"[i % 2], ["x", "y", "z"][0 if i % 3 else 1 + (i % 30 == 0)], name, " ".join([name, *rng.choices(words, k=rng.randrange(5))]), e))
+    df = spark.createDataFrame(bank, "id long, category string, subtype string, name string, text string, e array<double>")
+
+    def best(q, k):
+        pool = [d for d in bank if d[1] == q[1] and (d[2] == q[2] or sum(x[1:3] == q[1:3] for x in bank) < 8)]
+        pool = [d for d in pool if d[3] != q[3]]
+        bags = {d[0]: d[4].split() for d in pool}
+        mean = max(1.0, sum(map(len, bags.values())) / len(pool))
+        dense, lexical = {}, {}
+        for d in pool:
+            whole = q[5] and d[5] and len(q[5]) == len(d[5]) and None not in q[5] + d[5]
+            dense[d[0]] = round(sum(x * y for x, y in zip(q[5], d[5])), 9) if whole else -math.inf
+            lexical[d[0]] = 0.0
+            for t in set(q[4].split()) & set(bags[d[0]]):
+                df_, tf = sum(t in b for b in bags.values()), bags[d[0]].count(t)
+                lexical[d[0]] += math.log(1 + (len(pool) - df_ + 0.5) / (df_ + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(bags[d[0]]) / mean))
+        place = [{x: r for r, x in enumerate(sorted(s, key=lambda x: (-round(s[x], 9), x)), 1)} for s in (dense, lexical)]  # noqa: B023
+        scored = {x: round(0.55 / (20 + place[0][x]) + 0.45 / (20 + place[1][x]), 12) for x in dense}
+        return [(q[0], x, r, scored[x]) for r, x in enumerate(sorted(scored, key=lambda x: (-scored[x], x))[:k], 1)]
+
+    for k in (1, 3):
+        want = sorted(row for q in bank if q[0] % 5 == 0 for row in best(q, k))
+        got = sorted(map(tuple, rt.hybrid(df, F.col("id") % 5 == 0, k, part=3).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
