@@ -406,3 +406,7 @@ def test_hybrid_pools_meet_as_arrays(spark, sf_dir):
         got = sorted(map(tuple, rt.hybrid(df, F.col("id") % 5 == 0, k, part=3).collect()))
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+
+
+def test_anchored_rules_are_found_once(spark, sf_dir):
+    assert "from_json" not in _plan(registry.queries()["r17_anchored_rules"](spark, sf_dir))
