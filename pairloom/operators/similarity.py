@@ -50,7 +50,7 @@ def lexical_fallback(pairs: DataFrame, items: DataFrame) -> DataFrame:
 def char_tfidf_cosine(pairs: DataFrame, items: DataFrame, low: int, high: int) -> DataFrame:
     """Cosine of binary n-gram vectors weighted by smoothed inverse document frequency. Grams are counted once over the
     catalogue; weighted vectors are maps made once an item, so a pair needs no join beyond its two items."""
-    grams = items.select("id", F.explode(F.array_distinct(tx.padded_char_ngrams(tx.alnum_only(F.col("name")), low, high))).alias("g"))
+    grams = pr.spread(items.select("id", "name")).select("id", F.explode(F.array_distinct(tx.padded_char_ngrams(tx.alnum_only(F.col("name")), low, high))).alias("g"))
     total = items.agg(F.count(F.lit(1)).alias("total"))
     idf = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("w"))
     bags = grams.join(idf.hint("merge"), "g").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
@@ -217,19 +217,29 @@ def fuzzy_ratios(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return with_ratios(pairs, left, right, {"ratio": "ratio", "token_sort_ratio": "token_sort", "token_set_ratio": "token_set"})
 
 
+def _dealt(items: DataFrame) -> DataFrame:
+    """Items with a hash of their id (``__h``), dealt out by it to all tasks if they are beyond the bound of broadcasts."""
+    keyed = items.withColumn("__h", F.xxhash64("id"))
+    if pr.estimated_bytes(items) < pr.BROADCAST_BYTES:
+        return keyed
+    return keyed.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__h")
+
+
 def ngram_count_cosine(pairs: DataFrame, items: DataFrame, text: Column, kind: str, low: int, high: int, sublinear: bool = False, idf: bool = False) -> DataFrame:
     """(id1, id2, cosine) of vectors of n-gram counts (``char``, within words, or ``word``), with 1 + log(count) if
     ``sublinear`` and smoothed inverse document frequencies over ``items`` if ``idf``."""
-    folded = tx.alnum_only(text)
+    # Dealt out by a hash of the id that stays a column: counts and bags of an item need no shuffle of its grams.
+    dealt = _dealt(items.select("id", tx.alnum_only(text).alias("text")))
+    folded = F.col("text")
     grams = tx.padded_char_ngrams(folded, low, high) if kind == "char" else tx.word_ngrams(F.filter(F.split(folded, " "), lambda w: w != ""), low, high)
-    counts = items.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("tf"))
+    counts = dealt.select("__h", "id", F.explode(grams).alias("g")).groupBy("__h", "id", "g").agg(F.count(F.lit(1)).alias("tf"))
     weight = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     if idf:
         total = items.agg(F.count(F.lit(1)).alias("total"))
         known = counts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("g", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
         counts, weight = counts.join(known.hint("merge"), "g"), weight * F.col("idf")  # as many rows as there are grams, whatever the planner makes of it
-    rows = counts.select("id", "g", weight.alias("w"))
-    bags = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    rows = counts.select("__h", "id", "g", weight.alias("w"))
+    bags = rows.groupBy(*(["id"] if idf else ["__h", "id"])).agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("bag"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     p = pr.hydrate(pairs, bags, ("bag", "length"))
     shared = F.array_intersect(F.map_keys("bag_1"), F.map_keys("bag_2"))
     dot = F.aggregate(shared, F.lit(0.0), lambda s, g: s + F.element_at("bag_1", g) * F.element_at("bag_2", g))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -410,3 +411,15 @@ def test_hybrid_pools_meet_as_arrays(spark, sf_dir):
 
 def test_anchored_rules_are_found_once(spark, sf_dir):
     assert "from_json" not in _plan(registry.queries()["r17_anchored_rules"](spark, sf_dir))
+
+
+def test_ngram_cosines_are_plans_of_their_own(spark, sf_dir, monkeypatch):
+    """Each cosine is written; an item's grams are counted where its text was dealt to, without a shuffle of grams."""
+    made = []
+    cut = gr.cut
+    monkeypatch.setattr(pr, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(gr, "cut", lambda df: made.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    registry.queries()["f7_hard_features"](spark, sf_dir)
+    assert len(made) == 2 and all("hashpartitioning(__h" in p and not re.search(r"hashpartitioning\((__h#\w+, )?id#\w+, g#", p) for p in made)
+    registry.queries()["f2_all_cheap_features"](spark, sf_dir)
+    assert len(made) == 3 and "hashpartitioning(xxhash64(id" in made[2]
