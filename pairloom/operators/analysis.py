@@ -126,13 +126,12 @@ def variant_keys(pairs: DataFrame, bag_1: str = "bag_1", bag_2: str = "bag_2", s
     return out.withColumn("lift", F.col("smoothed") - F.col("category_rate")).withColumn("candidate", (F.col("conflicts") >= least) & (F.col("negative_rate") >= rate))
 
 
-def common_gram_errors(pairs: DataFrame, grams_1: Column, grams_2: Column, least: int, most: int = 200, threshold: float = 0.5) -> DataFrame:
-    """(pattern, support, ..., fpr, fnr): decision errors of pairs whose two names share an n-gram; of a pair's shared
-    n-grams the ``most`` shortest count (ties by text)."""
-    shared = F.array_sort(F.transform(F.array_intersect(grams_1, grams_2), lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))
-    rows = pairs.select("target", (F.col("score") >= threshold).alias("hit"), F.explode(F.slice(shared, 1, most)).alias("x"))
+def common_gram_errors(pairs: DataFrame, grams_1: Column, grams_2: Column, least: int, threshold: float = 0.5) -> DataFrame:
+    """(pattern, support, ..., fpr, fnr): decision errors of pairs whose two names share an n-gram; all n-grams that a pair
+    shares count, each once."""
+    rows = pairs.select("target", (F.col("score") >= threshold).alias("hit"), F.explode(F.array_intersect(grams_1, grams_2)).alias("pattern"))
     no, yes = F.col("target") == 0, F.col("target") == 1
-    out = rows.groupBy(F.col("x.g").alias("pattern")).agg(_n().alias("support"), F.count_if(no).alias("negatives"), F.count_if(no & F.col("hit")).alias("false_positives"), F.count_if(yes).alias("positives"), F.count_if(yes & ~F.col("hit")).alias("false_negatives"))
+    out = rows.groupBy("pattern").agg(_n().alias("support"), F.count_if(no).alias("negatives"), F.count_if(no & F.col("hit")).alias("false_positives"), F.count_if(yes).alias("positives"), F.count_if(yes & ~F.col("hit")).alias("false_negatives"))
     out = out.filter(F.col("support") >= least)
     return out.withColumn("fpr", F.try_divide("false_positives", "negatives")).withColumn("fnr", F.try_divide("false_negatives", "positives"))
 

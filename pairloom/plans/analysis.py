@@ -128,17 +128,17 @@ GRAMS = """gw as (select id, regexp_extract_all(lower(name), '[0-9a-z]+') as w f
 gi as (select id, list_distinct(flatten([list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' ')) for n in [1, 2, 3]])) as grams, list_distinct(flatten([list_transform(range(1, length(array_to_string(w, '')) - n + 2), lambda i: substr(array_to_string(w, ''), i, n)) for n in [3, 4, 5]])) as chars from gw)"""
 _COMMON = """select '{k}' as kind, pattern, count(*) as support, count(*) filter (where target = 0) as negatives, count(*) filter (where target = 0 and score >= 0.5) as false_positives, count(*) filter (where target = 1) as positives, count(*) filter (where target = 1 and score < 0.5) as false_negatives,
   round(count(*) filter (where target = 0 and score >= 0.5) / nullif(count(*) filter (where target = 0), 0)::double, 6) as fpr, round(count(*) filter (where target = 1 and score < 0.5) / nullif(count(*) filter (where target = 1), 0)::double, 6) as fnr from (
-  select target, score, unnest(list_transform(list_slice(list_sort(list_transform(list_intersect(a.{c}, b.{c}), lambda g: {{'n': length(g), 'g': g}})), 1, {m}), lambda x: x.g)) as pattern from predictions p join gi a on a.id = p.id1 join gi b on b.id = p.id2) group by pattern having count(*) >= 5"""
+  select target, score, unnest(list_intersect(a.{c}, b.{c})) as pattern from predictions p join gi a on a.id = p.id1 join gi b on b.id = p.id2) group by pattern having count(*) >= 5"""
 
 
-@query("a29_common_ngram_errors", _COMMON.format(k="word", c="grams", m=200) + " union all " + _COMMON.format(k="char", c="chars", m=30), GRAMS)
+@query("a29_common_ngram_errors", _COMMON.format(k="word", c="grams") + " union all " + _COMMON.format(k="char", c="chars"), GRAMS)
 def a29(spark, d):
-    """Word runs of one to three; character runs of three to five, of which the 30 shortest shared ones of a pair count."""
+    """Word runs of one to three and character runs of three to five; all that a pair shares count."""
     words = tx.tokens(F.col("name"))
     plain = F.regexp_extract_all(F.lower("name"), F.lit("([0-9a-z]+)"), 1)
     items = pr.spread(v.items(spark, d)).select("id", F.array_distinct(tx.word_ngrams(plain, 1, 3)).alias("grams"), F.array_distinct(tx.char_ngrams(F.array_join(plain, " "), 3, 5)).alias("chars"))
     p = pr.hydrate(v.predictions(spark, d), items, ("grams", "chars"))
-    parts = [an.common_gram_errors(p, F.col(f"{c}_1"), F.col(f"{c}_2"), 5, m).select(F.lit(k).alias("kind"), "*") for k, c, m in (("word", "grams", 200), ("char", "chars", 30))]
+    parts = [an.common_gram_errors(p, F.col(f"{c}_1"), F.col(f"{c}_2"), 5).select(F.lit(k).alias("kind"), "*") for k, c in (("word", "grams"), ("char", "chars"))]
     out = parts[0].unionByName(parts[1])
     return out.withColumn("fpr", F.round("fpr", 6)).withColumn("fnr", F.round("fnr", 6))
 

@@ -368,6 +368,32 @@ def test_ngram_items_are_dealt_out(spark, sf_dir, monkeypatch):
     assert "xxhash64(id" in _plan(registry.queries()["a29_common_ngram_errors"](spark, sf_dir))
 
 
+def test_all_shared_ngrams_count(spark, sf_dir):
+    """Pairs that share hundreds of n-grams count for each of them; the query's are those of a plain pass over whole names."""
+    from pairloom.operators import analysis as an
+    from pairloom.sources import views as v
+
+    pairs = spark.createDataFrame([(i % 2, i / 10, [f"g{j:04d}" for j in range(1000)], [f"g{j:04d}" for j in range(i, 1500)]) for i in range(6)], "target int, score double, a array<string>, b array<string>")
+    got = {r.pattern: (r.support, r.negatives, r.false_positives, r.positives, r.false_negatives) for r in an.common_gram_errors(pairs, F.col("a"), F.col("b"), 2).collect()}
+    assert len(got) == 999 and got["g0001"] == (2, 1, 0, 1, 1) and all(got[f"g{j:04d}"] == (6, 3, 0, 3, 2) for j in range(5, 1000))
+
+    words = {r.id: re.findall("[0-9a-z]+", r["name"].lower()) for r in v.items(spark, sf_dir).collect()}
+
+    def runs(w):
+        bare = "".join(w)
+        return {("word", " ".join(w[i : i + n])) for n in (1, 2, 3) for i in range(len(w) - n + 1)} | {("char", bare[i : i + n]) for n in (3, 4, 5) for i in range(len(bare) - n + 1)}
+
+    want = {}
+    for r in v.predictions(spark, sf_dir).collect():
+        for key in runs(words[r.id1]) & runs(words[r.id2]):
+            cell = want.setdefault(key, [0, 0, 0, 0])
+            cell[2 * r.target] += 1
+            cell[2 * r.target + 1] += (r.score >= 0.5) != r.target
+    want = {(*k, *c) for k, c in want.items() if c[0] + c[2] >= 5}
+    rows = registry.queries()["a29_common_ngram_errors"](spark, sf_dir)
+    assert {tuple(r) for r in rows.select("kind", "pattern", "negatives", "false_positives", "positives", "false_negatives").collect()} == want
+
+
 def test_hybrid_pools_meet_as_arrays(spark, sf_dir):
     """Queries and documents of a pool form no rows; the k best are those of a plain pass, over parts of a pool, pools that
     fall back to the category, shared names, vectors that are missing or of another length, and ties."""
